@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioframe.functions.geometry import RATIO, Box
-from folioframe.functions.numeric import clamp, rnd, units
+from folioframe.functions.numeric import clamp, let, rnd, units
 from folioframe.operators.spatial import RATIO_TILE, drop_covered_centres
 
 # The three labels, the 4 x 4 grid and the regions compared per label.
@@ -58,7 +58,7 @@ def drop_masked(regions: DataFrame, masks: DataFrame, on: list[str]) -> DataFram
     a box covers the middle of both its sides, so the centre test alone decides.
     """
     real = masks.filter((F.col("width_ratio") > 0) & (F.col("height_ratio") > 0))
-    return drop_covered_centres(regions, real, on, RATIO, RATIO_TILE)
+    return drop_covered_centres(regions, real, on, ("centre_x", "centre_y"), RATIO, RATIO_TILE)
 
 
 def grid_cell(cx: Column, cy: Column) -> Column:
@@ -88,9 +88,20 @@ def page_metrics(regions: DataFrame, keys: list[str]) -> DataFrame:
     packed = cells.groupBy(*keys).agg(*aggs)
 
     def dense(entries: Column, name: str) -> Column:
-        lookup = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["cell"], e[name])))
+        # At most 16 entries in slot order, so a position lookup beats building a map.
         slots = F.sequence(F.lit(0), F.lit(GRID * GRID - 1))
-        return F.transform(slots, lambda i: F.coalesce(lookup[i], F.lit(0).cast("bigint")))
+        return let(
+            F.struct(
+                F.transform(entries, lambda e: e["cell"]).alias("cells"),
+                F.transform(entries, lambda e: e[name]).alias("values"),
+            ),
+            lambda s: F.transform(
+                slots,
+                lambda i: F.coalesce(
+                    F.get(s["values"], F.array_position(s["cells"], i).cast("int") - 1), F.lit(0).cast("bigint")
+                ),
+            ),
+        )
 
     out = [*keys, "region_count"]
     for label in LABELS:

@@ -75,13 +75,14 @@ def touching_ids(
 
 
 def drop_covered_centres(
-    boxes: DataFrame, masks: DataFrame, on: list[str], names: tuple[str, ...], size: float
+    boxes: DataFrame, masks: DataFrame, on: list[str], centre: tuple[str, str], names: tuple[str, ...], size: float
 ) -> DataFrame:
     """Boxes whose centre lies in no mask. Each box sits in one tile, so this is a single anti join."""
-    box, mask = Box.of(names, "a"), Box.field(F.col("mask"), names)
+    mask = Box.field(F.col("mask"), names)
+    cx, cy = (F.col(f"a.{name}") for name in centre)
     a = (
-        boxes.withColumn("tile_x", _tile(Box.of(names).cx, size))
-        .withColumn("tile_y", _tile(Box.of(names).cy, size))
+        boxes.withColumn("tile_x", _tile(F.col(centre[0]), size))
+        .withColumn("tile_y", _tile(F.col(centre[1]), size))
         .alias("a")
     )
     b = (
@@ -89,7 +90,7 @@ def drop_covered_centres(
         .select(*on, "tile_x", "tile_y", F.struct(*names).alias("mask"))
         .alias("b")
     )
-    match = box.cx.between(mask.x, mask.right) & box.cy.between(mask.y, mask.bottom)
+    match = cx.between(mask.x, mask.right) & cy.between(mask.y, mask.bottom)
     for key in [*on, "tile_x", "tile_y"]:
         match = (F.col(f"a.{key}") == F.col(f"b.{key}")) & match
     return a.join(b, match, "left_anti").drop("tile_x", "tile_y")

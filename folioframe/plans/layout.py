@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioframe.operators import retrieval, signature
+from folioframe.operators.joins import bounded_broadcast
 from folioframe.plans import derive
 from folioframe.plans.derive import oracle, sql
 from folioframe.plans.registry import query
@@ -117,18 +118,21 @@ def page_signatures(spark: SparkSession, sf: str) -> DataFrame:
     return signature.layout_signatures(pages, signature.usable_regions(derive.regions(spark, sf)))
 
 
-def template_signatures(spark: SparkSession, sf: str, signatures: DataFrame) -> DataFrame:
+def template_signatures(spark: SparkSession, sf: str) -> DataFrame:
     """The catalog side: few rows, written once, read for every comparison."""
-    catalog = derive.template_pages(spark, sf).join(derive.template_versions(spark, sf), "template_id")
-    drop = ["doc_id", "page_number"]
-    stored = catalog.join(signatures.drop(*drop).withColumnRenamed("page_id", "template_page_id"), "template_page_id")
-    return cut_lineage(retrieval.eligible_templates(stored))
+    catalog = derive.template_pages(spark, sf).join(F.broadcast(derive.template_versions(spark, sf)), "template_id")
+    catalog = cut_lineage(retrieval.eligible_templates(catalog))
+    ids = bounded_broadcast(catalog.select(F.col("template_page_id").alias("page_id")))
+    pages = derive.layout_pages(spark, sf).join(ids, "page_id", "left_semi")
+    regions = derive.regions(spark, sf).join(ids, "page_id", "left_semi")
+    signatures = signature.layout_signatures(pages, signature.usable_regions(regions)).drop("doc_id", "page_number")
+    stored = signatures.withColumnRenamed("page_id", "template_page_id").join(catalog, "template_page_id")
+    return cut_lineage(stored)
 
 
 def scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    signatures = page_signatures(spark, sf)
-    templates = template_signatures(spark, sf, signatures)
-    return retrieval.score_pairs(retrieval.route_pairs(signatures, templates))
+    pairs = retrieval.route_pairs(page_signatures(spark, sf), template_signatures(spark, sf))
+    return retrieval.score_pairs(pairs)
 
 
 @query("sc01_top01_template_retrieval", oracle(SCORED + """
