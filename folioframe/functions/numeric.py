@@ -35,3 +35,13 @@ def compact(*pairs: tuple[Column, str]) -> Column:
 def let(value: Column, body) -> Column:
     """Bind a value once inside an expression tree that would otherwise repeat it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def rnd_sql(expr: str, digits: int) -> str:
+    """The same rounding as an expression text."""
+    scale = f"{10**digits}D"
+    return f"(floor(({expr}) * {scale} + 0.5D) / {scale})"
+
+
+def clamp_sql(expr: str) -> str:
+    return f"greatest(0D, least(1D, {expr}))"
