@@ -26,6 +26,7 @@ class Rule:
     largest_first: bool
     removes: Callable[[Box, Box], Column]
     copies_fall: bool
+    ties: tuple[str, ...] = ()
 
 
 # Shares at which a box counts as nested or duplicated.
@@ -54,7 +55,7 @@ def _duplicate(winner: Box, loser: Box) -> Column:
 LAYOUT_NESTED = Rule(True, _layout_nested, False)
 FLEXIBLE_TEXT = Rule(True, _nested_text, True)
 FLEXIBLE_BLOCK = Rule(True, _nested_block, True)
-DETECTED_DUPLICATE = Rule(False, _duplicate, True)
+DETECTED_DUPLICATE = Rule(False, _duplicate, True, ("y", "x"))
 
 
 def greedy_keep(
@@ -64,7 +65,7 @@ def greedy_keep(
     shape = [*on, *names]
     unique = boxes.groupBy(*shape).agg(F.min(row_id).alias("first_id"))
     area = Box.of(names).area
-    unique = unique.withColumn("place", F.struct((-area if rule.largest_first else area).alias("a"), "first_id"))
+    unique = unique.withColumn("place", F.struct((-area if rule.largest_first else area).alias("a"), *rule.ties, "first_id"))
 
     tiles = with_tiles(unique, Box.of(names), size)
     tops = tiles.groupBy(*on, "tile_x", "tile_y").agg(

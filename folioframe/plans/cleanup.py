@@ -247,7 +247,7 @@ def nested_regions(spark: SparkSession, sf: str) -> DataFrame:
     return regions.drop_nested(items(spark, sf)).select("page_id", "label", "item_id")
 
 
-@query("win10_duplicate_boxes", oracle(_greedy_sql("width * height ASC", DUPLICATE), "items"))
+@query("win10_duplicate_boxes", oracle(_greedy_sql("width * height ASC, y, x", DUPLICATE), "items"))
 def duplicate_boxes(spark: SparkSession, sf: str) -> DataFrame:
     kept = suppress.greedy_keep(
         items(spark, sf), ["page_id", "label"], "item_id", PIXEL, PIXEL_TILE, suppress.DETECTED_DUPLICATE
