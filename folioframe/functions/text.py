@@ -143,3 +143,51 @@ def score_readings(readings: DataFrame) -> DataFrame:
         .otherwise("low_text_similarity")
     )
     return out.withColumn("failure_reason", reason).drop("ratio", "found")
+
+
+# Noise characters of scanned lines, Thai letters, words that keep a following single letter.
+NOISE = r".·•…_\-=~*|/\\:;,"
+THAI = "ก-๛"
+LABEL_WORDS = ("ประเภท", "type", "class", "grade", "group", "category", "หมวด", "กลุ่ม", "ระดับ")
+BLANKS = r"[ \t\r\f\x0B]+"
+LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85  ]"
+
+
+def _quoted(pattern: str) -> str:
+    return "r'" + pattern.replace("'", "\\'") + "'"
+
+
+def squeeze_lines(text: Column) -> Column:
+    """Trim and squeeze blanks per line, drop blank lines."""
+    lines = F.transform(F.split(text, LINE_ENDS), lambda l: F.trim(F.regexp_replace(l, BLANKS, " ")))
+    return F.array_join(F.filter(lines, lambda l: l != ""), "\n")
+
+
+def drop_noise(text: Column) -> Column:
+    """Remove runs of dots and dashes, punctuation-only lines and tokens, and stray letters in Thai lines."""
+    word = WORD + THAI
+    run = rf"(?U)(?<![{word}])[\s{NOISE}]{{3,}}(?![{word}])"
+
+    def clean_line(line: Column) -> Column:
+        spaced = F.trim(F.regexp_replace(F.regexp_replace(line, run, " "), BLANKS, " "))
+        dotted = (F.length(spaced) >= 2) & spaced.rlike(rf"(?U)^[\s{NOISE}]+$")
+        tokens = F.filter(F.split(spaced, " "), lambda t: (t != "") & ~t.rlike(rf"^[{NOISE}]{{2,}}$"))
+
+        def keep(kept: Column, token: Column) -> Column:
+            # A lone letter stays only behind a label word.
+            before = F.lower(F.regexp_replace(F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit("")), "^[ :：-]+|[ :：-]+$", ""))
+            stray = token.rlike("^[A-Za-z]$") & ~before.isin(*LABEL_WORDS)
+            return F.when(stray, kept).otherwise(F.concat(kept, F.array(token)))
+
+        thai = F.aggregate(tokens, F.array().cast("array<string>"), keep)
+        words = F.when(spaced.rlike(f"[{THAI}]"), thai).otherwise(tokens)
+        return F.when(dotted, F.lit("")).otherwise(F.array_join(words, " "))
+
+    lines = F.transform(F.split(text, LINE_ENDS), clean_line)
+    return F.array_join(F.filter(lines, lambda l: l != ""), "\n")
+
+
+def normalise_text(text: Column, cleanup: bool = True) -> Column:
+    """Compatibility form, squeezed lines and, unless switched off, noise removal."""
+    squeezed = squeeze_lines(nfkc(F.coalesce(text, F.lit(""))))
+    return drop_noise(squeezed) if cleanup else squeezed
