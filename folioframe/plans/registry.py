@@ -11,7 +11,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("layout", "cleanup", "verification", "tables", "export")
+MODULES = ("layout", "cleanup", "verification", "tables", "export", "location")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[QueryFn], QueryFn]:
