@@ -316,34 +316,34 @@ def compact_columns(placed: DataFrame) -> DataFrame:
     )
 
 
-def owner_cells(boxes: DataFrame, owners: DataFrame, tolerance: float = 2.0) -> DataFrame:
+def owner_cells(boxes: DataFrame, owners: DataFrame) -> DataFrame:
     """The cell that owns each text box, or the reason why none does.
 
-    owners: group_id, owner_id, x, y, width, height.
+    owners: group_id, owner_id, x, y, width, height and the containment tolerance tol of the table.
     """
     reach = owners.selectExpr(
-        "group_id", "owner_id", f"x - {tolerance}D AS x", f"y - {tolerance}D AS y", f"width + {2 * tolerance}D AS width",
-        f"height + {2 * tolerance}D AS height", "x AS ox", "y AS oy", "width AS ow", "height AS oh",
+        "group_id", "owner_id", "x - tol AS x", "y - tol AS y", "width + 2 * tol AS width", "height + 2 * tol AS height",
+        "x AS ox", "y AS oy", "width AS ow", "height AS oh", "tol",
     )
 
     def meets(l: Column, r: Column) -> Column:
         inner, outer = Box.field(l, PIXEL), Box(r["ox"], r["oy"], r["ow"], r["oh"])
         contained = (
-            (inner.x >= outer.x - tolerance) & (inner.y >= outer.y - tolerance)
-            & (inner.right <= outer.right + tolerance) & (inner.bottom <= outer.bottom + tolerance)
+            (inner.x >= outer.x - r["tol"]) & (inner.y >= outer.y - r["tol"])
+            & (inner.right <= outer.right + r["tol"]) & (inner.bottom <= outer.bottom + r["tol"])
         )
         return (intersection(inner, outer) > 0) | contained
 
     pairs = pair_overlaps(boxes, reach, GROUP, PIXEL, PIXEL_TILE, meets).selectExpr(
         "group_id", "l.box_id AS box_id", "l.x AS x", "l.y AS y", "l.x + l.width AS x2", "l.y + l.height AS y2",
-        "r.owner_id AS owner_id", "r.ox AS ox", "r.oy AS oy", "r.ox + r.ow AS ox2", "r.oy + r.oh AS oy2",
+        "r.owner_id AS owner_id", "r.ox AS ox", "r.oy AS oy", "r.ox + r.ow AS ox2", "r.oy + r.oh AS oy2", "r.tol AS tol",
     ).selectExpr(
         "group_id", "box_id", "owner_id",
         "greatest(0D, least(x2, ox2) - greatest(x, ox)) * greatest(0D, least(y2, oy2) - greatest(y, oy))"
         " / greatest(1D, (x2 - x) * (y2 - y)) AS share",
         "greatest(0D, least(y2, oy2) - greatest(y, oy)) / greatest(1D, least(y2 - y, oy2 - oy)) AS row_fit",
         "greatest(0D, least(x2, ox2) - greatest(x, ox)) / greatest(1D, least(x2 - x, ox2 - ox)) AS col_fit",
-        f"x >= ox - {tolerance}D AND y >= oy - {tolerance}D AND x2 <= ox2 + {tolerance}D AND y2 <= oy2 + {tolerance}D AS contained",
+        "x >= ox - tol AND y >= oy - tol AND x2 <= ox2 + tol AND y2 <= oy2 + tol AS contained",
     ).withColumn("score", F.expr("share * 0.62D + row_fit * 0.2D + col_fit * 0.18D + CASE WHEN contained THEN 0.35D ELSE 0D END"))
     order = W.partitionBy("group_id", "box_id").orderBy(F.desc("score"), "owner_id")
     best = pairs.withColumn("nth", F.row_number().over(order)).withColumn(

@@ -85,12 +85,13 @@ SELECT o_orderkey AS page_id, o_custkey AS doc_id, CAST(o_orderkey % 3 AS INT) +
 
 
 def layout_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("page_id"),
-        F.col("o_custkey").alias("doc_id"),
-        ((F.col("o_orderkey") % 3).cast("int") + 1).alias("page_number"),
-        (800 + (F.col("o_orderkey") % 5).cast("int") * 50).alias("image_width"),
-        (1000 + (F.col("o_custkey") % 4).cast("int") * 100).alias("image_height"),
+    return pages_from_orders(table(spark, sf, "orders"))
+
+
+def pages_from_orders(orders: DataFrame) -> DataFrame:
+    return orders.selectExpr(
+        "o_orderkey AS page_id", "o_custkey AS doc_id", "cast(o_orderkey % 3 AS int) + 1 AS page_number",
+        "800 + cast(o_orderkey % 5 AS int) * 50 AS image_width", "1000 + cast(o_custkey % 4 AS int) * 100 AS image_height",
     )
 
 

@@ -160,7 +160,7 @@ SELECT group_id, box_id AS owner_id, CAST(((box_id - 1) % 2) * 110 + 5 + group_i
 def owners(spark: SparkSession, sf: str) -> DataFrame:
     return boxes(spark, sf).selectExpr(
         "group_id", "box_id AS owner_id", "cast(((box_id - 1) % 2) * 110 + 5 + group_id % 30 AS double) AS x",
-        "cast(floor((box_id - 1) / 2D) * 40 + 5 + group_id % 9 AS double) AS y", "70D AS width", "18D AS height",
+        "cast(floor((box_id - 1) / 2D) * 40 + 5 + group_id % 9 AS double) AS y", "70D AS width", "18D AS height", "2D AS tol",
     )
 
 
