@@ -11,6 +11,7 @@ from folioframe.functions.numeric import clamp_sql, rnd_sql
 from folioframe.functions.text import anchor_form, ratio_bound, sequence_ratio, similarity_form
 from folioframe.operators.clusters import axis_clusters
 from folioframe.operators.spatial import RATIO_TILE, pair_overlaps
+from folioframe.session import cut_lineage
 
 FIELD = ["page_id", "field_id"]
 
@@ -108,7 +109,9 @@ def validate_groups(groups: DataFrame, fields: DataFrame) -> DataFrame:
 
 def refine_fields(fields: DataFrame, words: DataFrame) -> DataFrame:
     """Every field with its refined region, or its own region and the reason for the fallback."""
-    scored = validate_groups(word_groups(search_words(fields, words)), fields)
+    # Only words near a field are left here, and grouping reads them several times.
+    near = cut_lineage(search_words(fields, words))
+    scored = validate_groups(word_groups(near), fields)
     order = W.partitionBy(*FIELD).orderBy(F.desc("passed"), F.desc("adaptive_confidence"), F.desc("rank_score"), "line", "nth")
     best = scored.withColumn("place", F.row_number().over(order)).filter("place = 1")
     renamed = best.select(

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioframe.session import cut_lineage
+
 MEANINGFUL = "[A-Za-z0-9ก-๙]"
 
 
@@ -111,9 +113,9 @@ def upper_median(counts: DataFrame) -> DataFrame:
     )
 
 
-def row_kinds(cells: DataFrame, depth: DataFrame) -> DataFrame:
-    """header, empty, data or summary for each row with a visible cell; summary needs two of four signs."""
-    stats = row_stats(cells).join(depth, "table_id")
+def row_kinds(stats: DataFrame, depth: DataFrame) -> DataFrame:
+    """header, empty, data or summary for each row of row_stats; summary needs two of four signs."""
+    stats = stats.join(depth, "table_id")
     typical = upper_median(stats.filter("row_no >= header_rows AND populated > 0"))
     joined = stats.join(typical, "table_id", "left").withColumn("typical", F.coalesce("typical", F.lit(0).cast("bigint")))
     near_end = "row_no >= greatest(header_rows, cast(floor(row_count * 0.65D) AS int)) OR row_no >= row_count - 3"
@@ -130,13 +132,13 @@ def row_kinds(cells: DataFrame, depth: DataFrame) -> DataFrame:
     )
 
 
-def summary_pairs(cells: DataFrame, depth: DataFrame) -> DataFrame:
+def summary_pairs(cells: DataFrame, stats: DataFrame, depth: DataFrame) -> DataFrame:
     """Label and value pairs of the best summary region of each table.
 
     A region starts where the populated count drops against the last five rows; at most the first rows of a
     sparse run can start one, so the work stays linear in the rows.
     """
-    stats = row_stats(cells).join(depth, "table_id").filter("row_no >= header_rows AND populated > 0")
+    stats = stats.join(depth, "table_id").filter("row_no >= header_rows AND populated > 0")
     order = W.partitionBy("table_id").orderBy("row_no")
     last5 = order.rowsBetween(-5, -1)
     history = stats.withColumn("counts", F.sort_array(F.collect_list("populated").over(last5))).withColumn(
@@ -182,10 +184,12 @@ def summary_pairs(cells: DataFrame, depth: DataFrame) -> DataFrame:
 
 def key_value_records(cells: DataFrame) -> DataFrame:
     """One record per data row: header key to text for every column."""
-    depth = header_depth(cells)
+    # Both are small next to the cells and read several times.
+    depth = cut_lineage(header_depth(cells))
+    stats = cut_lineage(row_stats(cells))
     keys = header_keys(cells, depth)
-    summary = summary_pairs(cells, depth).select("table_id", "row_no").distinct()
-    data = row_kinds(cells, depth).filter("kind = 'data'").join(summary, ["table_id", "row_no"], "left_anti")
+    summary = summary_pairs(cells, stats, depth).select("table_id", "row_no").distinct()
+    data = row_kinds(stats, depth).filter("kind = 'data'").join(summary, ["table_id", "row_no"], "left_anti")
     ordered = keys.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("col_no", "header_key"))).alias("heads"))
     return grid_rows(cells).join(data, ["table_id", "row_no"], "left_semi").join(ordered, "table_id").selectExpr(
         "table_id", "row_no", "transform(heads, h -> named_struct('key', h.header_key, 'value', coalesce(get(texts, h.col_no), ''))) AS entries"

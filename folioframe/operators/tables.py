@@ -20,6 +20,7 @@ from folioframe.operators.clusters import (
     sweep_centres,
 )
 from folioframe.operators.spatial import PIXEL_TILE, pair_overlaps
+from folioframe.session import cut_lineage
 
 GROUP = ["group_id"]
 
@@ -59,7 +60,7 @@ def raw_geometry_table(boxes: DataFrame) -> DataFrame:
 def borderless_boxes(boxes: DataFrame) -> DataFrame:
     """Boxes with row and nearest column; groups with fewer than two columns drop out."""
     rows = with_rows(boxes).withColumn("centre_x", F.expr("x + width / 2"))
-    rows = rows.withColumn("col_tolerance", F.expr("greatest(14D, mid_width * 0.75D)"))
+    rows = cut_lineage(rows.withColumn("col_tolerance", F.expr("greatest(14D, mid_width * 0.75D)")))
     centres = sweep_centres(rows, GROUP, "centre_x", "col_tolerance").filter(f"size(centres) >= {MIN_COLUMNS}")
     return rows.join(centres, GROUP).selectExpr(
         *[c for c in boxes.columns], "row_no", nearest("centre_x", "centres") + " AS col_no", "size(centres) AS col_count"

@@ -10,6 +10,7 @@ from folioframe.operators import grids
 from folioframe.plans.derive import oracle, sql, table
 from folioframe.plans.registry import query
 from folioframe.plans.tables import CELL, cells
+from folioframe.session import cut_lineage
 from folioframe.sources import export, html
 
 # Wide tables: a two-row header where the second row only names the spanned columns, then line items;
@@ -155,7 +156,7 @@ kinds AS (SELECT st.table_id, st.row_no, CASE WHEN st.row_no < h THEN 'header' W
 @query("tbl18_row_kinds", oracle(f"WITH {KINDS} SELECT table_id, row_no, kind FROM kinds", "wide"))
 def row_kinds(spark: SparkSession, sf: str) -> DataFrame:
     source = wide(spark, sf)
-    return grids.row_kinds(source, grids.header_depth(source))
+    return grids.row_kinds(grids.row_stats(source), grids.header_depth(source))
 
 
 SUMMARY = KINDS + """,
@@ -176,14 +177,14 @@ summ AS (SELECT p.table_id, p.row_no, p.lc, p.vc, p.key, p.value FROM prs p JOIN
 @query("win16_summary_pairs", oracle(f"WITH {SUMMARY} SELECT table_id, row_no, CAST(lc AS INTEGER) AS label_col, CAST(vc AS INTEGER) AS value_col, key, value FROM summ", "wide"))
 def summary_pairs(spark: SparkSession, sf: str) -> DataFrame:
     source = wide(spark, sf)
-    return grids.summary_pairs(source, grids.header_depth(source))
+    return grids.summary_pairs(source, cut_lineage(grids.row_stats(source)), cut_lineage(grids.header_depth(source)))
 
 
 @query("tbl19_key_value_records", oracle(f"""WITH {SUMMARY}
 SELECT g.table_id, g.row_no, string_agg(k.header_key || '=' || g.text, ';' ORDER BY g.col_no) AS record FROM grid g JOIN keys k ON k.table_id = g.table_id AND k.col_no = g.col_no
 JOIN kinds d ON d.table_id = g.table_id AND d.row_no = g.row_no AND d.kind = 'data' ANTI JOIN (SELECT DISTINCT table_id, row_no FROM summ) s ON s.table_id = g.table_id AND s.row_no = g.row_no GROUP BY ALL""", "wide"))
 def key_value_records(spark: SparkSession, sf: str) -> DataFrame:
-    return grids.key_value_records(wide(spark, sf)).selectExpr(
+    return grids.key_value_records(cut_lineage(wide(spark, sf))).selectExpr(
         "table_id", "row_no", "array_join(transform(entries, e -> concat(e.key, '=', e.value)), ';') AS record"
     )
 

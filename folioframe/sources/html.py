@@ -13,9 +13,14 @@ CELL = "array<struct<row_no:int,col_no:int,text:string,row_span:int,col_span:int
 
 def _inner_text(expr: str) -> str:
     plain = f"regexp_replace({expr}, '<[^>]*>', ' ')"
+    readable = "t"
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\\'"), ("&amp;", "&")):
-        plain = f"replace({plain}, '{entity}', '{char}')"
-    return f"trim(regexp_replace({plain}, '\\\\s+', ' '))"
+        readable = f"replace({readable}, '{entity}', '{char}')"
+    squeezed = "trim(regexp_replace({0}, '\\\\s+', ' '))"
+    return (
+        f"element_at(transform(array({plain}), t -> CASE WHEN contains(t, '&') THEN {squeezed.format(readable)}"
+        f" ELSE {squeezed.format('t')} END), 1)"
+    )
 
 
 def _span(expr: str, name: str) -> str:
@@ -26,19 +31,23 @@ def _span(expr: str, name: str) -> str:
 def table_cells(documents: DataFrame, key: str, html: str) -> DataFrame:
     """Cells of the first table of each document, hidden cells for covered slots included."""
     body = f"regexp_extract({html}, '(?is)<table\\\\b[^>]*>(.*?)</table>', 1)"
-    rows = f"regexp_extract_all(CASE WHEN {body} = '' THEN {html} ELSE {body} END, '(?is)<tr\\\\b[^>]*>(.*?)</tr>', 1)"
     cells = "regexp_extract_all(r, '(?is)<t[hd]\\\\b[^>]*>.*?</t[hd]>', 0)"
     head = "regexp_extract(c, '(?is)^<t[hd]\\\\b[^>]*>', 0)"
+    one = (
+        f"element_at(transform(array({head}), h -> named_struct('text', {_inner_text('c')},"
+        f" 'rs', CASE WHEN contains(lower(h), 'span') THEN {_span('h', 'rowspan')} ELSE 1 END,"
+        f" 'cs', CASE WHEN contains(lower(h), 'span') THEN {_span('h', 'colspan')} ELSE 1 END)), 1)"
+    )
     parsed = (
-        f"transform({rows}, r -> transform({cells}, c -> named_struct('text', {_inner_text('c')},"
-        f" 'rs', {_span(head, 'rowspan')}, 'cs', {_span(head, 'colspan')})))"
+        f"element_at(transform(array({body}), b -> transform(regexp_extract_all(CASE WHEN b = '' THEN {html} ELSE b END,"
+        f" '(?is)<tr\\\\b[^>]*>(.*?)</tr>', 1), r -> transform({cells}, c -> {one}))), 1)"
     )
-    flat = documents.selectExpr(key, f"{parsed} AS html_rows").selectExpr(
-        key, "html_rows", "exists(html_rows, r -> exists(r, c -> c.rs > 1 OR c.cs > 1)) AS spanned"
+    # The generator keeps later expressions from repeating the parse.
+    flat = documents.selectExpr(key, f"explode(array({parsed})) AS html_rows")
+    plain = (
+        f"cast(flatten(transform(html_rows, (r, i) -> transform(r, (c, j) -> named_struct('row_no', i, 'col_no', j, 'text', c.text,"
+        f" 'row_span', 1, 'col_span', 1, 'hidden', false)))) AS {CELL})"
     )
-    plain = flat.filter("NOT spanned").selectExpr(key, "posexplode(html_rows) AS (row_no, cells)").selectExpr(
-        key, "row_no", "posexplode(cells) AS (col_no, cell)"
-    ).selectExpr(key, "row_no", "col_no", "cell.text AS text", "1 AS row_span", "1 AS col_span", "false AS hidden")
     items = "flatten(transform(html_rows, (r, i) -> transform(r, (c, j) -> named_struct('r', i, 'first', j = 0, 'c', c))))"
     # covered: slots taken by earlier cells; the next free column of the row is the first not covered.
     free = (
@@ -55,5 +64,5 @@ def table_cells(documents: DataFrame, key: str, html: str) -> DataFrame:
           'out', concat(a.out, cast(array(named_struct('row_no', x.r, 'col_no', col, 'text', x.c.text, 'row_span', x.c.rs, 'col_span', x.c.cs, 'hidden', false)) AS {CELL}),
              cast(transform(slice({slots}, 2, x.c.rs * x.c.cs), s -> named_struct('row_no', s.r, 'col_no', s.c, 'text', '', 'row_span', 1, 'col_span', 1, 'hidden', true)) AS {CELL})))), 1),
         a -> a.out)"""
-    merged = flat.filter("spanned").selectExpr(key, f"inline({fold})")
-    return plain.unionByName(merged)
+    spanned = "exists(html_rows, r -> exists(r, c -> c.rs > 1 OR c.cs > 1))"
+    return flat.selectExpr(key, f"inline(CASE WHEN {spanned} THEN {fold} ELSE {plain} END)")
