@@ -28,7 +28,7 @@ def oracle(body: str, *names: str) -> str:
 
     for name in names:
         add(name)
-    ctes = [f"{name} AS ({SQL[name][0]})" for name in done]
+    ctes = [f"{name} AS MATERIALIZED ({SQL[name][0]})" for name in done]
     text = body.strip()
     if text.upper().startswith("WITH RECURSIVE "):
         return "WITH RECURSIVE " + ", ".join([*ctes, text[len("WITH RECURSIVE "):]])

@@ -39,6 +39,10 @@ sql("leaders", """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, label ORDER BY centre_y, centre_x, region_id) AS place
                FROM usable) WHERE place <= 20""", "usable")
 
+# Template pages are few; naming them first keeps the comparison a join of every page with those.
+sql("t_leaders", "SELECT * FROM leaders SEMI JOIN template_pages ON template_page_id = page_id", "leaders", "template_pages")
+sql("t_cells48", "SELECT * FROM cells48 SEMI JOIN template_pages ON template_page_id = page_id", "cells48", "template_pages")
+
 sql("page_pairs", """
 SELECT p.page_id, p.doc_id, p.page_number, t.template_page_id, t.template_id, t.page_number AS template_page_number,
        tp.image_width / tp.image_height AS raw_t, p.image_width / p.image_height AS raw_q
@@ -63,13 +67,13 @@ sql("grid_dots", """
 SELECT x.page_id, x.template_page_id, q.label,
        CAST(sum(least(q.area, 1000000) * least(t.area, 1000000)) AS DOUBLE) AS dot
 FROM page_pairs x JOIN cells48 q ON q.page_id = x.page_id
-     JOIN cells48 t ON t.page_id = x.template_page_id AND t.label = q.label AND t.cell = q.cell
-GROUP BY ALL""", "page_pairs", "cells48")
+     JOIN t_cells48 t ON t.page_id = x.template_page_id AND t.label = q.label AND t.cell = q.cell
+GROUP BY ALL""", "page_pairs", "cells48", "t_cells48")
 
 sql("shares", f"""
 SELECT q.page_id, t.page_id AS template_page_id, q.label, q.place AS qplace, t.place AS tplace, {box_sim('q', 't')} AS s
 FROM page_pairs x JOIN leaders q ON q.page_id = x.page_id
-     JOIN leaders t ON t.page_id = x.template_page_id AND t.label = q.label""", "page_pairs", "leaders")
+     JOIN t_leaders t ON t.page_id = x.template_page_id AND t.label = q.label""", "page_pairs", "leaders", "t_leaders")
 
 WALK = """walk AS (
   SELECT page_id, template_page_id, label, 0::BIGINT AS step, CAST([] AS BIGINT[]) AS used, 0.0::DOUBLE AS total

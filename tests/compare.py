@@ -28,6 +28,7 @@ def rows_of(values, names) -> list[tuple]:
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
+    con.execute("SET memory_limit='8GB'")
     for path in glob.glob(f"{sf_dir}/*.parquet"):
         name = os.path.basename(path)[:-8]
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
