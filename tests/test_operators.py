@@ -186,7 +186,7 @@ def test_projection_falls_back(spark):
 def test_collapse_is_rebuilt(spark):
     cells = [(1, 0, 0, "key", 10.0, 8.0, 60.0, 14.0), (1, 0, 1, "sum", 120.0, 8.0, 60.0, 14.0), (1, 1, 0, "a", 10.0, 40.0, 60.0, 160.0), (1, 1, 1, "b", 120.0, 40.0, 60.0, 160.0)]
     model = spark.createDataFrame(cells, "group_id int, row_no int, col_no int, text string, x double, y double, width double, height double").selectExpr("*", "1 AS row_span", "1 AS col_span")
-    seen = [(1, 2 * r + c, f"t{r}{c}", 0.9, 10.0 + 110 * c, 45.0 + 40 * r) for r in range(4) for c in range(2)]
+    seen = [(1, 2 * r + c, f"t{r}{c}", 0.9, 10.0 + 110 * c, 60.0 + 32 * r) for r in range(4) for c in range(2)]
     boxes = spark.createDataFrame(seen, "group_id int, box_id int, text string, confidence double, x double, y double").selectExpr("*", "60D AS width", "14D AS height")
     rebuilt, verdict = repair.repair_collapse(model, boxes)
     assert rows(verdict, "recovered_rows", "recovered_columns", "selected") == [(5, 2, True)]
