@@ -18,6 +18,7 @@ from folioframe.functions.geometry import (
 from folioframe.operators.ordering import previous_values, row_places, running_total
 from folioframe.operators.spatial import PIXEL_TILE, RATIO_TILE, pair_overlaps, touching_ids
 from folioframe.operators.suppress import LAYOUT_NESTED, greedy_keep
+from folioframe.session import cut_lineage
 
 PAGE_ITEM = ["page_id", "item_id"]
 
@@ -204,7 +205,7 @@ def paragraph_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     )
     order = ["centre_y", "x_ratio", "line_id"]
     near = previous_values(real, keys, order, RATIO_TILE, list(RATIO))
-    near = near.withColumn("raw_gap", F.expr("y_ratio - (prev_y_ratio + prev_height_ratio)"))
+    near = cut_lineage(near.withColumn("raw_gap", F.expr("y_ratio - (prev_y_ratio + prev_height_ratio)")))
     mids = near.groupBy(*keys).agg(
         F.expr("median(height_ratio)").alias("mid_height"),
         F.expr("median(width_ratio)").alias("mid_width"),
@@ -234,7 +235,7 @@ def paragraph_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
         AND {total(BREAK, BREAK_WEIGHTS.get)} >= 85
         AND (gap_evidence OR (first_line_evidence AND gap_ratio >= 1.35D))
         AND NOT (overlap >= 0.68D AND indent_ratio < 0.12D AND gap_ratio < 1.85D) THEN 1 ELSE 0 END"""
-    flagged = measured.withColumn("starts", F.expr(breaks)).select(*real.columns, "starts")
+    flagged = cut_lineage(measured.withColumn("starts", F.expr(breaks)).select(*real.columns, "starts"))
     numbered = running_total(flagged, keys, order, RATIO_TILE, "starts", "before")
     return numbered.withColumn("paragraph", (F.col("before") + 1).cast("int")).drop("starts", "before", "centre_y")
 

@@ -65,7 +65,8 @@ def greedy_keep(
     shape = [*on, *names]
     unique = boxes.groupBy(*shape).agg(F.min(row_id).alias("first_id"))
     area = Box.of(names).area
-    unique = unique.withColumn("place", F.struct((-area if rule.largest_first else area).alias("a"), *rule.ties, "first_id"))
+    ranked = unique.withColumn("place", F.struct((-area if rule.largest_first else area).alias("a"), *rule.ties, "first_id"))
+    unique = cut_lineage(ranked)
 
     tiles = with_tiles(unique, Box.of(names), size)
     tops = tiles.groupBy(*on, "tile_x", "tile_y").agg(
@@ -74,7 +75,7 @@ def greedy_keep(
     crowded = tops.filter("crowd > 1").drop("crowd")
     facing = tiles.join(crowded, [*on, "tile_x", "tile_y"])
     # A sure survivor leads in every tile it touches, so whatever it covers meets it right here.
-    loses = facing.filter(F.col("place") != F.col("top.place"))
+    loses = cut_lineage(facing.filter(F.col("place") != F.col("top.place")))
     contested = loses.select(*on, "first_id").distinct()
     sure = unique.join(contested, [*on, "first_id"], "left_anti")
     hit = rule.removes(Box.field(F.col("top"), names), Box.of(names))
