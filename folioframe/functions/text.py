@@ -153,10 +153,6 @@ BLANKS = r"[ \t\r\f\x0B]+"
 LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85  ]"
 
 
-def _quoted(pattern: str) -> str:
-    return "r'" + pattern.replace("'", "\\'") + "'"
-
-
 def squeeze_lines(text: Column) -> Column:
     """Trim and squeeze blanks per line, drop blank lines."""
     lines = F.transform(F.split(text, LINE_ENDS), lambda l: F.trim(F.regexp_replace(l, BLANKS, " ")))

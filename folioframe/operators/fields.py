@@ -145,7 +145,10 @@ def locate_anchors(anchors: DataFrame, regions: DataFrame) -> DataFrame:
     where lengths allow the needed similarity.
     """
     wanted = anchors.withColumn("expected", similarity_form(anchor_form(F.col("expected_text"))))
-    pages = regions.select("page_id", "region_id", similarity_form(anchor_form(F.col("text"))).alias("found"))
+    # Equal texts of a page collapse to their first region before anything is compared.
+    pages = regions.select("page_id", "region_id", similarity_form(anchor_form(F.col("text"))).alias("found")).groupBy("page_id", "found").agg(
+        F.min("region_id").alias("region_id")
+    )
     pairs = wanted.filter("expected <> ''").select("page_id", "anchor_id", "expected").join(pages, "page_id")
     inside, holds = F.contains(F.col("found"), F.col("expected")), F.contains(F.col("expected"), F.col("found"))
     need = (F.col("found") != "") & ~inside & (holds | (ratio_bound(F.col("expected"), F.col("found")) >= MIN_TEXT_SIMILARITY))

@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioframe.operators.ordering import running_total
 from folioframe.session import cut_lineage
 
 MEANINGFUL = "[A-Za-z0-9ก-๙]"
+ROWS_PER_BUCKET = 4096.0
 
 
 def meaningful(text: Column) -> Column:
@@ -152,15 +154,14 @@ def summary_pairs(cells: DataFrame, stats: DataFrame, depth: DataFrame) -> DataF
         " AND populated <= greatest(2L, floor(typical * 0.6D)) AND typical - populated >= 2"
     ).selectExpr("table_id", "row_no AS start_row", "typical", "typical_span", "greatest(2L, floor(typical * 0.65D)) AS sparse_limit",
                  "row_no >= greatest(header_rows, cast(floor(row_count * 0.55D) AS int)) OR row_no >= row_count - 4 AS near_tail")
-    # The run ends before the next row above the limit; the limit is below the typical count, so the next
-    # start's history can only begin after such a row.
+    # Rows above a limit cut the table into runs. A limit is a small number of columns, so a table has few of
+    # them; a start meets only the rows of its own run.
     rows = stats.select("table_id", "row_no", "populated", "spanned", "span_score")
-    stops = starts.join(rows, "table_id").filter("row_no > start_row AND populated > sparse_limit").groupBy("table_id", "start_row").agg(
-        F.min("row_no").alias("stop_row")
-    )
-    members = starts.join(stops, ["table_id", "start_row"], "left").join(rows, "table_id").filter(
-        "row_no >= start_row AND row_no < coalesce(stop_row, 2147483647) AND populated <= sparse_limit"
-    )
+    limits = starts.select("table_id", "sparse_limit").distinct()
+    marked = rows.join(limits, "table_id").withColumn("dense", F.expr("CASE WHEN populated > sparse_limit THEN 1 ELSE 0 END"))
+    runs = running_total(marked, ["table_id", "sparse_limit"], ["row_no"], ROWS_PER_BUCKET, "dense", "run")
+    placed = starts.join(runs.select("table_id", "sparse_limit", F.col("row_no").alias("start_row"), "run"), ["table_id", "sparse_limit", "start_row"])
+    members = placed.join(runs, ["table_id", "sparse_limit", "run"]).filter("row_no >= start_row AND populated <= sparse_limit")
     filled = cells.filter("NOT hidden").filter(meaningful(F.col("text"))).withColumn(
         "nth", F.row_number().over(W.partitionBy("table_id", "row_no").orderBy("col_no"))
     ).select("table_id", "row_no", "col_no", F.trim("text").alias("text"), "nth")

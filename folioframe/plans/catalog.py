@@ -89,9 +89,6 @@ def template_fields(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("field_id", "page_id", "source", "is_anchor", "weight", "roi_mode")
 
 
-STATUS = {"F": "active", "O": "draft", "P": "validated"}
-
-
 @query("agg07_dashboard", oracle("""
 SELECT (SELECT count(*) FROM orders) AS template_count, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS draft_template_count, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS active_template_count,
   (SELECT count(*) FROM lineitem WHERE l_returnflag IN ('A', 'N')) AS pending_request_count, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS rejected_request_count"""))

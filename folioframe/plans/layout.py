@@ -124,7 +124,7 @@ def page_signatures(spark: SparkSession, sf: str) -> DataFrame:
 
 def template_signatures(spark: SparkSession, sf: str) -> DataFrame:
     """The catalog side: few rows, written once, read for every comparison."""
-    catalog = derive.template_pages(spark, sf).join(F.broadcast(derive.template_versions(spark, sf)), "template_id")
+    catalog = derive.template_pages(spark, sf).join(bounded_broadcast(derive.template_versions(spark, sf)), "template_id")
     catalog = cut_lineage(retrieval.eligible_templates(catalog))
     ids = bounded_broadcast(catalog.select(F.col("template_page_id").alias("page_id")))
     pages = derive.layout_pages(spark, sf).join(ids, "page_id", "left_semi")
