@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import math
 import os
+import tempfile
 import time
 
 import duckdb
@@ -29,6 +30,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     con.execute("SET memory_limit='8GB'")
+    con.execute(f"SET temp_directory='{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}'")
     for path in glob.glob(f"{sf_dir}/*.parquet"):
         name = os.path.basename(path)[:-8]
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
