@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioframe.session import cut_lineage
 
-__all__ = ["WORD", "SPACE_LIST", "words", "table", "crc_mod", "fresh", "split_words", "WordHashes", "difference_cover", "cut_lineage"]
+__all__ = ["WORD", "SPACE_LIST", "words", "table", "crc_mod", "fresh", "split_words", "WordHashes", "difference_cover", "slices", "cut_lineage"]
 
 #: A word is a run of characters other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,3 +82,18 @@ def difference_cover(period: int) -> list[int]:
         if found := grow([0], frozenset([0]), size):
             return found
     return list(range(period))
+
+
+def slices(batch, column: str, limit: int = 4 << 20):
+    """Cut a record batch into runs of rows whose texts hold about `limit` bytes; a longer text is a run of its own."""
+    import pyarrow.compute as pc
+
+    if batch.num_rows == 0:
+        return
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0))
+    run = np.concatenate([[0], np.cumsum(sizes)])
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(run, run[start] + limit, side="right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop

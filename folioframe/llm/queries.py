@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioframe.llm import quality
-from folioframe.llm.common import table
+from folioframe.llm import bpe, language, lm, quality, secrets, substring, topk
+from folioframe.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +59,88 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fail_bits", "base_failed", "kept",
     )
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    dictionaries = language.fit(docs.where(~held_out))
+    return language.predict(docs.select("doc_id", "text"), dictionaries).withColumn("held_out", held_out).select(
+        "doc_id", "held_out", "lang_pred", "score", "rejected",
+    )
+
+
+@query("op8_byte_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the bytes they decode to, as digests."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    both = bpe.decode(encoded, path)
+    return both.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS tokens FROM documents),
+p AS (SELECT rid, doc_id, unnest(generate_series(1, len(tokens) - 49)) AS i, tokens FROM d WHERE len(tokens) >= 50),
+h AS (SELECT rid, doc_id, i, md5(array_to_string(tokens[i:i + 49], ' ')) AS h FROM p),
+f AS (SELECT rid, i FROM (SELECT rid, doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first FROM h) WHERE doc_id > first),
+c AS (SELECT DISTINCT rid, unnest(generate_series(i, i + 49)) AS place FROM f),
+g AS (SELECT rid, count(*) AS n, list(place) AS gone FROM c GROUP BY rid)
+SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN n IS NULL THEN tokens
+         ELSE list_transform(list_filter(generate_series(1, len(tokens)), lambda x: NOT list_contains(gone, x)), lambda x: tokens[x]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (rid)
+"""
+
+
+@query("op5_substring_dedup", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 50-word passages that an earlier one starts too."""
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP6_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+@query("op6_exact_topk", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every 50th one."""
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op2_lm_scoring")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model and frequency scores of every document, learned from the nine tenths that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 10) == 0
+    scored = lm.score(docs, docs.where(~held_out), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return scored.withColumn("held_out", held_out).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )
+
+
+@query("op7_secret_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document: those of the fixed patterns as counts and a digest, and all of them spelled out."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.spell(F.filter("spans", lambda s: s["kind"] < 3)).cast("binary"), 256).alias("base_sha256"),
+        secrets.spell(F.col("spans")).alias("spans"),
+    )
