@@ -122,20 +122,26 @@ def merge_bytes(piece: bytes, vocabulary: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes; remembers runs up to a bound."""
+class Runs(dict):
+    """Ids of texts as little-endian unsigned 32-bit bytes, from a function that splits any string; remembers runs up to a bound.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, bound: int = 400_000):
-        self.ranks, self.hash, self.pattern, self.bound = ranks, PerfectHash.build(ranks), regex.compile(pattern), bound
-        self.runs: dict[str, bytes | None] = _Runs(self)
+    A key is a run after a blank, or one that starts with its line end; the value is None where blanks reach into the next run.
+    """
 
-    def piece(self, piece: bytes) -> list[int]:
-        known = self.hash.get(piece)
-        return [known] if known is not None else merge_bytes(piece, self.ranks)
+    def __init__(self, split, bound: int = 400_000):
+        super().__init__()
+        self.split, self.bound = split, bound
 
-    def split(self, text: str) -> bytes:
-        ids = [i for p in self.pattern.findall(text) for i in self.piece(p.encode("utf-8", "surrogatepass"))]
-        return np.array(ids, dtype="<u4").tobytes()
+    def __missing__(self, run: str) -> bytes | None:
+        if len(self) >= self.bound:
+            self.clear()
+        body = run[1:] if run[:1] == "\n" else run
+        if not body or body[0].isspace() or body[-1].isspace():
+            value = None
+        else:
+            value = self.split(run if run[0] == "\n" else " " + run)
+        self[run] = value
+        return value
 
     def text(self, text: str) -> bytes:
         if not text:
@@ -144,28 +150,25 @@ class Encoder:
         if not parts[0] or parts[0][-1].isspace():
             return self.split(text)
         try:
-            return self.split(parts[0]) + b"".join(map(self.runs.__getitem__, parts[1:]))
+            return self.split(parts[0]) + b"".join(map(self.__getitem__, parts[1:]))
         except TypeError:  # a run that cannot be split alone
             return self.split(text)
 
 
-class _Runs(dict):
-    """Run after a blank, or starting with its line end -> ids; None where the blanks reach into the next run."""
+class Encoder:
+    """Byte-level BPE of strings by the two tiers."""
 
-    def __init__(self, owner: Encoder):
-        super().__init__()
-        self.owner = owner
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks, self.hash, self.pattern = ranks, PerfectHash.build(ranks), regex.compile(pattern)
+        self.text = Runs(self.split).text
 
-    def __missing__(self, run: str) -> bytes | None:
-        if len(self) >= self.owner.bound:
-            self.clear()
-        body = run[1:] if run[:1] == "\n" else run
-        if not body or body[0].isspace() or body[-1].isspace():
-            value = None
-        else:
-            value = self.owner.split(run if run[0] == "\n" else " " + run)
-        self[run] = value
-        return value
+    def piece(self, piece: bytes) -> list[int]:
+        known = self.hash.get(piece)
+        return [known] if known is not None else merge_bytes(piece, self.ranks)
+
+    def split(self, text: str) -> bytes:
+        ids = [i for p in self.pattern.findall(text) for i in self.piece(p.encode("utf-8", "surrogatepass"))]
+        return np.array(ids, dtype="<u4").tobytes()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import bpe, language, lm, quality, secrets, substring, topk
+from folioframe.llm import bpe, language, lines, lm, ngram_join, packing, quality, secrets, substring, topk
 from folioframe.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,36 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.spell(F.filter("spans", lambda s: s["kind"] < 3)).cast("binary"), 256).alias("base_sha256"),
         secrets.spell(F.col("spans")).alias("spans"),
     )
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT rid, doc_id, source, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS place FROM d),
+w AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+s AS (SELECT line, min(doc_id) AS first FROM w GROUP BY line HAVING count(DISTINCT source) >= 10),
+g AS (SELECT rid, list(place) AS gone, count(*) AS n FROM w JOIN s USING (line) WHERE doc_id > first GROUP BY rid),
+c AS (SELECT rid, count(*) AS n_lines FROM w GROUP BY rid)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n, 0) AS n_removed,
+       sha256(CASE WHEN n IS NULL THEN coalesce(text, '')
+         ELSE array_to_string(list_transform(list_filter(generate_series(1, len(lines)), lambda x: NOT list_contains(gone, x)), lambda x: lines[x]), chr(10)) END) AS kept_sha256
+FROM d LEFT JOIN g USING (rid) LEFT JOIN c USING (rid)
+"""
+
+
+@query("op9_line_dedup", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that ten or more sources share, which stay in the first document only."""
+    kept = lines.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op10_ngram_jaccard")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose word 5-gram sets are at least three quarters alike."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 1024 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
