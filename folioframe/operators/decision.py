@@ -18,8 +18,8 @@ FULL_EVALUATIONS = 5
 def verification_rollup(checked: DataFrame, key: str) -> DataFrame:
     """Weighted scores per template; required anchors must all pass. Weight null or 0 counts as 1."""
     weight = F.greatest(F.lit(0.0), F.coalesce(F.expr("nullif(weight, 0)"), F.lit(1.0)))
-    # Ten-thousandths times hundredths, so that the sums are exact.
-    w, s = units(weight, 2), units(F.col("score"), 4)
+    # Decimals, so that the sums are exact and no weight is too small to count.
+    w, s = weight.cast("decimal(20,12)"), units(F.col("score"), 4)
 
     def kind(name: str) -> Column:
         return F.col("anchor_type") == name
@@ -35,9 +35,9 @@ def verification_rollup(checked: DataFrame, key: str) -> DataFrame:
     )
     return sums.selectExpr(
         key, "anchors", "required_passed", "required_failed",
-        rnd_sql("coalesce(ws / nullif(w, 0), 0D) / 10000D", 4) + " AS score",
-        "CASE WHEN tw IS NULL THEN 1D ELSE " + rnd_sql("coalesce(tws / nullif(tw, 0), 0D) / 10000D", 4) + " END AS text_anchor_score",
-        "CASE WHEN iw IS NULL THEN 1D ELSE " + rnd_sql("coalesce(iws / nullif(iw, 0), 0D) / 10000D", 4) + " END AS image_anchor_score",
+        rnd_sql("coalesce(cast(ws AS double) / nullif(cast(w AS double), 0D), 0D) / 10000D", 4) + " AS score",
+        "CASE WHEN tw IS NULL THEN 1D ELSE " + rnd_sql("coalesce(cast(tws AS double) / nullif(cast(tw AS double), 0D), 0D) / 10000D", 4) + " END AS text_anchor_score",
+        "CASE WHEN iw IS NULL THEN 1D ELSE " + rnd_sql("coalesce(cast(iws AS double) / nullif(cast(iw AS double), 0D), 0D) / 10000D", 4) + " END AS image_anchor_score",
         "tw IS NOT NULL AS has_text_anchor", "iw IS NOT NULL AS has_image_anchor",
         "CASE WHEN required_passed THEN 'verified' ELSE 'failed' END AS status",
     )
@@ -178,29 +178,30 @@ def draft_report(candidates: DataFrame, draft: Column) -> DataFrame:
 def category_evidence(logits: DataFrame) -> DataFrame:
     """Rank, margin and shares of the target category. Logits sit in one array per image: no shuffle.
 
-    Needs logits ARRAY<DOUBLE> and target (position, null when the category is unknown).
+    Needs logits ARRAY<DOUBLE> and target (position). A target outside the logits, or null, is an error with evidence 0 and no rank.
     """
     step = logits.selectExpr(
-        "*", "array_max(logits) AS top", "size(logits) AS n", "element_at(logits, target + 1) AS raw",
+        "*", "array_max(logits) AS top", "size(logits) AS n", "get(logits, target) AS raw",
     ).selectExpr(
         "*",
         "cast(array_position(logits, top) - 1 AS int) AS predicted",
         "aggregate(logits, 0D, (s, v) -> s + exp(v - top)) AS total",
-        "aggregate(transform(logits, (v, i) -> CASE WHEN v > raw OR (v = raw AND i < target) THEN 1 ELSE 0 END), 1, (s, v) -> s + v)"
-        " AS target_rank",
+        "CASE WHEN raw IS NOT NULL THEN aggregate(transform(logits, (v, i) -> CASE WHEN v > raw OR (v = raw AND i < target) THEN 1 ELSE 0 END),"
+        " 1, (s, v) -> s + v) END AS target_rank",
         "coalesce(get(sort_array(logits, false), 1), top) AS second",
     ).selectExpr(
         "*", "transform(logits, v -> " + rnd_sql("exp(v - top) / total * 100D", 1) + ") AS shares",
     ).selectExpr("*", rnd_sql("100D - aggregate(shares, 0D, (s, v) -> s + v)", 1) + " AS residue",
                  "cast(array_position(shares, array_max(shares)) - 1 AS int) AS largest")
     return step.selectExpr(
-        "image_id", "target", "predicted", "target_rank", "target_rank = 1 AS passed",
+        "image_id", "target", "predicted", "target_rank", "coalesce(target_rank = 1, false) AS passed",
         "CASE WHEN target_rank = 1 THEN 1D ELSE 0D END AS evidence_score",
-        "CASE WHEN target_rank = 1 THEN 'matched' ELSE 'mismatched' END AS status",
+        "CASE WHEN raw IS NULL THEN 'error' WHEN target_rank = 1 THEN 'matched' ELSE 'mismatched' END AS status",
+        "CASE WHEN coalesce(n, 0) <= 0 THEN 'no_active_categories' WHEN raw IS NULL THEN 'category_not_found' END AS error",
         rnd_sql("CASE WHEN target_rank = 1 THEN top - second ELSE raw - top END", 4) + " AS score_margin",
         rnd_sql("raw", 4) + " AS raw_logit",
         rnd_sql("1D / (1D + exp(-raw))", 4) + " AS raw_pair_score",
-        rnd_sql("exp(raw - top) / total * 100D", 2) + " AS relative_percentage",
+        rnd_sql("exp(raw - top) / nullif(total, 0D) * 100D", 2) + " AS relative_percentage",
         rnd_sql("element_at(shares, largest + 1) + residue", 1) + " AS top_percentage",
     )
 

@@ -2,7 +2,7 @@
 
 Sums run over whole millionths of the page, so a signature does not depend on the order in which tasks
 finish; grid areas stay in that unit, because a cosine does not change with scale.
-Region lists hold the first 20 per label, which is all that the spatial score ever reads.
+Region lists hold all regions of a label; `per_label` keeps the first ones only, as a spatial score with such a limit reads them.
 """
 
 from __future__ import annotations
@@ -15,10 +15,9 @@ from folioframe.functions.geometry import RATIO, Box
 from folioframe.functions.numeric import clamp, let, rnd, units
 from folioframe.operators.spatial import RATIO_TILE, drop_covered_centres
 
-# The three labels, the 4 x 4 grid and the regions compared per label.
+# The three labels and the 4 x 4 grid.
 LABELS = ("text", "table", "image")
 GRID = 4
-COMPARED_PER_LABEL = 20
 
 
 def normalise_label(value: Column) -> Column:
@@ -117,10 +116,12 @@ def page_metrics(regions: DataFrame, keys: list[str]) -> DataFrame:
     return packed.select(*out)
 
 
-def leading_regions(regions: DataFrame, keys: list[str]) -> DataFrame:
-    """First 20 regions of each label in signature order, as one array per label."""
+def leading_regions(regions: DataFrame, keys: list[str], per_label: int | None = None) -> DataFrame:
+    """Regions of each label in signature order, as one array per label; with a limit, the first ones."""
     order = W.partitionBy(*keys, "label").orderBy(*region_order())
-    top = regions.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= COMPARED_PER_LABEL)
+    top = regions.withColumn("place", F.row_number().over(order))
+    if per_label is not None:
+        top = top.filter(F.col("place") <= per_label)
     item = F.struct("place", *[F.col(name) for name in RATIO])
     return top.groupBy(*keys).agg(
         *[
@@ -130,7 +131,7 @@ def leading_regions(regions: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def layout_signatures(pages: DataFrame, regions: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def layout_signatures(pages: DataFrame, regions: DataFrame, keys: list[str] | None = None, per_label: int | None = None) -> DataFrame:
     """One signature per page, pages without regions included."""
     keys = keys or ["page_id"]
     aspect = F.greatest(F.col("image_width").cast("double"), F.lit(1.0)) / F.greatest(
@@ -139,7 +140,7 @@ def layout_signatures(pages: DataFrame, regions: DataFrame, keys: list[str] | No
     joined = (
         pages.withColumn("page_aspect_ratio", rnd(aspect, 6))
         .join(page_metrics(regions, keys), keys, "left")
-        .join(leading_regions(regions, keys), keys, "left")
+        .join(leading_regions(regions, keys, per_label), keys, "left")
     )
     zeros = F.array_repeat(F.lit(0).cast("bigint"), GRID * GRID)
     empty = F.array().cast("array<struct<place:int," + ",".join(f"{name}:double" for name in RATIO) + ">>")

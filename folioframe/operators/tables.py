@@ -67,9 +67,9 @@ def borderless_boxes(boxes: DataFrame) -> DataFrame:
     )
 
 
-def merge_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """Boxes of one cell as one: texts in reading order, union box, mean confidence."""
-    words = "filter(transform(array_sort(collect_list(struct(y, x, box_id, text))), w -> trim(w.text)), t -> t <> '')"
+def merge_boxes(boxes: DataFrame, keys: list[str], order: str = "y, x, box_id") -> DataFrame:
+    """Boxes of one cell as one: texts in the given order, union box, mean confidence."""
+    words = f"filter(transform(array_sort(collect_list(struct({order}, text))), w -> trim(w.text)), t -> t <> '')"
     return boxes.groupBy(*keys).agg(
         F.expr(f"array_join({words}, ' ')").alias("text"),
         (F.sum(units(F.col("confidence"), 4)) / F.lit(10000.0) / F.count("*")).alias("confidence"),
@@ -83,7 +83,7 @@ def merge_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
 def borderless_cells(boxes: DataFrame) -> DataFrame:
     """Cells of tables without lines; needs two columns and two rows with text."""
     placed = borderless_boxes(boxes)
-    cells = merge_boxes(placed, ["group_id", "row_no", "col_no", "col_count"])
+    cells = merge_boxes(placed, ["group_id", "row_no", "col_no", "col_count"], "x, box_id")  # one line of words, left to right
     usable = cells.filter("text <> ''").groupBy("group_id").agg(F.countDistinct("row_no").alias("rows_used"))
     return cells.join(usable.filter(f"rows_used >= {MIN_ROWS}").select("group_id"), "group_id", "left_semi")
 
@@ -276,7 +276,7 @@ def assign_to_grid(boxes: DataFrame, grid: DataFrame) -> DataFrame:
 def grid_diagnostics(placed: DataFrame) -> DataFrame:
     """How well placed boxes fit their grid: empty shares, overlaps per axis, hard column violations."""
     measured = placed.selectExpr(
-        "group_id", "row_no", "col_no", "size(row_bounds) - 1 AS n_rows", "size(col_bounds) - 1 AS n_cols",
+        "group_id", "row_no", "col_no", "trim(coalesce(text, '')) <> '' AS has_text", "size(row_bounds) - 1 AS n_rows", "size(col_bounds) - 1 AS n_cols",
         "greatest(0D, least(y + height, get(row_bounds, row_no + 1)) - greatest(y, get(row_bounds, row_no))) / greatest(1D, height) AS row_fit",
         "greatest(0D, least(x + width, get(col_bounds, col_no + 1)) - greatest(x, get(col_bounds, col_no))) / greatest(1D, width) AS col_fit",
         "(get(col_bounds, col_no) + get(col_bounds, col_no + 1)) / 2 AS mid", "hard_bounds",
@@ -287,7 +287,7 @@ def grid_diagnostics(placed: DataFrame) -> DataFrame:
     # Fits as whole millionths keep the means independent of task order.
     return measured.groupBy("group_id").agg(
         F.count("*").alias("boxes"), F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"),
-        F.countDistinct("row_no").alias("rows_used"), F.countDistinct("col_no").alias("cols_used"),
+        F.countDistinct(F.when(F.col("has_text"), F.col("row_no"))).alias("rows_used"), F.countDistinct(F.when(F.col("has_text"), F.col("col_no"))).alias("cols_used"),
         F.sum(units(F.col("row_fit"), 6)).alias("row_sum"), F.sum(units(F.col("col_fit"), 6)).alias("col_sum"),
         F.min("row_fit").alias("row_min"), F.min("col_fit").alias("col_min"), F.count_if("violates").alias("violations"),
     ).selectExpr(

@@ -130,9 +130,9 @@ def field_order(spark: SparkSession, sf: str) -> DataFrame:
 
     p = table(spark, sf, "orders").selectExpr("o_orderkey", "o_custkey AS version_id", "o_orderkey % 3 AS page_number")
     lines = table(spark, sf, "lineitem").join(p, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
-        "version_id", "page_number * 10000000 + l_suppkey AS lead", "l_shipdate", "l_orderkey * 100 + l_linenumber AS field_id", "l_quantity AS q", "l_extendedprice"
+        "version_id", "page_number * 1000000000000L + l_suppkey AS lead", "l_shipdate", "l_orderkey * 100 + l_linenumber AS field_id", "l_quantity AS q", "l_extendedprice"
     )
-    placed = row_places(lines, ["version_id"], ["lead", "l_shipdate", "field_id", "q", "l_extendedprice"], 10_000_000.0)
+    placed = row_places(lines, ["version_id"], ["lead", "l_shipdate", "field_id", "q", "l_extendedprice"], 1e12)
     return placed.select("version_id", "field_id", "q", "place")
 
 

@@ -198,7 +198,8 @@ def export_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("tbl01_html_tables", oracle("""
 WITH s AS (SELECT *, dense_rank() OVER (PARTITION BY table_id ORDER BY row_no) - 1 AS place FROM cells)
-SELECT table_id, CAST(place AS INTEGER) AS row_no, col_no, CASE WHEN hidden THEN '' ELSE text END AS text, row_span, CASE WHEN hidden THEN 1 ELSE col_span END AS col_span, hidden FROM s""", "cells"))
+SELECT table_id, 0 AS table_no, CAST(place AS INTEGER) AS row_no, col_no, CASE WHEN hidden THEN '' ELSE text END AS text, row_span, CASE WHEN hidden THEN 1 ELSE col_span END AS col_span, hidden FROM s
+UNION ALL SELECT table_id, 1, 0, c, CASE c WHEN 0 THEN 'caf\u00e9 \u2014 A&lt;' ELSE CAST(table_id AS VARCHAR) END, 1, 1, false FROM (SELECT DISTINCT table_id FROM cells), unnest([0, 1]) AS u(c)""", "cells"))
 def html_tables(spark: SparkSession, sf: str) -> DataFrame:
     visible = cells(spark, sf).filter("NOT hidden")
     tag = "concat('<td', CASE WHEN col_span > 1 THEN concat(' colspan=\"', col_span, '\"') ELSE '' END, '>', text, '</td>')"
@@ -206,22 +207,23 @@ def html_tables(spark: SparkSession, sf: str) -> DataFrame:
         F.expr(f"concat('<tr>', array_join(transform(array_sort(collect_list(struct(col_no, {tag} AS tag))), c -> c.tag), ''), '</tr>')").alias("tr")
     )
     pages = rows.groupBy("table_id").agg(
-        F.expr("concat('<html><table border=1>', array_join(transform(array_sort(collect_list(struct(row_no, tr))), r -> r.tr), '\\n'), '</table></html>')").alias("page")
+        F.expr("concat('<html><table border=1>', array_join(transform(array_sort(collect_list(struct(row_no, tr))), r -> r.tr), '\\n'), '</table><p>x</p><table><tr><td>caf&eacute; &#8212;&nbsp;&#x41;&amp;lt;</td><td>', table_id, '</td></tr></table></html>')").alias("page")
     )
     return html.table_cells(pages, "table_id", "page")
 
 
 # Fields of a document: its orders. Results: line items that name an order, a page, or neither.
-sql("rois", "SELECT o_custkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS roi_id, CAST(o_orderkey % 3 AS INTEGER) AS page, o_orderpriority AS field_name, o_orderkey AS roi_order, CASE o_orderstatus WHEN 'F' THEN 'table' WHEN 'O' THEN 'extract_image' ELSE 'text' END AS roi_type FROM orders")
+sql("rois", "SELECT o_custkey AS doc_id, CASE o_orderkey % 8 WHEN 0 THEN ' ' ELSE concat(CASE WHEN o_orderkey % 8 = 1 THEN ' ' ELSE '' END, CAST(o_orderkey AS VARCHAR)) END AS roi_id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN NULL ELSE CAST(o_orderkey % 3 AS INTEGER) END AS page, o_orderpriority AS field_name, o_orderkey AS roi_order, CASE o_orderstatus WHEN 'F' THEN 'table' WHEN 'O' THEN 'extract_image' ELSE 'text' END AS roi_type FROM orders")
 sql("results", """
-SELECT o_custkey AS doc_id, l_orderkey * 10 + l_linenumber AS result_id, CASE l_linenumber % 3 WHEN 0 THEN CAST(l_orderkey AS VARCHAR) WHEN 1 THEN NULL ELSE '-1' END AS roi_id,
+SELECT o_custkey AS doc_id, l_orderkey * 10 + l_linenumber AS result_id, CASE l_linenumber % 4 WHEN 0 THEN concat(CAST(l_orderkey AS VARCHAR), ' ') WHEN 1 THEN NULL WHEN 2 THEN ' ' ELSE '-1' END AS roi_id,
   CASE WHEN min(l_suppkey) % 4 = 0 THEN NULL ELSE CAST((l_orderkey + min(l_suppkey) % 2) % 3 AS INTEGER) END AS page, min(o_orderpriority) AS field_name,
   CASE min(l_returnflag) WHEN 'A' THEN 'Text' WHEN 'R' THEN 'Ocr_Table' ELSE NULL END AS type FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_custkey, l_orderkey, l_linenumber""")
 
 
 def rois(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").selectExpr(
-        "o_custkey AS doc_id", "cast(o_orderkey AS string) AS roi_id", "cast(o_orderkey % 3 AS int) AS page", "o_orderpriority AS field_name",
+        "o_custkey AS doc_id", "CASE o_orderkey % 8 WHEN 0 THEN ' ' ELSE concat(CASE WHEN o_orderkey % 8 = 1 THEN ' ' ELSE '' END, cast(o_orderkey AS string)) END AS roi_id",
+        "CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN NULL ELSE cast(o_orderkey % 3 AS int) END AS page", "o_orderpriority AS field_name",
         "o_orderkey AS roi_order", "CASE o_orderstatus WHEN 'F' THEN 'table' WHEN 'O' THEN 'extract_image' ELSE 'text' END AS roi_type",
     )
 
@@ -230,21 +232,22 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("supp"), F.min(F.ascii("l_returnflag")).alias("flag"))
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr(
-        "o_custkey AS doc_id", "l_orderkey * 10 + l_linenumber AS result_id", "CASE l_linenumber % 3 WHEN 0 THEN cast(l_orderkey AS string) WHEN 1 THEN NULL ELSE '-1' END AS roi_id",
+        "o_custkey AS doc_id", "l_orderkey * 10 + l_linenumber AS result_id", "CASE l_linenumber % 4 WHEN 0 THEN concat(cast(l_orderkey AS string), ' ') WHEN 1 THEN NULL WHEN 2 THEN ' ' ELSE '-1' END AS roi_id",
         "CASE WHEN supp % 4 = 0 THEN NULL ELSE cast((l_orderkey + supp % 2) % 3 AS int) END AS page", "o_orderpriority AS field_name",
         "CASE chr(flag) WHEN 'A' THEN 'Text' WHEN 'R' THEN 'Ocr_Table' ELSE NULL END AS type",
     )
 
 
 sql("matched", """
-SELECT * FROM (SELECT r.doc_id, r.result_id, r.type, f.roi_id AS matched_roi, f.roi_type, CASE WHEN f.roi_id = r.roi_id AND f.page = coalesce(r.page, 0) THEN 'page_and_id' WHEN f.roi_id = r.roi_id AND r.page IS NULL THEN 'id' ELSE 'name' END AS matched_by,
-   row_number() OVER (PARTITION BY r.result_id ORDER BY CASE WHEN f.roi_id = r.roi_id AND f.page = coalesce(r.page, 0) THEN 1 WHEN f.roi_id = r.roi_id AND r.page IS NULL THEN 2 ELSE 3 END, f.roi_order) AS nth
-  FROM results r JOIN rois f ON f.doc_id = r.doc_id AND ((f.roi_id = r.roi_id AND (f.page = coalesce(r.page, 0) OR r.page IS NULL)) OR (f.page = coalesce(r.page, 0) AND f.field_name = r.field_name))) WHERE nth = 1""", "results", "rois")
+WITH f AS (SELECT *, nullif(trim(roi_id), '') AS id, coalesce(page, 0) AS p FROM rois), q AS (SELECT *, nullif(trim(roi_id), '') AS id FROM results)
+SELECT * FROM (SELECT r.doc_id, r.result_id, r.type, f.roi_id AS matched_roi, f.roi_type, CASE WHEN f.id = r.id AND f.p = coalesce(r.page, 0) THEN 'page_and_id' WHEN f.id = r.id AND r.page IS NULL THEN 'id' ELSE 'name' END AS matched_by,
+   row_number() OVER (PARTITION BY r.result_id ORDER BY CASE WHEN f.id = r.id AND f.p = coalesce(r.page, 0) THEN 1 WHEN f.id = r.id AND r.page IS NULL THEN 2 ELSE 3 END, f.roi_order) AS nth
+  FROM q r JOIN f ON f.doc_id = r.doc_id AND ((f.id = r.id AND (f.p = coalesce(r.page, 0) OR r.page IS NULL)) OR (f.p = coalesce(r.page, 0) AND f.field_name = r.field_name))) WHERE nth = 1""", "results", "rois")
 
 
 @query("join11_matched_fields", oracle("SELECT r.doc_id, r.result_id, matched_roi, matched_by FROM results r LEFT JOIN matched m ON m.result_id = r.result_id", "results", "matched"))
 def matched_fields(spark: SparkSession, sf: str) -> DataFrame:
-    return export.match_fields(results(spark, sf), rois(spark, sf))
+    return export.match_fields(results(spark, sf), rois(spark, sf)).drop("matched_order")
 
 
 @query("snk02_result_types", oracle("""
@@ -253,8 +256,8 @@ WITH t AS (SELECT r.result_id, CASE WHEN lower(coalesce(m.roi_type, '')) IN ('im
 SELECT * FROM t WHERE result_type <> 'image'""", "results", "matched"))
 def result_types(spark: SparkSession, sf: str) -> DataFrame:
     found = results(spark, sf)
-    matched = export.match_fields(found, rois(spark, sf)).select("result_id", F.col("matched_roi").alias("roi_id"))
-    kinds = matched.join(rois(spark, sf).select("roi_id", "roi_type"), "roi_id", "left").select("result_id", "roi_type")
+    matched = export.match_fields(found, rois(spark, sf)).select("doc_id", "result_id", F.col("matched_order").alias("roi_order"))
+    kinds = matched.join(rois(spark, sf).select("doc_id", "roi_order", "roi_type"), ["doc_id", "roi_order"], "left").select("result_id", "roi_type")
     typed = export.result_types(found.select("result_id", "type").join(kinds, "result_id"), ["type", "roi_type"])
     return export.included(typed, images=False).select("result_id", "result_type")
 

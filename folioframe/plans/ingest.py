@@ -89,17 +89,27 @@ def recognition(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("src07_sniffed_files", oracle("SELECT doc_id, n_chars, CASE WHEN doc_id % 3 = 0 THEN 'pdf' ELSE 'image' END AS source_type FROM documents"))
 def sniffed_files(spark: SparkSession, sf: str) -> DataFrame:
-    """The texts as file contents, every third one behind a PDF head and blanks."""
+    """The texts as file contents, every third one behind a PDF head and 1,500 blanks."""
     raw = table(spark, sf, "documents").selectExpr(
-        "doc_id", "n_chars", "encode(CASE WHEN doc_id % 3 = 0 THEN concat(' \\n%PDF-1.7', text) ELSE concat('x', text) END, 'UTF-8') AS content"
+        "doc_id", "n_chars", "encode(CASE WHEN doc_id % 3 = 0 THEN concat(repeat(' \\n\\t', 500), '%PDF-1.7', text) ELSE concat('x', text) END, 'UTF-8') AS content"
     )
     return files.sniff(raw)
 
 
-@query("src08_retention_scan")
+@query("src08_retention_scan", oracle("""
+WITH f AS (SELECT concat('/jobs/', source, '/', CAST(doc_id AS VARCHAR)) AS path, CAST(n_chars AS BIGINT) AS length,
+  TIMESTAMP '2026-01-02 00:00:00' - to_hours(CAST(doc_id % 50 AS BIGINT)) AS changed FROM documents),
+o AS (SELECT * FROM f WHERE changed <= TIMESTAMP '2026-01-02 00:00:00' - INTERVAL 24 HOUR),
+t AS (SELECT count(*) AS candidate_count, CAST(coalesce(sum(length), 0) AS BIGINT) AS candidate_bytes, count(*) > 200 AS truncated FROM o)
+SELECT path, length, candidate_count, candidate_bytes, truncated FROM (SELECT * FROM o ORDER BY path LIMIT 200), t"""))
 def retention_scan(spark: SparkSession, sf: str) -> DataFrame:
-    totals, _ = files.retention_scan(files.read_files(spark, sf, "*.parquet"))
-    return totals
+    """File rows derived from the documents: both outputs, the listed files next to the totals."""
+    rows = table(spark, sf, "documents").selectExpr(
+        "concat('/jobs/', source, '/', cast(doc_id AS string)) AS path", "cast(n_chars AS bigint) AS length",
+        "timestamp'2026-01-02 00:00:00' - make_interval(0, 0, 0, 0, cast(doc_id % 50 AS int)) AS modificationTime",
+    )
+    totals, shown = files.retention_scan(rows, now=F.lit("2026-01-02 00:00:00").cast("timestamp"))
+    return shown.select("path", "length").join(F.broadcast(totals))  # totals: one row
 
 
 # Status events of OCR jobs: users are jobs, event kinds are states.

@@ -110,7 +110,7 @@ columns AS (SELECT group_id, centres FROM sweep QUALIFY step = max(step) OVER (P
 cells AS (SELECT p.group_id, p.cluster - 1 AS row_no, len(centres) AS col_count, text, x, y, box_id, confidence, width, height,
    list_position(list_transform(centres, lambda m: abs(p.cx - m)), list_min(list_transform(centres, lambda m: abs(p.cx - m)))) - 1 AS col_no
   FROM placed p JOIN columns c USING (group_id) WHERE len(centres) >= 2),
-merged AS (SELECT group_id, row_no, CAST(col_no AS INTEGER) AS col_no, CAST(any_value(col_count) AS INTEGER) AS col_count, string_agg(text, ' ' ORDER BY y, x, box_id) AS text,
+merged AS (SELECT group_id, row_no, CAST(col_no AS INTEGER) AS col_no, CAST(any_value(col_count) AS INTEGER) AS col_count, string_agg(text, ' ' ORDER BY x, box_id) AS text,
   count(*) AS box_count, {rnd('sum(CAST(floor(confidence * 10000 + 0.5) AS BIGINT)) / 10000.0::DOUBLE / count(*)', 6)} AS confidence, min(x) AS x, min(y) AS y,
   greatest(1.0::DOUBLE, max(x + width) - min(x)) AS width, greatest(1.0::DOUBLE, max(y + height) - min(y)) AS height FROM cells GROUP BY ALL)
 SELECT m.* FROM merged m WHERE (SELECT count(DISTINCT row_no) FROM merged k WHERE k.group_id = m.group_id) >= 2""", "boxes", "mids"))
@@ -251,7 +251,7 @@ h0 AS (SELECT * FROM (SELECT p.group_id, p.box_id, i - 1 AS idx, row_number() OV
    greatest(0.0::DOUBLE, least(x + width, hard[i + 1]) - greatest(x, hard[i])) / greatest(1.0::DOUBLE, x + width - x) * 0.72::DOUBLE
    + greatest(0.0::DOUBLE, 1.0::DOUBLE - abs((x + (x + width)) / 2 - (hard[i] + hard[i + 1]) / 2) / greatest(greatest(1.0::DOUBLE, x + width - x), hard[i + 1] - hard[i], 1.0::DOUBLE)) * 0.28::DOUBLE
    - CASE WHEN x < hard[i] OR x + width > hard[i + 1] THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END DESC, i) AS nth FROM placed p, unnest(range(1, len(hard))) AS t(i)) WHERE nth = 1)
-SELECT m.group_id, count(*) AS boxes, {rnd('(4 - count(DISTINCT row_no)) / 4', 4)} AS empty_row_ratio, {rnd('(4 - count(DISTINCT col_no)) / 4', 4)} AS empty_column_ratio,
+SELECT m.group_id, count(*) AS boxes, {rnd('(4 - count(DISTINCT row_no) FILTER (trim(text) <> \'\')) / 4', 4)} AS empty_row_ratio, {rnd('(4 - count(DISTINCT col_no) FILTER (trim(text) <> \'\')) / 4', 4)} AS empty_column_ratio,
   {rnd(clamp('sum(CAST(floor(rfit * 1000000 + 0.5) AS BIGINT)) / 1000000.0::DOUBLE / count(*)'), 4)} AS average_row_overlap,
   {rnd(clamp('sum(CAST(floor(cfit * 1000000 + 0.5) AS BIGINT)) / 1000000.0::DOUBLE / count(*)'), 4)} AS average_column_overlap,
   {rnd(clamp('min(rfit)'), 4)} AS minimum_row_overlap, {rnd(clamp('min(cfit)'), 4)} AS minimum_column_overlap,

@@ -82,21 +82,21 @@ def anchor_scores(spark: SparkSession, sf: str) -> DataFrame:
 # Checked anchors of a page: its regions, images checked as image anchors.
 sql("checked", """
 SELECT page_id, region_id AS anchor_id, CASE WHEN label = 'image' THEN 'image' ELSE 'text' END AS anchor_type,
-       confidence AS score, CASE WHEN region_id % 4 = 0 THEN NULL ELSE CAST(region_id % 3 AS DOUBLE) END AS weight,
+       confidence AS score, CASE WHEN region_id % 4 = 0 THEN NULL WHEN page_id % 5 = 1 THEN 0.004::DOUBLE ELSE CAST(region_id % 3 AS DOUBLE) END AS weight,
        region_id % 2 = 0 AS required, confidence >= 0.6 AS passed FROM regions""", "regions")
 
 
 def checked(spark: SparkSession, sf: str) -> DataFrame:
     return derive.regions(spark, sf).selectExpr(
         "page_id", "region_id AS anchor_id", "CASE WHEN label = 'image' THEN 'image' ELSE 'text' END AS anchor_type",
-        "confidence AS score", "CASE WHEN region_id % 4 = 0 THEN NULL ELSE cast(region_id % 3 AS double) END AS weight",
+        "confidence AS score", "CASE WHEN region_id % 4 = 0 THEN NULL WHEN page_id % 5 = 1 THEN 0.004D ELSE cast(region_id % 3 AS double) END AS weight",
         "region_id % 2 = 0 AS required", "confidence >= 0.6D AS passed",
     )
 
 
 def _mean(cond: str) -> str:
-    w = "CAST(floor(greatest(0.0::DOUBLE, coalesce(nullif(weight, 0), 1.0::DOUBLE)) * 100 + 0.5) AS BIGINT)"
-    s = "CAST(floor(score * 10000 + 0.5) AS BIGINT)"
+    w = "greatest(0.0::DOUBLE, coalesce(nullif(weight, 0), 1.0::DOUBLE))"
+    s = "floor(score * 10000 + 0.5)"
     return rnd(f"coalesce(sum({w} * {s}) {cond} / nullif(sum({w}) {cond}, 0), 0.0::DOUBLE) / 10000.0::DOUBLE", 4)
 
 
@@ -310,14 +310,14 @@ def better_verification(spark: SparkSession, sf: str) -> DataFrame:
 
 # Category logits of an image: its embedding times ten, one category per dimension.
 sql("logits", """
-SELECT vec_id AS image_id, label AS target, list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 10) AS logits,
+SELECT vec_id AS image_id, CASE WHEN vec_id % 11 = 0 THEN NULL WHEN vec_id % 13 = 0 THEN 1000 ELSE label END AS target, list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 10) AS logits,
   CASE vec_id % 3 WHEN 0 THEN CAST(label AS VARCHAR) WHEN 1 THEN '["' || label || '", "' || (label + 1) || '"]' ELSE '' END AS image_category
 FROM embeddings""")
 
 
 def logits(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").selectExpr(
-        "vec_id AS image_id", "label AS target", "transform(embedding, v -> cast(v AS double) * 10) AS logits",
+        "vec_id AS image_id", "CASE WHEN vec_id % 11 = 0 THEN NULL WHEN vec_id % 13 = 0 THEN 1000 ELSE label END AS target", "transform(embedding, v -> cast(v AS double) * 10) AS logits",
         """CASE vec_id % 3 WHEN 0 THEN cast(label AS string) WHEN 1 THEN concat('["', label, '", "', label + 1, '"]') ELSE '' END AS image_category""",
     )
 
@@ -333,8 +333,8 @@ s AS (SELECT *, {rnd('exp(v - top) / total * 100', 1)} AS share FROM t),
 g AS (SELECT image_id, any_value(target) AS target, any_value(top) AS top, any_value(total) AS total, max(v) FILTER (rank = 2) AS second,
    max(v) FILTER (pos = target) AS raw, max(rank) FILTER (pos = target) AS target_rank, max(pos) FILTER (rank = 1) AS predicted,
    {rnd('100.0::DOUBLE - sum(share)', 1)} AS residue, max(share) AS top_share FROM s GROUP BY image_id)
-SELECT image_id, target, CAST(predicted AS INTEGER) AS predicted, CAST(target_rank AS INTEGER) AS target_rank, target_rank = 1 AS passed,
-  CASE WHEN target_rank = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS evidence_score, CASE WHEN target_rank = 1 THEN 'matched' ELSE 'mismatched' END AS status,
+SELECT image_id, target, CAST(predicted AS INTEGER) AS predicted, CAST(target_rank AS INTEGER) AS target_rank, coalesce(target_rank = 1, false) AS passed,
+  CASE WHEN target_rank = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS evidence_score, CASE WHEN raw IS NULL THEN 'error' WHEN target_rank = 1 THEN 'matched' ELSE 'mismatched' END AS status, CASE WHEN raw IS NULL THEN 'category_not_found' END AS error,
   {rnd('CASE WHEN target_rank = 1 THEN top - second ELSE raw - top END', 4)} AS score_margin, {rnd('raw', 4)} AS raw_logit,
   {rnd('1 / (1 + exp(-raw))', 4)} AS raw_pair_score, {rnd('exp(raw - top) / total * 100', 2)} AS relative_percentage,
   {rnd('top_share + residue', 1)} AS top_percentage FROM g""", "logit_rows"))

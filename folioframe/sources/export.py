@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.operators.grids import grid_rows
@@ -56,9 +56,18 @@ def match_fields(results: DataFrame, fields: DataFrame) -> DataFrame:
     """Each result with its field: same page and id, then any page and id when the result has no page, then
     same page and name. The first field in order wins, so fields collapse to one per key before the joins.
 
+    A missing page of a field is page 0. Ids are compared trimmed; blank ids and `NaN` are none and match nothing.
+
     results: doc_id, result_id, roi_id, page, field_name; fields: doc_id, roi_id, page, field_name, roi_order.
     """
-    first = F.min(F.struct("roi_order", F.col("roi_id").alias("id")))
+
+    def plain_id() -> Column:
+        text = F.regexp_replace("roi_id", r"^[\s\u00A0\uFEFF]+|[\s\u00A0\uFEFF]+$", "")
+        return F.when((text != "") & (text != "NaN"), text)
+
+    fields = fields.withColumn("own_id", F.col("roi_id")).withColumn("roi_id", plain_id()).withColumn("page", F.coalesce("page", F.lit(0)))
+    results = results.withColumn("roi_id", plain_id())
+    first = F.min(F.struct("roi_order", F.col("own_id").alias("id")))
     here = results.withColumn("page0", F.coalesce("page", F.lit(0)))
     by_id = fields.groupBy("doc_id", F.col("page").alias("page0"), "roi_id").agg(first.alias("m1"))
     anywhere = fields.groupBy("doc_id", "roi_id").agg(first.alias("m2"))
@@ -67,7 +76,9 @@ def match_fields(results: DataFrame, fields: DataFrame) -> DataFrame:
         by_name, ["doc_id", "page0", "field_name"], "left"
     )
     return joined.selectExpr(
-        "doc_id", "result_id", "CASE WHEN m1 IS NOT NULL THEN m1.id WHEN page IS NULL AND m2 IS NOT NULL THEN m2.id ELSE m3.id END AS matched_roi",
+        "doc_id", "result_id",
+        "CASE WHEN m1 IS NOT NULL THEN m1.roi_order WHEN page IS NULL AND m2 IS NOT NULL THEN m2.roi_order ELSE m3.roi_order END AS matched_order",
+        "CASE WHEN m1 IS NOT NULL THEN m1.id WHEN page IS NULL AND m2 IS NOT NULL THEN m2.id ELSE m3.id END AS matched_roi",
         "CASE WHEN m1 IS NOT NULL THEN 'page_and_id' WHEN page IS NULL AND m2 IS NOT NULL THEN 'id' WHEN m3 IS NOT NULL THEN 'name' END AS matched_by",
     )
 

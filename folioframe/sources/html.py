@@ -11,12 +11,33 @@ from pyspark.sql import DataFrame
 CELL = "array<struct<row_no:int,col_no:int,text:string,row_span:int,col_span:int,hidden:boolean>>"
 
 
+# The named characters of HTML from code 160 to 255, in order, and the five of XML.
+LATIN_NAMES = (
+    "nbsp iexcl cent pound curren yen brvbar sect uml copy ordf laquo not shy reg macr deg plusmn sup2 sup3 acute micro para middot cedil sup1 ordm raquo"
+    " frac14 frac12 frac34 iquest Agrave Aacute Acirc Atilde Auml Aring AElig Ccedil Egrave Eacute Ecirc Euml Igrave Iacute Icirc Iuml ETH Ntilde Ograve"
+    " Oacute Ocirc Otilde Ouml times Oslash Ugrave Uacute Ucirc Uuml Yacute THORN szlig agrave aacute acirc atilde auml aring aelig ccedil egrave eacute"
+    " ecirc euml igrave iacute icirc iuml eth ntilde ograve oacute ocirc otilde ouml divide oslash ugrave uacute ucirc uuml yacute thorn yuml"
+).split()
+XML_NAMES = {"lt": 60, "gt": 62, "quot": 34, "amp": 38, "apos": 39}
+ENTITY = "&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|&[A-Za-z][A-Za-z0-9]{1,7};|&|[^&]+"
+
+
 def _inner_text(expr: str) -> str:
+    """Text of a cell: tags as blanks, character references read once, blanks squeezed."""
     plain = f"regexp_replace({expr}, '<[^>]*>', ' ')"
-    readable = "t"
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\\'"), ("&amp;", "&")):
-        readable = f"replace({readable}, '{entity}', '{char}')"
-    squeezed = "trim(regexp_replace({0}, '\\\\s+', ' '))"
+    codes = {**{name: 160 + i for i, name in enumerate(LATIN_NAMES)}, **XML_NAMES}
+    names = "map(" + ", ".join(f"'&{name};', {code}" for name, code in codes.items()) + ")"
+
+    def char(code: str) -> str:
+        return f"decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32')"
+
+    piece = (
+        f"CASE WHEN rlike(p, '^&#[xX].') THEN {char('cast(conv(substr(p, 4, length(p) - 4), 16, 10) AS bigint)')}"
+        f" WHEN rlike(p, '^&#.') THEN {char('cast(substr(p, 3, length(p) - 3) AS bigint)')}"
+        f" WHEN rlike(p, '^&.') AND try_element_at({names}, p) IS NOT NULL THEN {char(f'cast(try_element_at({names}, p) AS bigint)')} ELSE p END"
+    )
+    readable = f"array_join(transform(regexp_extract_all(t, '{ENTITY}', 0), p -> {piece}), '')"
+    squeezed = "trim(regexp_replace({0}, '[\\\\s\\\\u00A0]+', ' '))"
     return (
         f"element_at(transform(array({plain}), t -> CASE WHEN contains(t, '&') THEN {squeezed.format(readable)}"
         f" ELSE {squeezed.format('t')} END), 1)"
@@ -29,8 +50,11 @@ def _span(expr: str, name: str) -> str:
 
 
 def table_cells(documents: DataFrame, key: str, html: str) -> DataFrame:
-    """Cells of the first table of each document, hidden cells for covered slots included."""
-    body = f"regexp_extract({html}, '(?is)<table\\\\b[^>]*>(.*?)</table>', 1)"
+    """Cells of every table of each document (table_no from 0), hidden cells for covered slots included.
+
+    A document without a table element is read as one table. A table inside a cell is not told apart from its outer one.
+    """
+    bodies = f"regexp_extract_all({html}, '(?is)<table\\\\b[^>]*>(.*?)</table>', 1)"
     cells = "regexp_extract_all(r, '(?is)<t[hd]\\\\b[^>]*>.*?</t[hd]>', 0)"
     head = "regexp_extract(c, '(?is)^<t[hd]\\\\b[^>]*>', 0)"
     one = (
@@ -39,11 +63,12 @@ def table_cells(documents: DataFrame, key: str, html: str) -> DataFrame:
         f" 'cs', CASE WHEN contains(lower(h), 'span') THEN {_span('h', 'colspan')} ELSE 1 END)), 1)"
     )
     parsed = (
-        f"element_at(transform(array({body}), b -> transform(regexp_extract_all(CASE WHEN b = '' THEN {html} ELSE b END,"
-        f" '(?is)<tr\\\\b[^>]*>(.*?)</tr>', 1), r -> transform({cells}, c -> {one}))), 1)"
+        f"transform(regexp_extract_all(body,"
+        f" '(?is)<tr\\\\b[^>]*>(.*?)</tr>', 1), r -> transform({cells}, c -> {one}))"
     )
     # The generator keeps later expressions from repeating the parse.
-    flat = documents.selectExpr(key, f"explode(array({parsed})) AS html_rows")
+    single = documents.selectExpr(key, f"posexplode(CASE WHEN size({bodies}) > 0 THEN {bodies} ELSE array({html}) END) AS (table_no, body)")
+    flat = single.selectExpr(key, "table_no", f"explode(array({parsed})) AS html_rows")
     plain = (
         f"cast(flatten(transform(html_rows, (r, i) -> transform(r, (c, j) -> named_struct('row_no', i, 'col_no', j, 'text', c.text,"
         f" 'row_span', 1, 'col_span', 1, 'hidden', false)))) AS {CELL})"
@@ -65,4 +90,4 @@ def table_cells(documents: DataFrame, key: str, html: str) -> DataFrame:
              cast(transform(slice({slots}, 2, x.c.rs * x.c.cs), s -> named_struct('row_no', s.r, 'col_no', s.c, 'text', '', 'row_span', 1, 'col_span', 1, 'hidden', true)) AS {CELL})))), 1),
         a -> a.out)"""
     spanned = "exists(html_rows, r -> exists(r, c -> c.rs > 1 OR c.cs > 1))"
-    return flat.selectExpr(key, f"inline(CASE WHEN {spanned} THEN {fold} ELSE {plain} END)")
+    return flat.selectExpr(key, "table_no", f"inline(CASE WHEN {spanned} THEN {fold} ELSE {plain} END)")

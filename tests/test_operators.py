@@ -55,11 +55,48 @@ def test_noise_cleanup(spark):
 def test_category_logits(spark):
     df = spark.createDataFrame([(1, [2.0, 0.0, -1.0], 0), (2, [0.2, 2.0, -1.0], 0), (3, [-10.0, -11.0, -12.0], 0)], "image_id int, logits array<double>, target int")
     assert rows(decision.category_evidence(df), "image_id", "target_rank", "evidence_score") == [(1, 1, 1.0), (2, 2, 0.0), (3, 1, 1.0)]
+    odd = spark.createDataFrame([(1, [2.0, 0.0], None), (2, [2.0, 0.0], 5), (3, [], 0)], "image_id int, logits array<double>, target int")
+    assert rows(decision.category_evidence(odd), "image_id", "target_rank", "evidence_score", "passed", "error") == [
+        (1, None, 0.0, False, "category_not_found"), (2, None, 0.0, False, "category_not_found"), (3, None, 0.0, False, "no_active_categories"),
+    ]
+
+
+def test_small_weights_count(spark):
+    checked = spark.createDataFrame([(1, "text", 0.9, 0.004, False, True)], "page_id int, anchor_type string, score double, weight double, required boolean, passed boolean")
+    assert rows(decision.verification_rollup(checked, "page_id"), "score") == [(0.9,)]
+
+
+def test_words_of_a_borderless_cell_read_left_to_right(spark):
+    boxes = [(1, 1, "John", 10.0, 11.0), (1, 2, "Smith", 20.0, 10.0), (1, 3, "x", 200.0, 10.0), (1, 4, "a", 14.0, 60.0), (1, 5, "b", 200.0, 60.0)]
+    df = spark.createDataFrame(boxes, "group_id int, box_id int, text string, x double, y double").selectExpr("*", "0.9D AS confidence", "40D AS width", "12D AS height")
+    assert ("John Smith",) in rows(tables.borderless_cells(df), "text")
+
+
+def test_blank_texts_fill_no_grid_row(spark):
+    placed = spark.createDataFrame([(1, "a", 0, 0), (1, " ", 1, 1)], "group_id int, text string, row_no int, col_no int").selectExpr(
+        "*", "5D AS x", "5D AS y", "10D AS width", "10D AS height", "array(0D, 20D, 40D) AS row_bounds", "array(0D, 20D, 40D) AS col_bounds", "array(0D, 40D) AS hard_bounds")
+    assert rows(tables.grid_diagnostics(placed), "empty_row_ratio", "empty_column_ratio") == [(0.5, 0.5)]
+
+
+def test_field_ids_and_pages(spark):
+    fields = spark.createDataFrame([(1, " f1 ", None, "n", 1), (1, " ", 0, "blank", 2)], "doc_id int, roi_id string, page int, field_name string, roi_order int")
+    results = spark.createDataFrame([(1, 1, "f1", 0, "z"), (1, 2, "  ", 0, "z"), (1, 3, None, None, "n")], "doc_id int, result_id int, roi_id string, page int, field_name string")
+    assert rows(export.match_fields(results, fields), "result_id", "matched_roi", "matched_by") == [(1, " f1 ", "page_and_id"), (2, None, None), (3, " f1 ", "name")]
+
+
+def test_signature_keeps_every_region(spark):
+    regions = spark.range(25).selectExpr("1 AS page_id", "id AS region_id", "'text' AS label", "(id % 5) / 5D AS x_ratio", "floor(id / 5) / 5D AS y_ratio", "0.1D AS width_ratio", "0.1D AS height_ratio", "0.9D AS confidence")
+    usable = signature.usable_regions(regions)
+    assert signature.leading_regions(usable, ["page_id"]).selectExpr("size(regions_text)").first()[0] == 25
+    assert signature.leading_regions(usable, ["page_id"], 20).selectExpr("size(regions_text)").first()[0] == 20
 
 
 def test_html_spans(spark):
     page = "<table><tr><td rowspan=2>a</td><td colspan='2'>b &amp; c</td></tr><tr><th>d</th><td>e</td></tr></table>"
-    got = rows(html.table_cells(spark.createDataFrame([(1, page)], "id int, html string"), "id", "html").filter("NOT hidden"), "row_no", "col_no", "text", "row_span", "col_span")
+    page += "<p>x</p><table><tr><td>caf&eacute; &#8212;&#x41;&amp;lt; &nosuch;</td></tr></table>"
+    cells = html.table_cells(spark.createDataFrame([(1, page)], "id int, html string"), "id", "html")
+    assert rows(cells.filter("table_no = 1"), "text") == [("café —A&lt; &nosuch;",)]
+    got = rows(cells.filter("NOT hidden AND table_no = 0"), "row_no", "col_no", "text", "row_span", "col_span")
     assert got == [(0, 0, "a", 2, 1), (0, 1, "b & c", 1, 2), (1, 1, "d", 1, 1), (1, 2, "e", 1, 1)]
 
 
@@ -194,7 +231,7 @@ def test_collapse_is_rebuilt(spark):
 
 
 def test_files_and_json(spark, tmp_path):
-    (tmp_path / "a.bin").write_bytes(b" \n%PDF-1.4 x")
+    (tmp_path / "a.bin").write_bytes(b" \n" * 750 + b"%PDF-1.4 x")
     (tmp_path / "b.bin").write_bytes(b"\x89PNG")
     found = files.read_files(spark, str(tmp_path))
     assert [r[0] for r in rows(files.sniff(found), "source_type", "length")] == ["image", "pdf"]
