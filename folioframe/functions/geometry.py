@@ -157,18 +157,3 @@ def expand_by_pixels(box: Box, padding: Column | float, width: Column, height: C
     right = F.least(F.lit(1.0), box.x + box.w + pad_x)
     bottom = F.least(F.lit(1.0), box.y + box.h + pad_y)
     return Box(left, top, F.greatest(F.lit(0.0), right - left), F.greatest(F.lit(0.0), bottom - top))
-
-
-def clip_to_page(left: Column, top: Column, right: Column, bottom: Column, width: Column, height: Column) -> Box:
-    """Corners in any order, clipped to the page."""
-    wide, high = width.cast("double"), height.cast("double")
-
-    def inside(value: Column, limit: Column) -> Column:
-        return F.greatest(F.lit(0.0), F.least(limit, value))
-
-    return Box.corners(
-        inside(F.least(left, right), wide),
-        inside(F.least(top, bottom), high),
-        inside(F.greatest(left, right), wide),
-        inside(F.greatest(top, bottom), high),
-    )

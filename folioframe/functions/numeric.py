@@ -21,12 +21,6 @@ def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
-def or_default(value: Column, default) -> Column:
-    """Null and zero both fall back, as for optional weights and thresholds."""
-    fallback = default if isinstance(default, Column) else F.lit(default)
-    return F.coalesce(F.when(value != 0, value), fallback)
-
-
 def compact(*pairs: tuple[Column, str]) -> Column:
     """The names whose condition holds, in the given order."""
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in pairs]))

@@ -103,12 +103,5 @@ def latest_per_key(rows: DataFrame, key: str, order: list[str], values: list[str
     return rows.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("row")).select(key, "row.*")
 
 
-def ordered_fields(fields: DataFrame, width: float = 64.0) -> DataFrame:
-    """Field places in (page, sort order, creation) order inside each version."""
-    from folioframe.operators.ordering import row_places
-
-    return row_places(fields, ["version_id"], ["page_number", "sort_order", "created_at", "field_id"], width)
-
-
 def ranked(rows: DataFrame, key: str, order: list[Column], name: str = "rank") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(*order)))

@@ -91,13 +91,6 @@ def drop_nested(items: DataFrame) -> DataFrame:
     return greedy_keep(items, ["page_id", "label"], "item_id", PIXEL, PIXEL_TILE, LAYOUT_NESTED)
 
 
-def clean_items(items: DataFrame) -> DataFrame:
-    """The whole clean-up; both anti joins read the unfiltered boxes."""
-    outside = text_outside_tables(items)
-    framed = images_without_text(items).select(*PAGE_ITEM)
-    return drop_nested(drop_tiny_text(outside.join(framed, PAGE_ITEM, "left_semi")))
-
-
 def expand_items(items: DataFrame, pages: DataFrame) -> DataFrame:
     """Padded boxes: tables by 2 px, text by 8 px but pulled back from neighbours, images unchanged."""
     sizes = pages.select("page_id", "image_width", "image_height")

@@ -526,13 +526,12 @@ def tail_summary_start(cells: DataFrame, header_rows: int = 1) -> DataFrame:
         "NOT ((col_count >= 3 AND n > 0 AND n <= greatest(1, cast(floor(col_count * 0.45D) AS int))) OR spanned)"
     )
     # A row without visible cells also ends the tail: the last solid or missing row decides.
-    present = rows.groupBy("table_id").agg(F.count("*").alias("rows_present"), F.min("row_no").alias("first_row"))
     last = solid.groupBy("table_id").agg(F.max("row_no").alias("last_solid"))
     tail = rows.join(last, "table_id", "left").filter("row_no > coalesce(last_solid, -1)")
     order = W.partitionBy("table_id").orderBy(F.desc("row_no"))
     run = tail.join(shape, "table_id").withColumn("nth", F.row_number().over(order)).filter("row_no = row_count - nth")
     start = run.groupBy("table_id").agg(F.min("row_no").alias("start"))
-    return shape.join(start, "table_id", "left").join(present, "table_id", "left").selectExpr(
+    return shape.join(start, "table_id", "left").selectExpr(
         "table_id", "row_count", "col_count", "cast(coalesce(start, row_count) AS int) AS summary_start"
     )
 

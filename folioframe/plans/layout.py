@@ -158,10 +158,6 @@ def document_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.document_retrieval(retrieval.top_templates(scored_pairs(spark, sf), k=10))
 
 
-def _units(name: str) -> str:
-    return f"array_to_string({name}, ',')"
-
-
 @query("agg01_layout_signature", oracle(f"""
 WITH slots AS (SELECT p.page_id, l.label, g.cell, coalesce(c.n, 0) AS n, least(coalesce(c.area, 0), 1000000) AS area
   FROM layout_pages p CROSS JOIN labels3 l CROSS JOIN (SELECT unnest(range(16)) AS cell) g

@@ -115,11 +115,10 @@ def page_documents(values: DataFrame) -> DataFrame:
     )
     shown = fields.selectExpr(
         "doc_id", "page", "first",
-        "concat(to_json(array(field_name)), CASE WHEN size(all) = 1 THEN to_json(array(all[0].value)) ELSE to_json(transform(all, a -> a.value)) END) AS pair",
         "substr(to_json(array(field_name)), 2, length(to_json(array(field_name))) - 2) AS name",
         "CASE WHEN size(all) = 1 THEN substr(to_json(array(all[0].value)), 2, length(to_json(array(all[0].value))) - 2)"
         " ELSE to_json(transform(all, a -> a.value)) END AS body",
-    ).drop("pair")
+    )
     return shown.groupBy("doc_id", "page").agg(
         F.expr("concat('{', array_join(transform(array_sort(collect_list(struct(first, name, body))), f -> concat(f.name, ':', f.body)), ','), '}')").alias("fields")
     )
@@ -134,7 +133,3 @@ def nested_documents(pages: DataFrame) -> DataFrame:
             " p -> concat('{\"page\":', p.page + 1, ',\"fields\":', p.fields, '}')), ','), ']}')"
         ).alias("document"),
     )
-
-
-def write_documents(documents: DataFrame, path: str) -> None:
-    documents.select("document").write.text(path)

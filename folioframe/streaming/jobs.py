@@ -95,11 +95,3 @@ def publish_flow(events: DataFrame) -> DataFrame:
         named_struct('at', {_step('a.at', 'e.status')}, 'out', concat(a.out, array(named_struct('seq', e.seq, 'status', e.status, 'before', a.at,
           'legal', {_step('a.at', 'e.status')} = e.status AND a.at <> e.status)))), a -> a.out)"""
     return blocks.join(entries, ["job_id", "block"]).selectExpr("job_id", f"inline({replay})")
-
-
-def template_status(state) -> F.Column:
-    """Status of the template while its publish job is in a state."""
-    out = F.lit(None)
-    for name, status in TEMPLATE_STATUS.items():
-        out = F.when(state == name, status).otherwise(out)
-    return out
