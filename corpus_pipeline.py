@@ -52,8 +52,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 1024 ids, with the ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+    """Pieces of all documents in sequences of 1024 ids: where each one goes and the checksum of its ids.
+
+    The ids themselves are left out; `packing.pack(..., with_ids=True)` carries them through its shuffles.
+    """
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
