@@ -47,7 +47,7 @@ def split_words(text: str | None, lower: bool = False) -> list[bytes]:
 class WordHashes(dict):
     """Word -> 64-bit hash, remembered up to a bound and then started anew."""
 
-    def __init__(self, bound: int = 1 << 19):
+    def __init__(self, bound: int = 1 << 17):
         super().__init__()
         self.bound = bound
 
@@ -84,7 +84,7 @@ def difference_cover(period: int) -> list[int]:
     return list(range(period))
 
 
-def slices(batch, column: str, limit: int = 4 << 20):
+def slices(batch, column: str, limit: int = 2 << 20):
     """Cut a record batch into runs of rows whose texts hold about `limit` bytes; a longer text is a run of its own."""
     import pyarrow.compute as pc
 

@@ -44,6 +44,19 @@ def shingles(body: str, memory: WordHashes) -> np.ndarray:
     return np.unique(run_hashes(memory.array(tokens), SHINGLE))
 
 
+def pack_point(counts: np.ndarray) -> bytes:
+    """Group counts as bytes, one each where all are small, else four each."""
+    return counts.astype("<u1" if counts.max() < 256 else "<i4").tobytes()
+
+
+def unpack_points(packed: list[bytes]) -> np.ndarray:
+    """One row of GROUPS counts per point."""
+    out = np.empty((len(packed), GROUPS), dtype=np.int32)
+    for row, p in zip(out, packed):
+        row[:] = np.frombuffer(p, dtype="<u1" if len(p) == GROUPS else "<i4")
+    return out
+
+
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
@@ -69,7 +82,7 @@ def points(texts: DataFrame) -> DataFrame:
                 for body in part.column(1).to_pylist():
                     s = shingles(body, memory)
                     node = _signed(xxhash.xxh3_64_intdigest(s.tobytes())) if len(s) else None
-                    rows.append((len(s), node, np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<i4").tobytes() if len(s) else None))
+                    rows.append((len(s), node, pack_point(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)) if len(s) else None))
                     if node is not None and node not in local:  # copies count once per task
                         local.add(node)
                         np.add.at(table, _slots(s), 1)
@@ -144,7 +157,7 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
             if batch.num_rows == 0:
                 continue
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            p, q = (np.frombuffer(b"".join(cols[c].to_pylist()), dtype="<i4").reshape(-1, GROUPS) for c in ("ap", "bp"))
+            p, q = (unpack_points(cols[c].to_pylist()) for c in ("ap", "bp"))
             bound = np.minimum(p, q).sum(axis=1, dtype=np.int64)
             total = cols["an"].to_numpy() + cols["bn"].to_numpy()
             keep = pa.array((100 + share) * bound >= share * total)
@@ -169,10 +182,10 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, share: int) ->
 
     def run(batches):
         memory = WordHashes()
-        for batch in batches:
-            known: dict = {}
+        known: dict = {}  # rows come sorted by b
+        for part in (p for batch in batches for p in slices(batch, "one")):
             kept = []
-            for a, b, one, two in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for a, b, one, two in zip(*(part.column(i).to_pylist() for i in range(4))):
                 if b not in known:
                     known = {b: shingles(two, memory)}
                 x, y = shingles(one, memory), known[b]
@@ -202,7 +215,7 @@ def leaf_pairs(members: DataFrame, share: int) -> DataFrame:
 
     def arrays(held):
         return (np.array([h["node"] for h in held], dtype=np.int64), np.array([h["n"] for h in held], dtype=np.int64),
-                np.array([h["component"] for h in held], dtype=np.int64), np.frombuffer(b"".join(h["point"] for h in held), dtype="<i4").reshape(-1, GROUPS))
+                np.array([h["component"] for h in held], dtype=np.int64), unpack_points([h["point"] for h in held]))
 
     def run(batches):
         for batch in batches:
@@ -232,6 +245,28 @@ def _apart(shared: DataFrame, tied: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", share: int = 75) -> DataFrame:
     """key, n_shingles and component_id (smallest key reachable by links of `share` percent or more) for every row."""
+    rows, named = linked(docs, key, share)
+    smallest = named.groupBy("component").agg(F.min("key").alias("component_id"))
+    out = rows.select("key", "n", "node").join(named.join(smallest, "component").select("node", "component_id"), "node", "left")
+    component = F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def superfluous(docs: DataFrame, key: str = "doc_id", share: int = 75) -> DataFrame:
+    """(key, mark, whole): texts to drop so that one row of each group stays, the one with the smallest (key, mark).
+
+    `mark` is xxhash64 of the text (null as empty). Where `whole` is false the text itself stays, but only once: it comes in several rows.
+    """
+    rows, named = linked(docs, key, share)
+    texts = rows.where("node IS NOT NULL AND key IS NOT NULL").groupBy("key", "mark", "node").agg(F.count(F.lit(1)).alias("copies"))
+    texts = cut_lineage(texts.join(named.select("node", "component"), "node").select("key", "mark", "copies", "component"))
+    first = texts.groupBy("component").agg(F.min(F.struct("key", "mark")).alias("first"))
+    told = texts.join(first, "component").withColumn("whole", F.struct("key", "mark") != F.col("first"))
+    return told.where(F.col("whole") | (F.col("copies") > 1)).select("key", "mark", "whole")
+
+
+def linked(docs: DataFrame, key: str, share: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their node, and every node with its smallest key and its component."""
     texts = _texts(docs, key)
     seen = cut_lineage(points(texts))
     rows = seen.where("slice IS NULL")
@@ -260,8 +295,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", share: int = 75) -> Da
     tied = components(links)
 
     named = nodes.select("node", "key").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("key").alias("component_id"))
-    by_node = named.join(smallest, "component").select("node", "component_id")
-    out = rows.select("key", "n", "node").join(by_node, "node", "left")
-    component = F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return rows, cut_lineage(named)
