@@ -130,11 +130,15 @@ class Runs(dict):
 
     def __init__(self, split, bound: int = 400_000):
         super().__init__()
-        self.split, self.bound = split, bound
+        self.split, self.bound, self.older = split, bound, {}
 
     def __missing__(self, run: str) -> bytes | None:
-        if len(self) >= self.bound:
+        if len(self) >= self.bound:  # the last generation stays at hand, so that frequent runs outlive the change
+            self.older = dict(self)
             self.clear()
+        if run in self.older:
+            value = self[run] = self.older[run]
+            return value
         body = run[1:] if run[:1] == "\n" else run
         if not body or body[0].isspace() or body[-1].isspace():
             value = None

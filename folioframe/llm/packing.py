@@ -1,6 +1,7 @@
 """Packing of token sequences by cutting-stock column generation over the length histogram.
 
-A document is its ids and an end id. Every full `size` ids are a sequence of their own; the rest, shorter than `size`, is packed whole.
+A document is its ids by the byte-level tokenizer file and an end id (pre-tokens are merged by a faster library over the same vocabulary; the tests hold its ids
+against the file's own library). Every full `size` ids are a sequence of their own; the rest, shorter than `size`, is packed whole.
 Rests are counted in units of `size / UNITS` ids, rounded up; that histogram (at most UNITS numbers, whatever the corpus) is the demand of a linear
 program whose columns are patterns, multisets of lengths that fit one sequence. A restricted program is solved by the revised simplex
 method; a knapsack dynamic program prices new columns until none saves anything or the bound on what is left to save is below `gap`. Whole
@@ -16,15 +17,17 @@ no pieces; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
-from tokenizers import Tokenizer
 
 from folioframe.llm.bpe import Runs
 from folioframe.llm.common import cut_lineage, slices
@@ -33,19 +36,31 @@ END_ID = 0
 UNITS = 256
 
 
+def read_model(path: str) -> dict[bytes, int]:
+    """Token bytes and ids of a byte-level tokenizer file. Its ids follow the order of its merges, so they serve as ranks.
+
+    The file writes a byte as a character: visible Latin ones as themselves, all others from code 256 on, in order.
+    """
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    special = {t["content"] for t in model.get("added_tokens", [])}
+    return {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+
+
 def tokenise(docs: DataFrame, path: str, size: int, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """keep columns, doc_tokens, rest, checks (crc32 of every piece's ids) and, if wanted, ids (binary, little-endian unsigned 32-bit)."""
-    with open(path, encoding="utf-8") as file:
-        model = docs.sparkSession.sparkContext.broadcast(file.read())  # a fixed file
+    ranks = docs.sparkSession.sparkContext.broadcast(read_model(path))  # a fixed file
     source = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("__text"))
     schema = source.drop("__text").schema.add("doc_tokens", "long").add("rest", "integer").add("checks", ArrayType(LongType()))
     if with_ids:
         schema = schema.add("ids", "binary")
 
     def run(batches):
-        tokenizer = Tokenizer.from_str(model.value)
-        tokenizer.encode_special_tokens = True
-        runs = Runs(lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
+        coder = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.value, special_tokens={})
+        runs = Runs(lambda text: np.array(coder.encode_ordinary(text), dtype="<u4").tobytes())
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for part in slices(batch, "__text"):
