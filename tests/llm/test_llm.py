@@ -118,6 +118,27 @@ def test_language_model_windows_score_every_token_once():
         at += n
 
 
+def test_language_model_learns_from_every_distinct_text_whole(spark):
+    """300 copies of one text and a single text longer than 20,000 characters, in one shard and in several."""
+    long_text, copies = "of. the re an " * 3000, prose(3, 20)
+    df = spark.createDataFrame([(1, long_text), *[(i, copies) for i in range(2, 302)]], "doc_id long, text string").repartition(7)
+    ranks = bpe.read_ranks(RANKS)
+    given = spark.sparkContext.broadcast(ranks)
+    counts = lm.count_words(df, given, public_tokenizers.PATTERN)
+    subwords = lm.Subwords(ranks, public_tokenizers.PATTERN)
+    ids = [i for w in common.split_words(long_text, lower=True) for i in subwords.ids(w)]
+    for shard in (lm.SHARD, 4000):
+        model = lm.fit(df, counts, ranks, public_tokenizers.PATTERN, shard=shard)
+        stream = np.append(model.class_of[ids], lm.END).astype(np.uint8)
+        assert lm.log_probabilities(model, stream, np.array([len(stream)]))[0].mean() > -0.5
+        held = lm.class_streams(df, given, public_tokenizers.PATTERN, spark.sparkContext.broadcast(model.class_of), 3, 2).collect()
+        assert sorted(len(r["stream"]) for r in held)[1] == len(stream) and len(held) == 2
+    for places in (lm.T + 1, lm.T + 2, 100, 1000):
+        for shift in (0, 5, lm.T - 1):
+            starts = lm.window_starts(places, shift)
+            assert set((starts[:, None] + np.arange(1, lm.T + 1)).ravel()) == set(range(1, places))
+
+
 def test_language_model_beats_frequencies_on_held_out_text(spark):
     s = queries.op2(spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert s[0] > s[1]
