@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-BOX = "left:double,top:double,right:double,bottom:double"
-DETECTION = (
-    "res struct<dt_polys:array<array<array<double>>>,dt_scores:array<double>>, dt_polys array<array<array<double>>>, dt_scores array<double>,"
-    " items array<struct<type:string,label:string,bbox:array<double>,points:array<array<double>>,x:double,y:double,width:double,height:double,score:double,confidence:double>>"
-)
+BOX = "left double, top double, right double, bottom double"
+BOX_KEYS = ("bbox", "box", "layout_bbox", "coordinate", "coordinates", "dt_polys", "poly", "points")
+EDGE_KEYS = ("x", "y", "width", "height")
+LABEL_KEYS = ("type", "label", "category", "layout_type", "block_type", "region_type")
+SCORE_KEYS = ("score", "confidence", "prob")
 
 
 def load_json(text: Column, schema: str) -> Column:
@@ -23,19 +30,107 @@ def dump_json(fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[fields[name].alias(name) for name in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
+def _parse(body: str | None) -> tuple[object, bool]:
+    """Value of a JSON text, and whether it could not be read; null and blank texts hold nothing."""
+    if body is None or not body.strip():
+        return None, False
+    try:
+        return json.loads(body), False
+    except (ValueError, RecursionError):
+        return None, True
+
+
+def _objects(value: object) -> Iterator[dict]:
+    """All objects at any depth, each before the ones it holds, in order."""
+    todo = [value]
+    while todo:
+        now = todo.pop()
+        if isinstance(now, dict):
+            yield now
+            todo.extend(reversed(now.values()))
+        elif isinstance(now, list):
+            todo.extend(reversed(now))
+
+
+def _numbers(*values: object) -> list[float] | None:
+    try:
+        return [float(v) for v in values]
+    except (TypeError, ValueError, OverflowError):
+        return None
+
+
+def _box_of_points(points: object) -> list[float] | None:
+    if not isinstance(points, list):
+        return None
+    if len(points) == 4 and all(isinstance(p, (int, float)) for p in points):
+        return _numbers(*points)
+    ends = [n for p in points if isinstance(p, list) and len(p) >= 2 and (n := _numbers(p[0], p[1]))]
+    return [min(x for x, _ in ends), min(y for _, y in ends), max(x for x, _ in ends), max(y for _, y in ends)] if ends else None
+
+
+def _box(item: dict) -> list[float] | None:
+    for key in BOX_KEYS:
+        if box := _box_of_points(item.get(key)):
+            return box
+    edges = _numbers(*[item.get(key) for key in EDGE_KEYS])
+    return [edges[0], edges[1], edges[0] + edges[2], edges[1] + edges[3]] if edges else None
+
+
+def _score(value: object) -> float:
+    return (_numbers(value) or [0.0])[0] if isinstance(value, (int, float)) else 0.0
+
+
+def _flatten(body: str | None) -> list[tuple]:
+    """(nth, kind, score, left, top, right, bottom, reason) of every item; reason is null where the box could be read."""
+    value, broken = _parse(body)
+    if broken:
+        return [(0, None, None, None, None, None, None, "malformed_body")]
+    none = [None] * 4
+    polygons, loose = [], []
+    for item in _objects(value):
+        # The polygons of an object with `res` are those of `res`, which comes as an object of its own.
+        if isinstance(item.get("dt_polys"), list) and not isinstance(item.get("res"), dict):
+            scores = item.get("dt_scores")
+            for i, polygon in enumerate(item["dt_polys"]):
+                score = (_numbers(scores[i]) or [0.0])[0] if isinstance(scores, list) and i < len(scores) else 0.0
+                box = _box_of_points(polygon)
+                polygons.append(("text", score, *(box or none), None if box else "no_usable_box"))
+        box = _box(item)
+        meant = any(k in item and k != "dt_polys" and not isinstance(item[k], dict) for k in BOX_KEYS) or all(k in item for k in EDGE_KEYS)
+        if box or meant:
+            label = next((str(item[k]) for k in LABEL_KEYS if item.get(k)), "text")
+            score = next((_score(item[k]) for k in SCORE_KEYS if isinstance(item.get(k), (int, float))), 0.0)
+            loose.append((label, score, *(box or none), None if box else "no_usable_box"))
+    won = polygons if any(p[-1] is None for p in polygons) else [*loose, *polygons]
+    return [(i, *row) for i, row in enumerate(won)]
+
+
+def flattened(responses: DataFrame, key: str, body: str) -> DataFrame:
+    """Every object with a box at any depth, and what has none that can be read, with the reason."""
+    source = responses.select(F.col(key), F.col(body).cast("string").alias("__body"))
+    tail = StructType.fromDDL(f"nth int, kind string, score double, {BOX}, reason string")
+    schema = StructType([*source.drop("__body").schema.fields, *tail.fields])
+
+    def run(batches):
+        types = to_arrow_schema(tail)
+        for batch in batches:
+            found = [_flatten(t) for t in batch.column(1).to_pylist()]
+            owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            columns = list(zip(*(row for f in found for row in f))) or [()] * len(types)
+            arrays = [pa.array(c, t.type) for c, t in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *arrays], names=[key, *types.names])
+
+    return source.mapInArrow(run, schema)
+
+
 def detection_items(responses: DataFrame, key: str, body: str) -> DataFrame:
     """Boxes of detector responses. Polygons pair with scores by index; where any exist, loose items are ignored."""
-    parsed = responses.select(key, load_json(F.col(body), DETECTION).alias("r"))
-    polygons = F.coalesce(F.col("r.res.dt_polys"), F.col("r.dt_polys"))
-    scores = F.coalesce(F.col("r.res.dt_scores"), F.col("r.dt_scores"))
-    shaped = parsed.withColumn("polys", F.coalesce(polygons, F.array().cast("array<array<array<double>>>"))).withColumn("scores", scores)
-    as_poly = """transform(polys, (p, i) -> named_struct('nth', i, 'kind', 'text', 'score', coalesce(get(scores, i), 0D), 'left', array_min(transform(p, q -> q[0])),
-        'top', array_min(transform(p, q -> q[1])), 'right', array_max(transform(p, q -> q[0])), 'bottom', array_max(transform(p, q -> q[1]))))"""
-    as_item = """transform(coalesce(r.items, array()), (t, i) -> named_struct('nth', i, 'kind', coalesce(t.type, t.label, 'text'), 'score', coalesce(t.score, t.confidence, 0D),
-        'left', coalesce(get(t.bbox, 0), array_min(transform(t.points, q -> q[0])), t.x), 'top', coalesce(get(t.bbox, 1), array_min(transform(t.points, q -> q[1])), t.y),
-        'right', coalesce(get(t.bbox, 2), array_max(transform(t.points, q -> q[0])), t.x + t.width), 'bottom', coalesce(get(t.bbox, 3), array_max(transform(t.points, q -> q[1])), t.y + t.height)))"""
-    picked = shaped.selectExpr(key, f"inline(CASE WHEN exists(polys, p -> size(p) > 0) THEN {as_poly} ELSE {as_item} END)")
-    return picked.filter("left IS NOT NULL AND top IS NOT NULL AND right IS NOT NULL AND bottom IS NOT NULL")
+    return flattened(responses, key, body).filter("reason IS NULL").drop("reason")
+
+
+def rejected_items(responses: DataFrame, key: str, body: str) -> DataFrame:
+    """What `detection_items` leaves out for want of a readable box or body, with the reason."""
+    return flattened(responses, key, body).filter("reason IS NOT NULL").select(key, "nth", "kind", "score", "reason")
 
 
 def layout_items(items: DataFrame) -> DataFrame:
@@ -45,12 +140,31 @@ def layout_items(items: DataFrame) -> DataFrame:
     return items.withColumn("kind", region_type(F.col("kind"))).filter(F.col("kind").isin("table", "image"))
 
 
+def _read(body: str | None) -> tuple[str, float, str | None]:
+    value, broken = _parse(body)
+    texts, scores = {}, []
+    for item in _objects(value):
+        for key in ("rec_text", "text", "label"):
+            if isinstance(item.get(key), str) and item[key].strip():
+                texts[item[key].strip()] = None
+        scores.extend(_score(item[key]) for key in ("rec_score", "confidence", "score", "prob") if isinstance(item.get(key), (int, float)))
+    return " ".join(texts).strip(), sum(scores) / len(scores) if scores else 0.0, "malformed_body" if broken else None
+
+
+def readings(responses: DataFrame, key: str, body: str) -> DataFrame:
+    """Text, confidence and, for a body that could not be read, the reason, per recogniser response."""
+    source = responses.select(F.col(key), F.col(body).cast("string").alias("__body"))
+    schema = source.drop("__body").schema.add("text", "string").add("confidence", "double").add("reason", "string")
+
+    def run(batches):
+        for batch in batches:
+            found = [_read(t) for t in batch.column(1).to_pylist()]
+            arrays = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[key, "text", "confidence", "reason"])
+
+    return source.mapInArrow(run, schema)
+
+
 def recognition(responses: DataFrame, key: str, body: str) -> DataFrame:
-    """Distinct texts in first-seen order and the mean of all scores of recogniser responses."""
-    schema = "array<struct<rec_text:string,text:string,rec_score:double,score:double,confidence:double>>"
-    parsed = responses.select(key, load_json(F.col(body), schema).alias("r"))
-    texts = "filter(transform(flatten(transform(r, t -> array(t.rec_text, t.text))), s -> trim(s)), s -> s IS NOT NULL AND s <> '')"
-    scores = "filter(flatten(transform(r, t -> array(t.rec_score, t.confidence, t.score))), s -> s IS NOT NULL)"
-    return parsed.selectExpr(key, f"coalesce(array_join(array_distinct({texts}), ' '), '') AS text", f"{scores} AS scores").selectExpr(
-        key, "text", "CASE WHEN size(scores) > 0 THEN aggregate(scores, 0D, (s, v) -> s + v) / size(scores) ELSE 0D END AS confidence"
-    )
+    """Distinct texts in first-seen order and the mean of all numeric scores, from objects at any depth of recogniser responses."""
+    return readings(responses, key, body).drop("reason")

@@ -1,6 +1,7 @@
 """Fixtures with known answers, brute force on small inputs, and hot groups."""
 
 import difflib
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -239,3 +240,31 @@ def test_files_and_json(spark, tmp_path):
     assert rows(totals, "candidate_count", "candidate_bytes", "truncated") == [(0, 0, False)] and shown.count() == 0
     df = spark.createDataFrame([("{\"k\": 1}",), ("oops",), ("",), (None,)], "t string")
     assert [r.v for r in df.select(responses.load_json(F.col("t"), "k int")["k"].alias("v")).collect()] == [1, None, None, None]
+
+
+def test_responses_of_any_shape(spark):
+    """Boxes, labels and scores under every key of the detectors, at any depth; what cannot be read is a reject row."""
+    def body(value):
+        return json.dumps(value)
+
+    shapes = [
+        (1, body({"pages": [{"blocks": [{"layout_bbox": [1, 2, 3, 4], "block_type": "table", "prob": 0.5, "parts": [{"poly": [[5, 6], ["9", 8]], "category": "figure"}]}]}]})),
+        (2, body([{"box": [[0, 1], [2, 3]], "region_type": "text", "score": 1}, {"coordinate": [1, 1, 2, 2], "layout_type": "chart", "confidence": 0.25}])),
+        (3, body({"boxes": {"a": {"coordinates": [1, 1, 2, 2], "score": "high", "prob": 0.75}, "b": {"x": 1, "y": 2, "width": "3", "height": 4}}})),
+        (4, body({"bbox": [], "label": "seal"})),
+        (5, "{cut"), (6, None), (7, " "),
+        (8, body({"out": [{"res": {"dt_polys": [[[0, 0], [4, 5]], [], [[1, 1], [2, 2]]], "dt_scores": [0.5, 0.5]}}, {"bbox": [1, 2, 3, 4]}]})),
+        (9, body({"dt_polys": [[]], "items": [{"points": [[1, 2], [3, 4]]}]})),
+    ]
+    df = spark.createDataFrame(shapes, "page_id long, body string").repartition(3)
+    assert rows(responses.detection_items(df, "page_id", "body"), "page_id", "nth", "kind", "score", "left", "top", "right", "bottom") == [
+        (1, 0, "table", 0.5, 1, 2, 3, 4), (1, 1, "figure", 0.0, 5, 6, 9, 8), (2, 0, "text", 1.0, 0, 1, 2, 3), (2, 1, "chart", 0.25, 1, 1, 2, 2),
+        (3, 0, "text", 0.75, 1, 1, 2, 2), (3, 1, "text", 0.0, 1, 2, 4, 6), (8, 0, "text", 0.5, 0, 0, 4, 5), (8, 2, "text", 0.0, 1, 1, 2, 2), (9, 0, "text", 0.0, 1, 2, 3, 4),
+    ]
+    assert rows(responses.rejected_items(df, "page_id", "body"), "page_id", "nth", "reason") == [
+        (4, 0, "no_usable_box"), (5, 0, "malformed_body"), (8, 1, "no_usable_box"), (9, 1, "no_usable_box"),
+    ]
+    texts = [(1, body({"result": [{"lines": {"label": " a\t", "prob": 1}}, {"rec_text": "b", "rec_score": 0.5, "text": "a"}]})), (2, body([{"text": "x", "score": 0.25}])), (3, None), (4, "[")]
+    df = spark.createDataFrame(texts, "page_id long, body string")
+    assert rows(responses.recognition(df, "page_id", "body"), "page_id", "text", "confidence") == [(1, "a b", 0.75), (2, "x", 0.25), (3, "", 0.0), (4, "", 0.0)]
+    assert rows(responses.readings(df, "page_id", "body").filter("reason IS NOT NULL"), "page_id") == [(4,)]
