@@ -156,6 +156,21 @@ def test_language(spark, docs, empty):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.95 * len(held)
 
 
+def test_language_learns_from_long_texts_and_bounds_its_draw(spark):
+    """A language with long texts only has a dictionary; rows without a key or with one key for all do not pass the bound."""
+    rng = random.Random(6)
+    own = ["".join(rng.choice("bdgklmnrst") + rng.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(own) for _ in range(4000)), "xx") for i in range(3)]
+    rows += [(None if i % 2 else 77, prose(i, 12), "en") for i in range(2000)] + [(77, prose(0, 12), "en")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    found = language.fit(df)
+    assert set(found) == {"en", "xx"} and len(found["xx"]) > 30_000
+    probe = spark.createDataFrame([(1, " ".join(rng.choice(own) for _ in range(200)))], "doc_id long, text string")
+    assert language.predict(probe, found).first()["lang_pred"] == "xx"
+    drawn = Counter(r["lang"] for r in language.draw_texts(df, 20, 12_288).collect())
+    assert 20 <= drawn["en"] <= 40 and drawn["xx"] == 3
+
+
 def test_packing(docs, rows, empty):
     encode = brute.encoding().encode_ordinary
     pieces = packing.pack(docs.withColumn("row", F.xxhash64("doc_id", "text", "source")), MODEL, keep=("doc_id",), with_ids=True).collect()
