@@ -18,6 +18,7 @@ no pieces; other columns are not read.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -50,22 +51,47 @@ def read_model(path: str) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
 
 
+def read_added(path: str) -> dict[str, int]:
+    """Added tokens of a tokenizer file and their ids. Only plain ones are known: found as they are, wherever they stand."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file).get("added_tokens", [])
+    if any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("an added token that is not plain")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+class Pieces:
+    """Ids of texts: literals of added tokens are ids of their own, the texts between them are encoded each."""
+
+    def __init__(self, ranks: dict[bytes, int], added: dict[str, int]):
+        coder = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.runs = Runs(lambda text: np.array(coder.encode_ordinary(text), dtype="<u4").tobytes())
+        self.added = {t: np.array([i], dtype="<u4").tobytes() for t, i in added.items()}
+        # The longest literal wins where several start.
+        self.literal = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+    def text(self, text: str) -> bytes:
+        if self.literal is None or not self.literal.search(text):
+            return self.runs.text(text)
+        return b"".join(self.added[p] if i % 2 else self.runs.text(p) for i, p in enumerate(self.literal.split(text)))
+
+
 def tokenise(docs: DataFrame, path: str, size: int, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """keep columns, doc_tokens, rest, checks (crc32 of every piece's ids) and, if wanted, ids (binary, little-endian unsigned 32-bit)."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_model(path))  # a fixed file
+    added = read_added(path)
     source = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("__text"))
     schema = source.drop("__text").schema.add("doc_tokens", "long").add("rest", "integer").add("checks", ArrayType(LongType()))
     if with_ids:
         schema = schema.add("ids", "binary")
 
     def run(batches):
-        coder = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.value, special_tokens={})
-        runs = Runs(lambda text: np.array(coder.encode_ordinary(text), dtype="<u4").tobytes())
+        pieces = Pieces(ranks.value, added)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for part in slices(batch, "__text"):
                 at = part.schema.get_field_index("__text")
-                ids = [runs.text(t) + end for t in part.column(at).to_pylist()]
+                ids = [pieces.text(t) + end for t in part.column(at).to_pylist()]
                 count = [len(i) // 4 for i in ids]
                 checks = [[zlib.crc32(i[lo:lo + 4 * size]) for lo in range(0, len(i), 4 * size)] for i in ids]
                 kept = [(n, part.column(i)) for i, n in enumerate(part.schema.names) if i != at]

@@ -205,6 +205,17 @@ def test_packing_ids_are_those_of_the_file():
         assert np.frombuffer(own.text(text), "<u4").tolist() == file.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_reads_added_tokens_as_the_file_does(spark):
+    """A literal added token is one id, as in the library's plain call."""
+    file = tokenizers.Tokenizer.from_file(MODEL)
+    mark = "<|endoftext|>"
+    texts = [f"hello {mark} world", mark, f"{mark}{mark} a\n{mark}", f"a  {mark}  b", "<|endoftext| > no", f"<{mark}>", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in packing.pack(df, MODEL, with_ids=True).collect()}
+    assert got == {i: [*file.encode(t, add_special_tokens=False).ids, packing.END_ID] for i, t in enumerate(texts)}
+    assert got[0] == [31373, 220, 50256, 995, packing.END_ID]
+
+
 def test_packing_patterns_cover_the_demand():
     rng = random.Random(5)
     for n in (1, 7, 300, 20_000):
