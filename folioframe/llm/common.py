@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import sys
 
 import numpy as np
 import xxhash
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioframe.session import cut_lineage
 
-__all__ = ["WORD", "SPACE_LIST", "words", "table", "crc_mod", "fresh", "split_words", "WordHashes", "difference_cover", "slices", "cut_lineage"]
+__all__ = ["WORD", "SPACE_LIST", "words", "table", "crc_mod", "fresh", "split_words", "WordHashes", "Remembered", "difference_cover", "slices", "cut_lineage"]
 
 #: A word is a run of characters other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,6 +62,29 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
 
+class Remembered(dict):
+    """Results of a function by argument, bounded in bytes.
+
+    Two generations: once the newer one holds `limit` bytes it becomes the older one, which still answers until the next change, so that
+    frequent arguments outlive it. An argument and result of more than `longest` bytes together are computed each time.
+    """
+
+    def __init__(self, compute, limit: int = 64 << 20, longest: int = 1 << 12):
+        super().__init__()
+        self.compute, self.limit, self.longest, self.held, self.older = compute, limit, longest, 0, {}
+
+    def __missing__(self, key):
+        value = self.older[key] if key in self.older else self.compute(key)
+        cost = sys.getsizeof(key) + sys.getsizeof(value) + 100
+        if cost <= self.longest:
+            if self.held + cost > self.limit:
+                self.older, self.held = dict(self), 0
+                self.clear()
+            self[key] = value
+            self.held += cost
+        return value
+
+
 def difference_cover(period: int) -> list[int]:
     """A smallest set D in 0..period-1 such that every shift is a difference of two members, found by search."""
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import bpe, language, lines, lm, ngram_join, packing, quality, secrets, substring, topk
+from folioframe.llm import bpe, language, lines, lm, ngram_join, packing, pair_bpe, quality, secrets, substring, topk
 from folioframe.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 1024 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op11_pair_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the tokenizer file and the text they decode to, as digests."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    both = pair_bpe.decode(pair_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return both.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
