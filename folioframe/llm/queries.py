@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import bpe, language, lines, lm, ngram_join, packing, pair_bpe, quality, secrets, substring, topk
+from folioframe.llm import bpe, language, lines, lm, ngram_join, packing, pair_bpe, quality, secrets, substring, topk, vector_codes
 from folioframe.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,38 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def _op12_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Twin of the product codes; each round is one more pair of common table expressions."""
+    sql = f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS rid, * FROM (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0)),
+p AS (SELECT rid, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] AS x FROM k, range({parts}) t(part)),
+b0 AS (SELECT part, rid - 1 AS entry, x AS e FROM p WHERE rid <= {entries})"""
+    for i in range(rounds + 1):
+        sql += f""",
+d{i} AS (SELECT rid, p.part, entry, x, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - e[i]) * (x[i] - e[i]))) AS far FROM p JOIN b{i} b ON p.part = b.part),
+a{i} AS (SELECT rid, part, arg_min(entry, far * 1000 + entry) AS entry, min(far) AS far, any_value(x) AS x FROM d{i} GROUP BY rid, part)"""
+        if i < rounds:
+            sql += f""",
+m{i} AS (SELECT part, entry, list(CAST(floor(total / CAST(n AS DOUBLE)) AS BIGINT) ORDER BY place) AS e FROM (
+  SELECT part, entry, place, sum(c) AS total, count(*) AS n FROM (SELECT part, entry, unnest(x) AS c, unnest(range(1, len(x) + 1)) AS place FROM a{i}) GROUP BY part, entry, place) GROUP BY part, entry),
+b{i + 1} AS (SELECT b.part, b.entry, coalesce(m.e, b.e) AS e FROM b{i} b LEFT JOIN m{i} m ON b.part = m.part AND b.entry = m.entry)"""
+    return sql + f""",
+c AS (SELECT rid, string_agg(lpad(to_hex(entry), 2, '0'), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} GROUP BY rid),
+s AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM k JOIN c USING (rid), s
+"""
+
+
+@query("op12_vector_codes", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors, their errors and the digest of the codebooks."""
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(None).cast("string")
+    for n, of_length in books.items():
+        digest = F.when(F.col("n") == n, vector_codes.digest(of_length)).otherwise(digest)
+    return coded.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
