@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import bpe, language, lines, lm, ngram_join, packing, pair_bpe, quality, secrets, substring, topk, vector_codes
+from folioframe.llm import bpe, language, lines, lm, ngram_join, packing, pair_bpe, prefix_trie, quality, secrets, substring, topk, vector_codes
 from folioframe.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,3 +225,32 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, of_length in books.items():
         digest = F.when(F.col("n") == n, vector_codes.digest(of_length)).otherwise(digest)
     return coded.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+           FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list({'h': md5(md5(role) || md5(text)), 'w': len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))} ORDER BY i) AS turns FROM t GROUP BY c),
+-- crc32 bit by bit: a step of -1 shifts, any other value is a byte to mix in
+k AS (SELECT c, xor(list_reduce([4294967295] || flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+        lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295) % 4 AS h FROM o),
+r AS (SELECT o.c, coalesce(b.turns[1:h], []) || o.turns[h + 1:] AS turns FROM o JOIN k USING (c) LEFT JOIN o b ON b.c = o.c - o.c % 20),
+p AS (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS depth FROM r),
+q AS (SELECT c, depth, len(turns) AS total, [x.h for x in turns[1:depth]] AS path, CASE WHEN depth = 0 THEN 0 ELSE turns[depth].w END AS w FROM p),
+n AS (SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+        sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE total = depth), '')) AS ends_sha256 FROM q GROUP BY path, depth),
+m AS (SELECT n.*, u.conv_id AS parent_conv_id, coalesce(k.n_children, 0) AS n_children FROM n
+      LEFT JOIN n u ON u.depth = n.depth - 1 AND u.path = n.path[1:n.depth - 1]
+      LEFT JOIN (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1) k ON k.path = n.path),
+z AS (SELECT a.path[1:d] AS path, d AS depth, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * w) AS saved_tokens
+      FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM m) a GROUP BY 1, 2)
+SELECT conv_id, m.depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM m JOIN z ON z.path = m.path AND z.depth = m.depth
+"""
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
