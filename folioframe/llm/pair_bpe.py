@@ -140,7 +140,7 @@ def _codec(held) -> Codec:
 def _map(table: DataFrame, path: str, column: str, name: str, kind: str, work, drop: bool) -> DataFrame:
     """The table with `name` computed from `column` row by row, in runs of rows of a bounded size; `column` itself goes if asked."""
     held = table.sparkSession.sparkContext.broadcast(read_file(path))
-    schema = (table.drop(column) if drop else table).schema.add(name, kind)
+    schema = table.select(*[c for c in table.columns if not (drop and c == column)]).schema.add(name, kind)
     result = pa.binary() if kind == "binary" else pa.string()
 
     def run(batches):

@@ -294,15 +294,16 @@ def rank_list(arcs: DataFrame, block: int = 1 << 16, whole: int = 1 << 17) -> Da
 
 def prefix_sums(df: DataFrame, place: str, values: list[str], n: int, block: int) -> DataFrame:
     """Every value replaced by its sum up to and including the row; `place` numbers the n rows from 0."""
-    split = df.withColumn("__block", F.floor(F.col(place) / block))
-    inside = Window.partitionBy("__block").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    up = f"{place}_up"
+    split = df.withColumn(up, F.floor(F.col(place) / block))
+    inside = Window.partitionBy(up).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
     sums = split.withColumns({v: F.sum(v).over(inside) for v in values})
     if n <= block:
-        return sums.drop("__block")
-    totals = split.groupBy("__block").agg(*[F.sum(v).alias(v) for v in values])
-    carried = prefix_sums(totals, "__block", values, -(-n // block), block)
-    carried = carried.select((F.col("__block") + 1).alias("__block"), *[F.col(v).alias(f"__{v}") for v in values])
-    both = sums.join(carried, "__block", "left")
+        return sums.drop(up)
+    totals = split.groupBy(up).agg(*[F.sum(v).alias(v) for v in values])
+    carried = prefix_sums(totals, up, values, -(-n // block), block)
+    carried = carried.select((F.col(up) + 1).alias(up), *[F.col(v).alias(f"__{v}") for v in values])
+    both = sums.join(carried, up, "left")
     return both.withColumns({v: F.col(v) + F.coalesce(f"__{v}", F.lit(0)) for v in values}).select(*df.columns)
 
 
