@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from folioframe.llm.common import Remembered, slices
+from folioframe.llm.common import slices
 
 MASK = (1 << 64) - 1
 ODD = 0x9E3779B97F4A7C15
@@ -122,21 +122,30 @@ def merge_bytes(piece: bytes, vocabulary: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Runs(Remembered):
-    """Ids of texts as little-endian unsigned 32-bit bytes, from a function that splits any string; remembers runs up to a bound in bytes.
+class Runs(dict):
+    """Ids of texts as little-endian unsigned 32-bit bytes, from a function that splits any string; remembers runs up to a bound.
 
     A key is a run after a blank, or one that starts with its line end; the value is None where blanks reach into the next run.
     """
 
-    def __init__(self, split):
-        super().__init__(self.run)
-        self.split = split
-
-    def run(self, run: str) -> bytes | None:
+    def __init__(self, split, bound: int = 400_000):
+        super().__init__()
+        self.split, self.bound, self.older = split, bound, {}
+
+    def __missing__(self, run: str) -> bytes | None:
+        if len(self) >= self.bound:  # the last generation stays at hand, so that frequent runs outlive the change
+            self.older = dict(self)
+            self.clear()
+        if run in self.older:
+            value = self[run] = self.older[run]
+            return value
         body = run[1:] if run[:1] == "\n" else run
         if not body or body[0].isspace() or body[-1].isspace():
-            return None
-        return self.split(run if run[0] == "\n" else " " + run)
+            value = None
+        else:
+            value = self.split(run if run[0] == "\n" else " " + run)
+        self[run] = value
+        return value
 
     def text(self, text: str) -> bytes:
         if not text:

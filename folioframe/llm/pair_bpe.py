@@ -5,8 +5,9 @@ A pre-token starts as one symbol per character of the file's byte alphabet. The
 since is stale and skipped; a merge replaces the left symbol, unlinks the right one and queues the two new pairs. Decoding concatenates the
 vocabulary strings of the ids, written as the bytes they stand for, and reads them as UTF-8, broken sequences as U+FFFD.
 
-Where pre-tokens end is asked of the file's own pre-tokenizer, because regular-expression libraries know different versions of the character classes.
-Literals of added tokens are ids of their own and cut the text. Runs between single blanks are split alone and remembered, bounded in bytes (`bpe.Runs`).
+Where pre-tokens end is asked of the file's own pre-tokenizer, because regular-expression libraries know different versions of the character classes;
+below U+0530, where they agree, a compiled pattern answers. Literals of added tokens are ids of their own and cut the text. Runs between single blanks
+are split alone; runs and pre-tokens are remembered, bounded in bytes (`common.Remembered`).
 
 The tokenizer file is read on the driver (its path is a parameter) and broadcast; its size does not depend on the data.
 
@@ -21,15 +22,18 @@ import json
 import re
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import regex
 import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm.bpe import Runs
-from folioframe.llm.common import slices
+from folioframe.llm.common import Remembered, slices
 
 SHIFT = 32
+BEYOND = re.compile("[\u0530-\U0010ffff]")
 
 
 def read_file(path: str) -> str:
@@ -88,6 +92,22 @@ def merge(symbols: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
     return out
 
 
+class BoundedRuns(Remembered):
+    """`bpe.Runs` with a bound in bytes: ids of runs after a blank, None where blanks reach into the next run."""
+
+    text = Runs.text
+
+    def __init__(self, split):
+        super().__init__(self.run)
+        self.split = split
+
+    def run(self, run: str) -> bytes | None:
+        body = run[1:] if run[:1] == "\n" else run
+        if not body or body[0].isspace() or body[-1].isspace():
+            return None
+        return self.split(run if run[0] == "\n" else " " + run)
+
+
 class Codec:
     """Encoder and decoder of one tokenizer file."""
 
@@ -96,26 +116,35 @@ class Codec:
         vocabulary = told["model"]["vocab"]
         parts = [m if isinstance(m, list) else m.split(" ") for m in told["model"]["merges"]]
         self.pairs = {vocabulary[a] << SHIFT | vocabulary[b]: (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(parts)}
-        self.symbols = {t: i for t, i in vocabulary.items() if len(t) == 1}
-        self.cut = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+        self.library = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+        self.pattern = regex.compile(public_tokenizers.PATTERN).findall
+        self.pieces = Remembered(self.piece, limit=32 << 20)
         added = {t["content"]: t["id"] for t in told.get("added_tokens", [])}
         self.added = {t: np.array([i], dtype="<u4").tobytes() for t, i in added.items()}
         # The longest literal wins where several start.
         self.literal = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.runs = Runs(self.split)
+        self.runs = BoundedRuns(self.split)
         # The alphabet writes a byte as a character: visible Latin ones as themselves, all others from code 256 on, in order.
         visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self.byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in visible)}
+        self.symbols = {b: vocabulary[c] for c, b in self.byte_of.items() if c in vocabulary}
         self.strings = {i: self.spell(t) for t, i in {**vocabulary, **added}.items()}
 
     def spell(self, token: str) -> bytes:
         return bytes(self.byte_of[c] for c in token) if all(c in self.byte_of for c in token) else token.encode()
 
+    def cut(self, text: str) -> list[str]:
+        """Pre-tokens of a text."""
+        if BEYOND.search(text):
+            return [text[lo:hi] for _, (lo, hi) in self.library(text)]
+        return self.pattern(text)
+
+    def piece(self, piece: str) -> bytes:
+        merged = merge([self.symbols[b] for b in piece.encode() if b in self.symbols], self.pairs)
+        return np.array(merged, dtype="<u4").tobytes()
+
     def split(self, text: str) -> bytes:
-        ids = []
-        for piece, _ in self.cut(text):
-            ids += merge([self.symbols[c] for c in piece if c in self.symbols], self.pairs)
-        return np.array(ids, dtype="<u4").tobytes()
+        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
 
     def encode(self, text: str) -> bytes:
         if self.literal is None or not self.literal.search(text):

@@ -60,6 +60,13 @@ def test_pair_bpe_decodes_any_ids():
         assert codec.decode(np.array(ids, dtype="<u4").tobytes()) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_pair_bpe_pattern_below_the_limit():
+    codec = pair_bpe.Codec(pair_bpe.read_file(MODEL))
+    for c in map(chr, range(0x530)):
+        text = f"a{c}b {c}{c} 1{c}2{c} !{c} c{c}\n{c} "
+        assert not pair_bpe.BEYOND.search(text) and codec.pattern(text) == [text[lo:hi] for _, (lo, hi) in codec.library(text)]
+
+
 def test_remembered_results_are_bounded_in_bytes():
     calls = []
     held = common.Remembered(lambda k: calls.append(k) or k * 2, limit=4000, longest=1000)
