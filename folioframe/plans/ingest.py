@@ -45,17 +45,24 @@ def canonical_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def detector_responses(spark: SparkSession, sf: str) -> DataFrame:
-    """Detector output per page: half of the pages as polygons beside loose items, half as loose items only."""
+    """Detector output per page: half of the pages as polygons beside loose items, half as loose items only, whose keys and depth vary by page."""
     from folioframe.plans.cleanup import items
 
     rows = items(spark, sf).groupBy("page_id").agg(
         F.expr("array_sort(collect_list(struct(item_id, label, x, y, width, height, confidence)))").alias("i")
     )
+    corners = "array(t.x, t.y, t.x + t.width, t.y + t.height)"
     polys = (
         "to_json(named_struct('res', named_struct('dt_polys', transform(i, t -> array(array(t.x, t.y), array(t.x + t.width, t.y), array(t.x + t.width, t.y + t.height), array(t.x, t.y + t.height))),"
-        " 'dt_scores', transform(slice(i, 1, greatest(1, size(i) - 1)), t -> t.confidence)), 'items', transform(i, t -> named_struct('label', t.label, 'bbox', array(t.x, t.y, t.x + t.width, t.y + t.height)))))"
+        f" 'dt_scores', transform(slice(i, 1, greatest(1, size(i) - 1)), t -> t.confidence)), 'items', transform(i, t -> named_struct('label', t.label, 'bbox', {corners}))))"
     )
-    loose = "to_json(named_struct('items', transform(i, t -> named_struct('label', t.label, 'bbox', array(t.x, t.y, t.x + t.width, t.y + t.height), 'score', t.confidence))))"
+    listed = lambda fields: f"transform(i, t -> named_struct({fields}))"
+    shapes = [
+        f"named_struct('items', {listed(f"'label', t.label, 'bbox', {corners}, 'score', t.confidence")})",
+        f"named_struct('pages', array(named_struct('found', {listed(f"'coordinate', {corners}, 'category', t.label, 'prob', t.confidence")})))",
+        f"array({listed("'x', t.x, 'y', t.y, 'width', t.width, 'height', t.height, 'meta', named_struct('no', t.item_id), 'block_type', t.label, 'confidence', t.confidence")})",
+    ]
+    loose = "CASE page_id % 3 " + " ".join(f"WHEN {n} THEN to_json({shape})" for n, shape in enumerate(shapes)) + " END"
     return rows.selectExpr("page_id", f"CASE WHEN page_id % 2 = 0 THEN {polys} ELSE {loose} END AS body")
 
 
@@ -70,10 +77,27 @@ def detector_items(spark: SparkSession, sf: str) -> DataFrame:
     return responses.detection_items(detector_responses(spark, sf), "page_id", "body")
 
 
-@query("src05_layout_items", oracle("SELECT page_id, nth, kind, score FROM detected WHERE kind IN ('table', 'image')", "detected"))
+@query("src04_rejected_items", oracle("""
+WITH n AS (SELECT page_id, item_id, label, confidence, CAST(row_number() OVER (PARTITION BY page_id ORDER BY item_id) - 1 AS INTEGER) AS nth FROM items)
+SELECT DISTINCT page_id, 0 AS nth, NULL AS kind, CAST(NULL AS DOUBLE) AS score, 'malformed_body' AS reason FROM n WHERE page_id % 5 = 0
+UNION ALL SELECT page_id, nth, label, confidence, 'no_usable_box' FROM n WHERE page_id % 5 <> 0 AND item_id % 3 = 0""", "items"))
+def rejected_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies that are cut off and items whose box cannot be read, with the reason."""
+    from folioframe.plans.cleanup import items
+
+    corners = "CASE WHEN t.item_id % 3 <> 0 THEN array(array(t.x, t.y), array(t.x + t.width, t.y + t.height)) WHEN t.item_id % 2 = 0 THEN array(array(t.x)) END"
+    body = f"to_json(transform(i, t -> named_struct('label', t.label, 'points', {corners}, 'score', t.confidence)), map('ignoreNullFields', 'false'))"
+    rows = items(spark, sf).groupBy("page_id").agg(F.expr("array_sort(collect_list(struct(item_id, label, x, y, width, height, confidence)))").alias("i"))
+    bodies = rows.selectExpr("page_id", f"CASE WHEN page_id % 5 = 0 THEN substr({body}, 1, 20) ELSE {body} END AS body")
+    return responses.rejected_items(bodies, "page_id", "body")
+
+
+@query("src05_layout_items", oracle("""
+SELECT page_id, CAST(nth AS INTEGER) AS nth, label AS kind, CASE WHEN page_id % 2 = 0 THEN 0.0::DOUBLE ELSE confidence END AS score, x AS "left", y AS top, x + width AS "right", y + height AS bottom
+FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY item_id) - 1 AS nth FROM items) WHERE label IN ('table', 'image')""", "items"))
 def layout_items(spark: SparkSession, sf: str) -> DataFrame:
-    found = responses.detection_items(detector_responses(spark, sf), "page_id", "body")
-    return responses.layout_items(found).select("page_id", "nth", "kind", "score")
+    """Table and image items of every response, polygons beside them or not."""
+    return responses.layout_items(detector_responses(spark, sf), "page_id", "body")
 
 
 @query("src06_recognition", oracle(f"""

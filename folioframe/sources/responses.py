@@ -1,22 +1,30 @@
-"""JSON in columns: stored signatures, detector and recogniser responses, canonical output."""
+"""JSON in columns: stored signatures, detector and recogniser responses, canonical output.
 
-from __future__ import annotations
+Responses may have any shape. A body is parsed once into a VARIANT and taken apart level by level inside its own row, with higher-order functions and no
+shuffle: a variant knows the type of a value but not the order of an object's keys, so the text of each object goes along and gives that order. Arrays
+without an object inside (polygons, scores) are read where they are asked for and not taken apart.
+"""
 
-import json
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-BOX = "left double, top double, right double, bottom double"
+# Keys in the order in which detectors and recognisers are read.
 BOX_KEYS = ("bbox", "box", "layout_bbox", "coordinate", "coordinates", "dt_polys", "poly", "points")
 EDGE_KEYS = ("x", "y", "width", "height")
 LABEL_KEYS = ("type", "label", "category", "layout_type", "block_type", "region_type")
 SCORE_KEYS = ("score", "confidence", "prob")
+TEXT_KEYS = ("rec_text", "text", "label")
+CONFIDENCE_KEYS = ("rec_score", "confidence", "score", "prob")
+
+#: Levels of nesting that a body may have; one with more is rejected as a whole.
+LEVELS = 40
+NODE = "struct<path: array<int>, raw: string, v: variant, o: map<string, variant>, a: array<variant>>"
+ITEM = "struct<kind: string, score: double, box: struct<left: double, top: double, right: double, bottom: double>, reason: string>"
+NUMERIC = "^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"
+NUMBERS = "^ARRAY<(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"
+EMPTY_VALUES = ("0", "0.0", "false", "[]", "{}")
 
 
 def load_json(text: Column, schema: str) -> Column:
@@ -30,97 +38,100 @@ def dump_json(fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[fields[name].alias(name) for name in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
-def _parse(body: str | None) -> tuple[object, bool]:
-    """Value of a JSON text, and whether it could not be read; null and blank texts hold nothing."""
-    if body is None or not body.strip():
-        return None, False
-    try:
-        return json.loads(body), False
-    except (ValueError, RecursionError):
-        return None, True
-
-
-def _objects(value: object) -> Iterator[dict]:
-    """All objects at any depth, each before the ones it holds, in order."""
-    todo = [value]
-    while todo:
-        now = todo.pop()
-        if isinstance(now, dict):
-            yield now
-            todo.extend(reversed(now.values()))
-        elif isinstance(now, list):
-            todo.extend(reversed(now))
-
-
-def _numbers(*values: object) -> list[float] | None:
-    try:
-        return [float(v) for v in values]
-    except (TypeError, ValueError, OverflowError):
-        return None
-
-
-def _box_of_points(points: object) -> list[float] | None:
-    if not isinstance(points, list):
-        return None
-    if len(points) == 4 and all(isinstance(p, (int, float)) for p in points):
-        return _numbers(*points)
-    ends = [n for p in points if isinstance(p, list) and len(p) >= 2 and (n := _numbers(p[0], p[1]))]
-    return [min(x for x, _ in ends), min(y for _, y in ends), max(x for x, _ in ends), max(y for _, y in ends)] if ends else None
-
-
-def _box(item: dict) -> list[float] | None:
-    for key in BOX_KEYS:
-        if box := _box_of_points(item.get(key)):
-            return box
-    edges = _numbers(*[item.get(key) for key in EDGE_KEYS])
-    return [edges[0], edges[1], edges[0] + edges[2], edges[1] + edges[3]] if edges else None
-
-
-def _score(value: object) -> float:
-    return (_numbers(value) or [0.0])[0] if isinstance(value, (int, float)) else 0.0
-
-
-def _flatten(body: str | None) -> list[tuple]:
-    """(nth, kind, score, left, top, right, bottom, reason) of every item; reason is null where the box could be read."""
-    value, broken = _parse(body)
-    if broken:
-        return [(0, None, None, None, None, None, None, "malformed_body")]
-    none = [None] * 4
-    polygons, loose = [], []
-    for item in _objects(value):
-        # The polygons of an object with `res` are those of `res`, which comes as an object of its own.
-        if isinstance(item.get("dt_polys"), list) and not isinstance(item.get("res"), dict):
-            scores = item.get("dt_scores")
-            for i, polygon in enumerate(item["dt_polys"]):
-                score = (_numbers(scores[i]) or [0.0])[0] if isinstance(scores, list) and i < len(scores) else 0.0
-                box = _box_of_points(polygon)
-                polygons.append(("text", score, *(box or none), None if box else "no_usable_box"))
-        box = _box(item)
-        meant = any(k in item and k != "dt_polys" and not isinstance(item[k], dict) for k in BOX_KEYS) or all(k in item for k in EDGE_KEYS)
-        if box or meant:
-            label = next((str(item[k]) for k in LABEL_KEYS if item.get(k)), "text")
-            score = next((_score(item[k]) for k in SCORE_KEYS if isinstance(item.get(k), (int, float))), 0.0)
-            loose.append((label, score, *(box or none), None if box else "no_usable_box"))
-    won = polygons if any(p[-1] is None for p in polygons) else [*loose, *polygons]
-    return [(i, *row) for i, row in enumerate(won)]
+def _let(name: str, value: str, result: str) -> str:
+    """SQL for a result that uses a value more than once."""
+    return f"element_at(transform(array({value}), {name} -> {result}), 1)"
 
 
-def flattened(responses: DataFrame, key: str, body: str) -> DataFrame:
-    """Every object with a box at any depth, and what has none that can be read, with the reason."""
-    source = responses.select(F.col(key), F.col(body).cast("string").alias("__body"))
-    tail = StructType.fromDDL(f"nth int, kind string, score double, {BOX}, reason string")
-    schema = StructType([*source.drop("__body").schema.fields, *tail.fields])
+def _node(path: str, raw: str, v: str) -> str:
+    return (
+        f"named_struct('path', {path}, 'raw', {raw}, 'v', {v}, 'o', try_variant_get({v}, '$', 'map<string,variant>'),"
+        f" 'a', try_variant_get({v}, '$', 'array<variant>'))"
+    )
+
+
+def _children(n: str) -> str:
+    """SQL for the objects, and arrays with objects inside, right below a node, in order."""
+    held = _let("m", f"from_json({n}.raw, 'map<string,string>')", "transform(map_keys(m), (k, i) -> {})".format(_node(f"concat({n}.path, array(i))", "element_at(m, k)", f"element_at({n}.o, k)")))
+    listed = _let("r", f"from_json({n}.raw, 'array<string>')", f"transform({n}.a, (e, i) -> {_node(f'concat({n}.path, array(i))', 'get(r, i)', 'e')})")
+    every = f"CASE WHEN {n}.o IS NOT NULL THEN {held} WHEN {n}.a IS NOT NULL THEN {listed} ELSE CAST(array() AS array<{NODE}>) END"
+    return f"filter({every}, c -> (c.o IS NOT NULL OR c.a IS NOT NULL) AND contains(c.raw, '{{'))"
+
+
+def _before(x: str, y: str) -> str:
+    return f"CASE WHEN {x}.path < {y}.path THEN -1 WHEN {x}.path > {y}.path THEN 1 ELSE 0 END"
+
+
+def opened(responses: DataFrame, key: str, body: str) -> DataFrame:
+    """key, `objects` (all objects of a body, each before the ones it holds) and `broken`: why a body could not be read, or null.
+
+    A null or blank body has no objects. An object that repeats a key makes its body malformed.
+    """
+    source = responses.select(F.col(key), F.col(body).cast("string").alias("raw")).withColumn("v", F.try_parse_json(F.coalesce("raw", F.lit(""))))
+    root = F.expr(f"filter(array({_node('CAST(array() AS array<int>)', 'raw', 'v')}), n -> n.o IS NOT NULL OR n.a IS NOT NULL)")
+    state = f"struct<front: array<{NODE}>, seen: array<{NODE}>>"
+    step = f"CASE WHEN size(s.front) = 0 THEN s ELSE named_struct('front', flatten(transform(s.front, n -> {_children('n')})), 'seen', concat(s.seen, filter(s.front, n -> n.o IS NOT NULL))) END"
+    walked = source.withColumn("root", root).withColumn(
+        "w", F.expr(f"aggregate(sequence(1, {LEVELS}), CAST(named_struct('front', root, 'seen', array()) AS {state}), (s, i) -> {step})"))
+    blank = ~F.coalesce("raw", F.lit("")).rlike(r"[^\x20\t\n\r]")
+    broken = F.when(F.col("v").isNull() & ~blank, "malformed_body").when(F.size("w.front") > 0, "nested_too_deep")
+    objects = F.expr(f"array_sort(w.seen, (x, y) -> {_before('x', 'y')})")
+    return walked.select(F.col(key), F.when(broken.isNull(), objects).alias("objects"), broken.alias("broken"))
+
+
+def _corners(value: str) -> str:
+    """SQL for the box of a variant: four numbers as they are, else the extent of the pairs that can be read; null for anything but a list."""
+    ends = "filter(transform(q, e -> named_struct('x', try_variant_get(e, '$[0]', 'double'), 'y', try_variant_get(e, '$[1]', 'double'))), e -> e.x IS NOT NULL AND e.y IS NOT NULL)"
+    extent = _let("p", ends, "CASE WHEN size(p) > 0 THEN named_struct('left', array_min(p.x), 'top', array_min(p.y), 'right', array_max(p.x), 'bottom', array_max(p.y)) END")
+    edges = _let("d", f"try_variant_get({value}, '$', 'array<double>')", "named_struct('left', d[0], 'top', d[1], 'right', d[2], 'bottom', d[3])")
+    numbers = f"(size(q) = 4 AND (kind RLIKE '{NUMBERS}' OR (kind = 'ARRAY<VARIANT>' AND forall(q, e -> schema_of_variant(e) RLIKE '{NUMERIC}'))))"
+    read = _let("kind", f"schema_of_variant({value})", f"CASE WHEN {numbers} THEN {edges} ELSE {extent} END")
+    return _let("q", f"try_variant_get({value}, '$', 'array<variant>')", f"CASE WHEN q IS NOT NULL THEN {read} END")
+
 
-    def run(batches):
-        types = to_arrow_schema(tail)
-        for batch in batches:
-            found = [_flatten(t) for t in batch.column(1).to_pylist()]
-            owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            columns = list(zip(*(row for f in found for row in f))) or [()] * len(types)
-            arrays = [pa.array(c, t.type) for c, t in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *arrays], names=[key, *types.names])
+def _number(v: str, key: str) -> str:
+    """SQL for a value that is a number, not a text of one."""
+    return f"CASE WHEN schema_of_variant(try_variant_get({v}, '$.{key}', 'variant')) RLIKE '{NUMERIC}' THEN try_variant_get({v}, '$.{key}', 'double') END"
 
-    return source.mapInArrow(run, schema)
+
+def _loose_item(n: str) -> str:
+    """SQL for the item that an object is; null where nothing in it means a box."""
+    lists = ", ".join(f"CASE WHEN map_contains_key({n}.o, '{k}') THEN {_let('u', f"element_at({n}.o, '{k}')", _corners('u'))} END" for k in BOX_KEYS)
+    x, y, w, h = (f"try_variant_get({n}.v, '$.{k}', 'double')" for k in EDGE_KEYS)
+    edges = f"CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL AND {w} IS NOT NULL AND {h} IS NOT NULL THEN named_struct('left', {x}, 'top', {y}, 'right', {x} + {w}, 'bottom', {y} + {h}) END"
+    has = lambda k: f"map_contains_key({n}.o, '{k}')"
+    meant = [f"({has(k)} AND try_variant_get({n}.v, '$.{k}', 'map<string,variant>') IS NULL)" for k in BOX_KEYS if k != "dt_polys"] + ["(" + " AND ".join(map(has, EDGE_KEYS)) + ")"]
+    empty = ", ".join(f"'{e}'" for e in EMPTY_VALUES)
+    labels = ", ".join(
+        _let("t", f"try_variant_get({n}.v, '$.{k}', 'string')", f"CASE WHEN t <> '' AND (t NOT IN ({empty}) OR schema_of_variant(element_at({n}.o, '{k}')) = 'STRING') THEN t END") for k in LABEL_KEYS)
+    scores = ", ".join(_number(f"{n}.v", k) for k in SCORE_KEYS)
+    item = f"named_struct('kind', coalesce({labels}, 'text'), 'score', coalesce({scores}, 0.0D), 'box', b, 'reason', CASE WHEN b IS NULL THEN 'no_usable_box' END)"
+    return _let("b", f"coalesce({lists}, {edges})", f"CASE WHEN b IS NOT NULL OR {' OR '.join(meant)} THEN {item} END")
+
+
+def _polygon_items(n: str) -> str:
+    """SQL for the polygons of an object, paired with its scores by place; those of an object with `res` are those of `res`, an object of its own."""
+    item = "named_struct('kind', 'text', 'score', coalesce(try_variant_get(get(s, i), '$', 'double'), 0.0D), 'box', b, 'reason', CASE WHEN b IS NULL THEN 'no_usable_box' END)"
+    one = _let("b", _corners("p"), item)
+    every = _let("s", f"coalesce(try_variant_get({n}.v, '$.dt_scores', 'array<variant>'), CAST(array() AS array<variant>))", f"transform(try_variant_get({n}.v, '$.dt_polys', 'array<variant>'), (p, i) -> {one})")
+    return f"CASE WHEN try_variant_get({n}.v, '$.res', 'map<string,variant>') IS NULL THEN {every} END"
+
+
+def _spread(opened_bodies: DataFrame, key: str, items: str) -> DataFrame:
+    """key, nth, kind, score, box edges and reason of every item of an array; a body that could not be read is one item with its reason."""
+    unread = f"array(CAST(named_struct('kind', NULL, 'score', NULL, 'box', NULL, 'reason', broken) AS {ITEM}))"
+    listed = opened_bodies.select(F.col(key), F.posexplode(F.expr(f"CASE WHEN broken IS NOT NULL THEN {unread} ELSE {items} END")).alias("nth", "i"))
+    return listed.select(key, "nth", "i.kind", "i.score", "i.box.left", "i.box.top", "i.box.right", "i.box.bottom", "i.reason")
+
+
+LOOSE = f"CAST(filter(transform(objects, n -> {_loose_item('n')}), i -> i IS NOT NULL) AS array<{ITEM}>)"
+POLYGONS = f"CAST(flatten(filter(transform(objects, n -> {_polygon_items('n')}), p -> p IS NOT NULL)) AS array<{ITEM}>)"
+
+
+def flattened(responses: DataFrame, key: str, body: str) -> DataFrame:
+    """Every object with a box at any depth, and what has none that can be read, with the reason. Where a polygon can be read, loose items are left out."""
+    found = opened(responses, key, body).select(F.col(key), "broken", F.expr(LOOSE).alias("loose"), F.expr(POLYGONS).alias("polygons"))
+    return _spread(found, key, "CASE WHEN exists(polygons, p -> p.reason IS NULL) THEN polygons ELSE concat(loose, polygons) END")
 
 
 def detection_items(responses: DataFrame, key: str, body: str) -> DataFrame:
@@ -133,36 +144,23 @@ def rejected_items(responses: DataFrame, key: str, body: str) -> DataFrame:
     return flattened(responses, key, body).filter("reason IS NOT NULL").select(key, "nth", "kind", "score", "reason")
 
 
-def layout_items(items: DataFrame) -> DataFrame:
-    """Only table and image items; text blocks come from the text detector."""
+def layout_items(responses: DataFrame, key: str, body: str) -> DataFrame:
+    """Table and image items of layout responses, polygons beside them or not; text blocks come from the text detector."""
     from folioframe.operators.regions import region_type
 
-    return items.withColumn("kind", region_type(F.col("kind"))).filter(F.col("kind").isin("table", "image"))
-
-
-def _read(body: str | None) -> tuple[str, float, str | None]:
-    value, broken = _parse(body)
-    texts, scores = {}, []
-    for item in _objects(value):
-        for key in ("rec_text", "text", "label"):
-            if isinstance(item.get(key), str) and item[key].strip():
-                texts[item[key].strip()] = None
-        scores.extend(_score(item[key]) for key in ("rec_score", "confidence", "score", "prob") if isinstance(item.get(key), (int, float)))
-    return " ".join(texts).strip(), sum(scores) / len(scores) if scores else 0.0, "malformed_body" if broken else None
+    loose = _spread(opened(responses, key, body).select(F.col(key), "broken", F.expr(LOOSE).alias("loose")), key, "filter(loose, i -> i.reason IS NULL)")
+    return loose.filter("reason IS NULL").drop("reason").withColumn("kind", region_type(F.col("kind"))).filter(F.col("kind").isin("table", "image"))
 
 
 def readings(responses: DataFrame, key: str, body: str) -> DataFrame:
     """Text, confidence and, for a body that could not be read, the reason, per recogniser response."""
-    source = responses.select(F.col(key), F.col(body).cast("string").alias("__body"))
-    schema = source.drop("__body").schema.add("text", "string").add("confidence", "double").add("reason", "string")
-
-    def run(batches):
-        for batch in batches:
-            found = [_read(t) for t in batch.column(1).to_pylist()]
-            arrays = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[key, "text", "confidence", "reason"])
-
-    return source.mapInArrow(run, schema)
+    blanks = r"^[\\s\\x1c-\\x1f\\x85\\p{Z}]+|[\\s\\x1c-\\x1f\\x85\\p{Z}]+$"
+    text = lambda k: f"CASE WHEN schema_of_variant(element_at(n.o, '{k}')) = 'STRING' THEN regexp_replace(try_variant_get(n.v, '$.{k}', 'string'), '{blanks}', '') END"
+    texts = f"flatten(transform(objects, n -> array({', '.join(map(text, TEXT_KEYS))})))"
+    scores = f"flatten(transform(objects, n -> array({', '.join(_number('n.v', k) for k in CONFIDENCE_KEYS)})))"
+    found = opened(responses, key, body).select(F.col(key), "broken", F.expr(f"filter({texts}, t -> t <> '')").alias("texts"), F.expr(f"filter({scores}, c -> c IS NOT NULL)").alias("scores"))
+    mean = F.expr("CASE WHEN size(scores) > 0 THEN aggregate(scores, 0.0D, (s, c) -> s + c) / size(scores) ELSE 0.0D END")
+    return found.select(key, F.coalesce(F.array_join(F.array_distinct("texts"), " "), F.lit("")).alias("text"), mean.alias("confidence"), F.col("broken").alias("reason"))
 
 
 def recognition(responses: DataFrame, key: str, body: str) -> DataFrame:

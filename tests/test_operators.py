@@ -268,3 +268,19 @@ def test_responses_of_any_shape(spark):
     df = spark.createDataFrame(texts, "page_id long, body string")
     assert rows(responses.recognition(df, "page_id", "body"), "page_id", "text", "confidence") == [(1, "a b", 0.75), (2, "x", 0.25), (3, "", 0.0), (4, "", 0.0)]
     assert rows(responses.readings(df, "page_id", "body").filter("reason IS NOT NULL"), "page_id") == [(4,)]
+
+
+def test_layout_items_beside_polygons(spark):
+    """Table and image items count whatever polygons stand beside them; odd shapes, deep bodies and key order included."""
+    deep = '{"a":' * 60 + '{"bbox":[0,0,1,1]}' + "}" * 60
+    shapes = [
+        (1, '{"res":{"dt_polys":[[[0,0],[1,1]]]},"items":[{"label":"table","bbox":[0,0,5,5]},{"label":"text","bbox":[1,1,2,2]},{"type":"figure_title","label":"x","box":[[1,2],[3,4]]}]}'),
+        (2, '{"z":{"label":"Seal","bbox":[1,2,3,"4"],"points":[[1,2],[3,4]]},"a":{"label":"chart","x":1,"y":2,"width":"3","height":4}}'),
+        (3, deep), (4, '{"bbox": [true, 1, 2, 3], "label": "pic"}'), (5, '{"a":1,"a":{"bbox":[1,2,3,4]}}'), (6, "3"), (7, '[[[{"label":"logo","poly":[[1,1],[2,"3"],"x",[4]]}]]]'),
+    ]
+    df = spark.createDataFrame([(*r, 1, "k") for r in shapes], "page_id long, body string, nth int, kind string")
+    assert rows(responses.layout_items(df, "page_id", "body"), "page_id", "nth", "kind", "left", "top", "right", "bottom") == [
+        (1, 0, "table", 0, 0, 5, 5), (1, 2, "image", 1, 2, 3, 4), (2, 0, "image", 1, 2, 3, 4), (2, 1, "image", 1, 2, 4, 6), (4, 0, "image", 1, 1, 2, 3), (7, 0, "image", 1, 1, 2, 3),
+    ]
+    assert rows(responses.rejected_items(df, "page_id", "body"), "page_id", "reason") == [(3, "nested_too_deep"), (5, "malformed_body")]
+    assert responses.detection_items(df.where("false"), "page_id", "body").count() == 0
