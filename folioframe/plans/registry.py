@@ -12,8 +12,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 MODULES = (
-    "layout", "cleanup", "verification", "tables", "export", "location", "catalog", "pairing", "ingest",
-)
+    "layout", "cleanup", "verification", "tables", "export", "location", "catalog", "pairing", "ingest", "cascade")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[QueryFn], QueryFn]:

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.functions.numeric import rnd_sql
-from folioframe.operators import clusters, tables
+from folioframe.operators import cascade, clusters, dedupe, tables
 from folioframe.operators.clusters import axis_clusters, cluster_centres
 from folioframe.plans.derive import oracle, sql, table
 from folioframe.plans.registry import query
 from folioframe.plans.sqltext import clamp, common_px, rnd
-from folioframe.session import cut_lineage
 
 # Text boxes of a table: one per line item, placed on two columns.
 sql("boxes", """
@@ -506,66 +505,19 @@ def candidate_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("table_id", "final_confidence", "try_fallback")
 
 
-RELIABILITY = {
-    "empty_reconstruction": "row_count <= 0 OR column_count <= 0 OR non_empty_cell_count <= 0",
-    "opencv_columns_collapsed_to_one": "line_verticals >= 3 AND column_count <= 1",
-    "logical_grid_lost_hard_boundaries": "hard_columns >= 3 AND logical_columns < hard_columns",
-    "ocr_boxes_dropped": "detected_boxes > 0 AND recognized_cells < greatest(1, CAST(floor(detected_boxes * 0.55) AS BIGINT))",
-    "low_fill_ratio": "row_count >= 2 AND column_count >= 2 AND fill_ratio < 0.12",
-    "irregular_assignment": "column_count >= 2 AND column_consistency < 0.35 AND sparse_row_ratio > 0.55",
-    "low_assignment_overlap": "coalesce(nullif(row_overlap, 0), 1) < 0.45 OR coalesce(nullif(col_overlap, 0), 1) < 0.45",
-    "hard_region_assignment_violation": "violations > 0",
-    "too_many_empty_columns_after_assignment": "column_count >= 2 AND empty_column_ratio > 0.65 AND recognized_cells >= column_count",
-    "low_final_confidence": "final_confidence < 0.38",
-}
 SEMI = """table_id % 5 AS line_verticals, table_id % 6 AS hard_columns, table_id % 7 AS logical_columns, table_id % 9 AS detected_boxes,
   table_id % 4 AS recognized_cells, table_id % 3 AS violations, CAST(table_id % 11 AS DOUBLE) / 10 AS row_overlap, CAST(table_id % 8 AS DOUBLE) / 8 AS col_overlap,
   CAST(table_id % 10 AS DOUBLE) / 10 AS empty_column_ratio"""
 
 
-def reliability(candidates: DataFrame) -> DataFrame:
-    """The rules a semi-structured result breaks; none broken means it can be trusted."""
-    rules = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in RELIABILITY.items())
-    return candidates.withColumn("reasons", F.expr(f"array_compact(array({rules}))")).withColumn("passed", F.expr("size(reasons) = 0"))
-
-
 @query("sc10_reliability", oracle(f"""WITH {SCORED_SQL}, semis AS (SELECT *, {SEMI} FROM scored),
-r AS (SELECT table_id, list_filter([{", ".join(f"CASE WHEN {t} THEN '{n}' END" for n, t in RELIABILITY.items())}], lambda p: p IS NOT NULL) AS reasons FROM semis)
+r AS (SELECT table_id, list_filter([{", ".join(f"CASE WHEN {t} THEN '{n}' END" for n, t in cascade.RELIABILITY.items())}], lambda p: p IS NOT NULL) AS reasons FROM semis)
 SELECT table_id, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS passed FROM r""", "cells", "raw_readings"))
 def semi_reliability(spark: SparkSession, sf: str) -> DataFrame:
     quality = tables.table_quality(cells(spark, sf))
     scored = tables.candidate_confidence(quality, tables.reading_confidence(raw_readings(spark, sf), "table_id"))
     semi = scored.selectExpr("*", *[part.strip() for part in SEMI.split(",")])
-    return reliability(semi).select("table_id", F.array_join("reasons", ",").alias("reasons"), "passed")
-
-
-def method_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Every method as one branch; fallbacks only for the tables whose primary result asks for one."""
-    primary_cells = cells(spark, sf)
-    # Written once, because every branch reads them: one row per table each.
-    readings = cut_lineage(tables.reading_confidence(raw_readings(spark, sf), "table_id"))
-    primary = cut_lineage(tables.candidate_confidence(tables.table_quality(primary_cells), readings))
-    keep = ["table_id", "method", "final_confidence", "usable_shape", "has_structured_cells", "column_count", "non_empty_cell_count"]
-    wanted = primary.filter("try_fallback").selectExpr("table_id AS group_id")
-    source = cut_lineage(boxes(spark, sf).join(wanted, "group_id", "left_semi"))
-
-    def branch(found: DataFrame, method: str) -> DataFrame:
-        grid = found.selectExpr(
-            "group_id AS table_id", "row_no", "col_no", "text", "1 AS row_span", "1 AS col_span", "false AS hidden"
-        )
-        scored = tables.candidate_confidence(tables.table_quality(cut_lineage(grid)), readings)
-        return scored.withColumn("method", F.lit(method)).select(*keep)
-
-    return (
-        primary.withColumn("method", F.lit(tables.PRIMARY)).select(*keep)
-        .unionByName(branch(tables.borderless_cells(source), "borderless_text_clustering"))
-        .unionByName(branch(tables.raw_geometry_table(source), "raw_ocr_geometry"))
-    )
-
-
-@query("tbl21_method_cascade")
-def method_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.select_candidate(method_candidates(spark, sf))
+    return cascade.reliability(semi).select("table_id", F.array_join("reasons", ",").alias("reasons"), "passed")
 
 
 sql("methods", """
@@ -661,21 +613,35 @@ def stacked_regions(spark: SparkSession, sf: str) -> DataFrame:
     return shifted.selectExpr("doc_id", "table_id AS region_id", "row_no + upto - rows AS row_no", "col_no", "text", "headers")
 
 
-@query("set04_deduplicated_cells", oracle("""
-WITH d AS (SELECT group_id, box_id, substr(text, 1, 1) AS t, CASE WHEN box_id % 3 = 0 THEN 'per_cell_ocr' ELSE 'detection' END AS src, CAST(floor(y / 80.0) AS INTEGER) AS row_no, CAST(floor(x / 100.0) AS INTEGER) AS col_no, x, y FROM boxes),
-r AS (SELECT *, row_number() OVER (PARTITION BY group_id, row_no, col_no, t ORDER BY src = 'per_cell_ocr' DESC, y, x, box_id) AS nth FROM d)
-SELECT group_id, row_no, col_no, t AS text, box_id, src AS source FROM r WHERE nth = 1""", "boxes"))
-def deduplicated_cells(spark: SparkSession, sf: str) -> DataFrame:
-    source = boxes(spark, sf).selectExpr(
-        "group_id", "box_id", "left(text, 1) AS text", "CASE WHEN box_id % 3 = 0 THEN 'per_cell_ocr' ELSE 'detection' END AS source",
-        "cast(floor(y / 80D) AS int) AS row_no", "cast(floor(x / 100D) AS int) AS col_no", "x", "y",
-    )
-    return same_cell_duplicates(source).select("group_id", "row_no", "col_no", "text", "box_id", "source")
+# Texts of one letter, per-cell readings among them whose boxes reach over their neighbours in half of the groups.
+sql("assigned", """
+SELECT group_id, box_id, concat(' ', substr(text, 1, 1), CASE WHEN box_id % 4 = 1 THEN ' ' ELSE '' END) AS text, CASE WHEN box_id % 3 = 0 OR (group_id % 5 = 0 AND box_id % 3 = 1) THEN 'per_cell_ocr' ELSE 'detection' END AS source,
+  CAST(floor(y / 80.0) AS INTEGER) AS row_no, CAST(floor(x / 100.0) AS INTEGER) AS col_no, CASE WHEN box_id % 3 = 0 AND group_id % 2 = 0 THEN x - 130 ELSE x END AS x,
+  CASE WHEN box_id % 3 = 0 AND group_id % 2 = 0 THEN y - 44 ELSE y END AS y, CASE WHEN box_id % 3 = 0 AND group_id % 2 = 0 THEN width + 260 ELSE width END AS width,
+  CASE WHEN box_id % 3 = 0 AND group_id % 2 = 0 THEN height + 88 ELSE height END AS height FROM boxes""", "boxes")
 
 
-def same_cell_duplicates(cells_df: DataFrame) -> DataFrame:
-    """Equal texts at one cell, the per-cell reading first. min over a struct combines before the shuffle."""
-    first = F.min(F.struct(F.expr("source <> 'per_cell_ocr'").alias("rank"), "y", "x", "box_id", "source"))
-    return cells_df.filter("trim(text) <> ''").groupBy("group_id", "row_no", "col_no", "text").agg(first.alias("first")).select(
-        "group_id", "row_no", "col_no", "text", "first.box_id", "first.source"
+def assigned_cells(spark: SparkSession, sf: str) -> DataFrame:
+    wide = "box_id % 3 = 0 AND group_id % 2 = 0"
+    return boxes(spark, sf).selectExpr(
+        "group_id", "box_id", "concat(' ', left(text, 1), CASE WHEN box_id % 4 = 1 THEN ' ' ELSE '' END) AS text",
+        "CASE WHEN box_id % 3 = 0 OR (group_id % 5 = 0 AND box_id % 3 = 1) THEN 'per_cell_ocr' ELSE 'detection' END AS source", "cast(floor(y / 80D) AS int) AS row_no", "cast(floor(x / 100D) AS int) AS col_no",
+        f"CASE WHEN {wide} THEN x - 130 ELSE x END AS x", f"CASE WHEN {wide} THEN y - 44 ELSE y END AS y",
+        f"CASE WHEN {wide} THEN width + 260 ELSE width END AS width", f"CASE WHEN {wide} THEN height + 88 ELSE height END AS height",
     )
+
+
+HELD_SQL = "({inner}.x >= {outer}.x - 2 AND {inner}.y >= {outer}.y - 2 AND {inner}.x + {inner}.width <= {outer}.x + {outer}.width + 2 AND {inner}.y + {inner}.height <= {outer}.y + {outer}.height + 2)"
+
+
+# The twin walks each group's cells one after the other.
+@query("set04_deduplicated_cells", oracle(f"""
+WITH g AS (SELECT group_id, list({{'id': box_id, 't': trim(text), 'p': source = 'per_cell_ocr', 'r': row_no, 'c': col_no, 'x': x, 'y': y, 'width': width, 'height': height}}
+   ORDER BY source = 'per_cell_ocr' DESC, row_no, col_no, y, x, box_id) AS cells FROM assigned WHERE trim(text) <> '' GROUP BY group_id),
+k AS (SELECT group_id, list_reduce(list_transform(cells, lambda x: [x]), lambda kept, more: CASE WHEN len(list_filter(kept, lambda e: e.t = more[1].t AND ((e.r = more[1].r AND e.c = more[1].c)
+   OR (more[1].p AND {HELD_SQL.format(inner='e', outer='more[1]')}) OR (e.p AND {HELD_SQL.format(inner='more[1]', outer='e')})))) > 0 THEN kept ELSE kept || more END) AS kept FROM g),
+u AS (SELECT group_id, unnest(kept).id AS box_id FROM k)
+SELECT group_id, row_no, col_no, text, box_id, source FROM assigned JOIN u USING (group_id, box_id)""", "assigned"))
+def deduplicated_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings at one place or inside a per-cell reading of the same text, once each."""
+    return dedupe.deduplicate_cells(assigned_cells(spark, sf)).select("group_id", "row_no", "col_no", "text", "box_id", "source")
