@@ -10,7 +10,7 @@ from folioframe.functions.numeric import clamp, rnd
 from folioframe.functions.similarity import count_similarity, grid_similarity, ratio_similarity
 from folioframe.operators.joins import salted_join
 from folioframe.operators.matching import spatial_similarity
-from folioframe.operators.signature import LABELS, drop_masked, layout_signatures
+from folioframe.operators.signature import LABELS, without_masked
 
 # Weights of the five parts, and how many templates a page keeps.
 WEIGHTS = {"aspect": 0.15, "label_count": 0.20, "area_distribution": 0.20, "grid": 0.20, "spatial": 0.25}
@@ -46,7 +46,12 @@ def route_pairs(queries: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Five part scores and their weighted sum for pairs of signatures (template side prefixed t_)."""
+    """Five part scores and their weighted sum for pairs of signatures (template side prefixed t_).
+
+    A column `template_masks` hides regions of both sides first.
+    """
+    if "template_masks" in pairs.columns:
+        pairs = apply_masks(pairs).drop("template_masks")
 
     def mean(parts: list[Column]) -> Column:
         return (parts[0] + parts[1] + parts[2]) / 3
@@ -74,31 +79,19 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return raw.select(*kept, rnd(clamp(total), 4).alias("score"), *[rnd(F.col(c), 4).alias(c) for c in SCORES])
 
 
-def masked_signatures(
-    pairs: DataFrame, query_regions: DataFrame, template_regions: DataFrame, masks: DataFrame
-) -> DataFrame:
-    """Signatures of both sides of each pair after the template's own masks were applied to both.
+def apply_masks(pairs: DataFrame, masks: str = "template_masks") -> DataFrame:
+    """Pairs of maskable signatures after the masks of the template were applied to both sides, all inside the row.
 
-    Only pairs whose template page carries masks need this; pairs without masks use the stored rows.
+    masks: an array of (x_ratio, y_ratio, width_ratio, height_ratio), null or empty for most templates, whose pairs keep what is stored.
     """
-    keys = ["page_id", "template_page_id"]
-    hidden = masks.select("template_page_id", "x_ratio", "y_ratio", "width_ratio", "height_ratio")
-    wanted = pairs.join(hidden.select("template_page_id").distinct(), "template_page_id", "left_semi")
-    query_side = wanted.select(*keys).join(query_regions, "page_id")
-    query_side = drop_masked(query_side, hidden, ["template_page_id"])
-    plain = drop_masked(
-        template_regions.withColumnRenamed("page_id", "template_page_id"), hidden, ["template_page_id"]
-    )
-    sizes = ["image_width", "image_height"]
-    left = layout_signatures(wanted.select(*keys, "page_number", *sizes), query_side, keys)
-    right = layout_signatures(
-        wanted.select("template_page_id", F.col("template_image_width").alias("image_width"),
-                      F.col("template_image_height").alias("image_height")).distinct(),
-        plain, ["template_page_id"],
-    )
-    right = right.select("template_page_id", *[F.col(c).alias(f"t_{c}") for c in right.columns if c != "template_page_id"])
-    info = wanted.select(*keys, "template_id", F.col("template_page_number").alias("t_page_number"))
-    return left.join(info, keys).join(right, "template_page_id")
+    hidden = F.coalesce(F.col(masks), F.array().cast(pairs.schema[masks].dataType))
+    sides = [(side, label) for side in ("", "t_") for label in LABELS]
+    now: dict[str, Column] = {}
+    for side, label in sides:
+        now |= without_masked(side, label, hidden)
+    wide = pairs.withColumns(now)
+    parts = {f"{side}{part}_{label}": F.col(f"{side}_now_{label}.{part}") for side, label in sides for part in ("regions", "count", "area", "grid_units", "norm")}
+    return wide.withColumns(parts).drop(*now)
 
 
 def best_pages(scored: DataFrame) -> DataFrame:
@@ -107,11 +100,15 @@ def best_pages(scored: DataFrame) -> DataFrame:
     return scored.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
 
 
-def top_templates(scored: DataFrame, k: int = TOP_K, include_template: int | None = None) -> DataFrame:
-    """Ranked templates per query page; the included template is kept when it falls outside k."""
-    order = W.partitionBy("page_id").orderBy(F.desc("score"), "template_id")
+def top_templates(scored: DataFrame, k: int | None = TOP_K, include_template: int | None = None, newest: str | None = None) -> DataFrame:
+    """Ranked templates per query page, all of them without a k; the included template is kept when it falls outside k.
+
+    Equal scores go to the newest version where a column tells it, then to the smaller id.
+    """
+    age = [] if newest is None else [F.col(newest).desc_nulls_last()]
+    order = W.partitionBy("page_id").orderBy(F.desc("score"), *age, "template_id")
     ranked = best_pages(scored).withColumn("rank", F.row_number().over(order))
-    keep = F.col("rank") <= k
+    keep = F.col("rank") <= k if k is not None else F.lit(True)
     if include_template is not None:
         keep = keep | (F.col("template_id") == F.lit(include_template))
     return ranked.filter(keep)

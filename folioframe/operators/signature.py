@@ -116,13 +116,17 @@ def page_metrics(regions: DataFrame, keys: list[str]) -> DataFrame:
     return packed.select(*out)
 
 
-def leading_regions(regions: DataFrame, keys: list[str], per_label: int | None = None) -> DataFrame:
+#: What a region carries besides its box where masks may take it out of a signature later.
+MASKABLE = ("centre_x", "centre_y", "area_ratio")
+
+
+def leading_regions(regions: DataFrame, keys: list[str], per_label: int | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """Regions of each label in signature order, as one array per label; with a limit, the first ones."""
     order = W.partitionBy(*keys, "label").orderBy(*region_order())
     top = regions.withColumn("place", F.row_number().over(order))
     if per_label is not None:
         top = top.filter(F.col("place") <= per_label)
-    item = F.struct("place", *[F.col(name) for name in RATIO])
+    item = F.struct("place", *[F.col(name) for name in (*RATIO, *extra)])
     return top.groupBy(*keys).agg(
         *[
             F.array_sort(F.collect_list(F.when(F.col("label") == label, item))).alias(f"regions_{label}")
@@ -131,8 +135,11 @@ def leading_regions(regions: DataFrame, keys: list[str], per_label: int | None =
     )
 
 
-def layout_signatures(pages: DataFrame, regions: DataFrame, keys: list[str] | None = None, per_label: int | None = None) -> DataFrame:
-    """One signature per page, pages without regions included."""
+def layout_signatures(
+    pages: DataFrame, regions: DataFrame, keys: list[str] | None = None, per_label: int | None = None, maskable: bool = False
+) -> DataFrame:
+    """One signature per page, pages without regions included; `maskable` ones can be corrected by masks."""
+    extra = MASKABLE if maskable else ()
     keys = keys or ["page_id"]
     aspect = F.greatest(F.col("image_width").cast("double"), F.lit(1.0)) / F.greatest(
         F.col("image_height").cast("double"), F.lit(1.0)
@@ -140,10 +147,10 @@ def layout_signatures(pages: DataFrame, regions: DataFrame, keys: list[str] | No
     joined = (
         pages.withColumn("page_aspect_ratio", rnd(aspect, 6))
         .join(page_metrics(regions, keys), keys, "left")
-        .join(leading_regions(regions, keys, per_label), keys, "left")
+        .join(leading_regions(regions, keys, per_label, extra), keys, "left")
     )
     zeros = F.array_repeat(F.lit(0).cast("bigint"), GRID * GRID)
-    empty = F.array().cast("array<struct<place:int," + ",".join(f"{name}:double" for name in RATIO) + ">>")
+    empty = F.array().cast("array<struct<place:int," + ",".join(f"{name}:double" for name in (*RATIO, *extra)) + ">>")
     none = F.lit(0).cast("bigint")
     out = [F.col(c) for c in pages.columns]
     out += [F.col("page_aspect_ratio"), F.coalesce("region_count", none).alias("region_count")]
@@ -159,3 +166,29 @@ def layout_signatures(pages: DataFrame, regions: DataFrame, keys: list[str] | No
             F.coalesce(F.col(f"regions_{label}"), empty).alias(f"regions_{label}"),
         ]
     return joined.select(*out)
+
+
+def without_masked(side: str, label: str, masks: Column) -> dict[str, Column]:
+    """The columns of one label of a maskable signature once the masks are applied, from the regions that it carries.
+
+    masks: an array of boxes; those without extent hide nothing. A region goes when its centre lies in one, edges included.
+    """
+    name = f"{side}regions_{label}"
+    real = F.filter(masks, lambda m: (m["width_ratio"] > 0) & (m["height_ratio"] > 0))
+
+    def hidden(r: Column) -> Column:
+        return F.exists(real, lambda m: r["centre_x"].between(m["x_ratio"], m["x_ratio"] + m["width_ratio"]) & r["centre_y"].between(m["y_ratio"], m["y_ratio"] + m["height_ratio"]))
+
+    def corrected(left: Column) -> Column:
+        area = lambda kept: F.aggregate(kept, F.lit(0).cast("bigint"), lambda total, r: total + units(r["area_ratio"], 6))
+        grid = F.transform(
+            F.sequence(F.lit(0), F.lit(GRID * GRID - 1)),
+            lambda i: F.least(F.lit(1_000_000).cast("bigint"), area(F.filter(left, lambda r: grid_cell(r["centre_x"], r["centre_y"]) == i))))
+        return let(grid, lambda g: F.struct(
+            left.alias("regions"), F.size(left).cast("bigint").alias("count"), F.least(F.lit(1.0), area(left) / F.lit(1e6)).alias("area"), g.alias("grid_units"),
+            F.sqrt(F.aggregate(g, F.lit(0).cast("bigint"), lambda total, v: total + v * v).cast("double")).alias("norm")))
+
+    stored = F.struct(*[F.col(f"{side}{part}_{label}").alias(part) for part in ("regions", "count", "area", "grid_units", "norm")])
+    # Most pairs lose nothing and keep what is stored.
+    now = let(F.filter(F.col(name), lambda r: ~hidden(r)), lambda left: F.when(F.size(left) == F.size(F.col(name)), stored).otherwise(corrected(left)))
+    return {f"{side}_now_{label}": F.when(F.size(real) > 0, now).otherwise(stored)}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioframe.functions.geometry import RATIO
 from folioframe.operators import retrieval, signature
 from folioframe.operators.joins import bounded_broadcast
 from folioframe.plans import derive
@@ -117,19 +118,19 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC
 SCORE_NEEDS = ("page_pairs", "label_parts", "grid_dots", "shares")
 
 
-def page_signatures(spark: SparkSession, sf: str) -> DataFrame:
+def page_signatures(spark: SparkSession, sf: str, maskable: bool = False) -> DataFrame:
     pages = derive.layout_pages(spark, sf)
-    return signature.layout_signatures(pages, signature.usable_regions(derive.regions(spark, sf)))
+    return signature.layout_signatures(pages, signature.usable_regions(derive.regions(spark, sf)), maskable=maskable)
 
 
-def template_signatures(spark: SparkSession, sf: str) -> DataFrame:
+def template_signatures(spark: SparkSession, sf: str, include: int | None = None, maskable: bool = False) -> DataFrame:
     """The catalog side: few rows, written once, read for every comparison."""
     catalog = derive.template_pages(spark, sf).join(bounded_broadcast(derive.template_versions(spark, sf)), "template_id")
-    catalog = cut_lineage(retrieval.eligible_templates(catalog))
+    catalog = cut_lineage(retrieval.eligible_templates(catalog, include))
     ids = bounded_broadcast(catalog.select(F.col("template_page_id").alias("page_id")))
     pages = derive.layout_pages(spark, sf).join(ids, "page_id", "left_semi")
     regions = derive.regions(spark, sf).join(ids, "page_id", "left_semi")
-    signatures = signature.layout_signatures(pages, signature.usable_regions(regions)).drop("doc_id", "page_number")
+    signatures = signature.layout_signatures(pages, signature.usable_regions(regions), maskable=maskable).drop("doc_id", "page_number")
     stored = signatures.withColumnRenamed("page_id", "template_page_id").join(catalog, "template_page_id")
     return cut_lineage(stored)
 
@@ -158,6 +159,72 @@ def document_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.document_retrieval(retrieval.top_templates(scored_pairs(spark, sf), k=10))
 
 
+# The included template is a draft; equal scores go to the higher version.
+INCLUDED = 8
+
+
+def _renamed(text: str, *changes: tuple[str, str]) -> str:
+    for old, new in changes:
+        text = text.replace(old, new)
+    return text
+
+
+# Pairs with the included template: the same chain of views over a wider set of pairs.
+_WIDER = (("page_pairs", "pairs_incl"), ("label_parts", "parts_incl"), ("grid_dots", "dots_incl"), ("shares", "shares_incl"))
+sql("pairs_incl", _renamed(derive.SQL["page_pairs"][0], ("v.status = 'active'", f"(v.status = 'active' OR v.template_id = {INCLUDED})"), ("t.template_id,", "t.template_id, v.version_number,")), *derive.SQL["page_pairs"][1])
+for _old, _new in _WIDER[1:]:
+    sql(_new, _renamed(derive.SQL[_old][0], *_WIDER), *[dict(_WIDER).get(n, n) for n in derive.SQL[_old][1]])
+
+
+@query("top01_included_template", oracle(_renamed(SCORED, *_WIDER, ("(PARTITION BY page_id ORDER BY score DESC, template_id)", "(PARTITION BY page_id ORDER BY score DESC, version_number DESC, best.template_id)"),
+    ("ranked AS (SELECT *, row_number()", "ranked AS (SELECT best.*, row_number()"), ("FROM best)", "FROM best JOIN template_versions v ON v.template_id = best.template_id)")) + f"""
+SELECT page_id, CAST(rank AS INTEGER) AS rank, template_id, template_page_id, score FROM ranked WHERE rank <= 2 OR template_id = {INCLUDED}""", *[n for _, n in _WIDER]))
+def included_template(spark: SparkSession, sf: str) -> DataFrame:
+    """Two templates a page, newest version first among equals, and the draft that the user works on wherever it comes."""
+    stored = template_signatures(spark, sf, INCLUDED).withColumnRenamed("version_number", "template_version")
+    scored = retrieval.score_pairs(retrieval.route_pairs(page_signatures(spark, sf), stored))
+    ranked = retrieval.top_templates(scored, 2, INCLUDED, "template_version")
+    return ranked.select("page_id", "rank", "template_id", "template_page_id", "score")
+
+
+# Masks of every second template page; the last one has no extent.
+MASKS = ((0.0, 0.0, 0.45, 0.6), (0.5, 0.55, 0.3, 0.3), (0.1, 0.9, 0.0, 0.5))
+sql("t_masks", "SELECT template_page_id, m.x AS mx, m.y AS my, m.w AS mw, m.h AS mh FROM template_pages, (VALUES " + ", ".join(
+    "(" + ", ".join(f"{v}::DOUBLE" for v in m) + ")" for m in MASKS) + ") m(x, y, w, h) WHERE template_page_id % 40 = 0 AND m.w > 0 AND m.h > 0", "template_pages")
+# A masked pair has pages of its own: the query page as this template sees it (negative, per pair) and the template page (negative).
+sql("pairs_mask", """
+SELECT x.*, CASE WHEN k.template_page_id IS NULL THEN x.page_id ELSE -((x.page_id + 1) * 10000000000 + x.template_page_id) END AS qkey,
+  CASE WHEN k.template_page_id IS NULL THEN x.template_page_id ELSE -(x.template_page_id + 1) END AS tkey
+FROM page_pairs x LEFT JOIN (SELECT DISTINCT template_page_id FROM t_masks) k USING (template_page_id)""", "page_pairs", "t_masks")
+_OUTSIDE = "NOT EXISTS (SELECT 1 FROM t_masks m WHERE m.template_page_id = x.template_page_id AND u.centre_x BETWEEN mx AND mx + mw AND u.centre_y BETWEEN my AND my + mh)"
+sql("usable_mask", f"""
+SELECT u.* FROM usable u UNION ALL SELECT u.* REPLACE (x.qkey AS page_id) FROM usable u JOIN pairs_mask x ON x.page_id = u.page_id AND x.qkey < 0 WHERE {_OUTSIDE}
+UNION ALL SELECT u.* REPLACE (x.tkey AS page_id) FROM usable u JOIN (SELECT DISTINCT template_page_id, tkey FROM pairs_mask WHERE tkey < 0) x ON x.template_page_id = u.page_id WHERE {_OUTSIDE}""", "usable", "pairs_mask", "t_masks")
+# The template side is named apart again, so that the comparison stays a join of every page with few others.
+_FEW = "SELECT * FROM {} SEMI JOIN (SELECT DISTINCT tkey AS page_id FROM pairs_mask) USING (page_id)"
+_MASKED = (("t_cells48", "tmask_cells"), ("cells48 q", "cells48_mask q"), ("JOIN t_leaders", "JOIN tmask_leaders"), ("JOIN leaders q", "JOIN leaders_mask q"), ("by_label", "by_label_mask"), ("FROM usable", "FROM usable_mask"),
+           ("FROM cells48", "FROM cells48_mask"), ("SELECT q.page_id, t.page_id AS template_page_id", "SELECT x.page_id, x.template_page_id"), ("q.page_id = x.page_id", "q.page_id = x.qkey"),
+           ("t.page_id = x.template_page_id", "t.page_id = x.tkey"), ("page_pairs", "pairs_mask"), ("label_parts", "parts_mask"), ("grid_dots", "dots_mask"), ("shares", "shares_mask"))
+for _old, _new, _needs in (
+    ("cells48", "cells48_mask", ("usable_mask",)), ("by_label", "by_label_mask", ("cells48_mask",)), ("leaders", "leaders_mask", ("usable_mask",)),
+    ("label_parts", "parts_mask", ("pairs_mask", "labels3", "by_label_mask")), ("grid_dots", "dots_mask", ("pairs_mask", "cells48_mask", "tmask_cells")), ("shares", "shares_mask", ("pairs_mask", "leaders_mask", "tmask_leaders")),
+):
+    sql(_new, _renamed(derive.SQL[_old][0], *_MASKED), *_needs)
+sql("tmask_cells", _FEW.format("cells48_mask"), "cells48_mask", "pairs_mask")
+sql("tmask_leaders", _FEW.format("leaders_mask"), "leaders_mask", "pairs_mask")
+
+
+@query("join07_masked_retrieval", oracle(_renamed(SCORED, *_MASKED) + """
+SELECT page_id, CAST(rank AS INTEGER) AS rank, template_id, template_page_id, score, aspect_score, label_count_score,
+       area_distribution_score, grid_score, spatial_score FROM ranked WHERE rank <= 5""", "pairs_mask", "parts_mask", "dots_mask", "shares_mask"))
+def masked_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    """The retrieval where templates hide parts of the page from the comparison."""
+    boxes = ", ".join("named_struct(" + ", ".join(f"'{n}', {v}D" for n, v in zip(RATIO, m)) + ")" for m in MASKS)
+    stored = template_signatures(spark, sf, maskable=True).withColumn("template_masks", F.expr(f"CASE WHEN template_page_id % 40 = 0 THEN array({boxes}) END"))
+    ranked = retrieval.top_templates(retrieval.score_pairs(retrieval.route_pairs(page_signatures(spark, sf, maskable=True), stored)))
+    return ranked.select("page_id", "rank", "template_id", "template_page_id", "score", *retrieval.SCORES)
+
+
 @query("agg01_layout_signature", oracle(f"""
 WITH slots AS (SELECT p.page_id, l.label, g.cell, coalesce(c.n, 0) AS n, least(coalesce(c.area, 0), 1000000) AS area
   FROM layout_pages p CROSS JOIN labels3 l CROSS JOIN (SELECT unnest(range(16)) AS cell) g

@@ -123,11 +123,14 @@ def test_page_against_itself(spark):
     stored = sig.withColumnRenamed("page_id", "template_page_id").selectExpr("*", "7L AS template_id", "'active' AS status", "cast(null AS string) AS detection_mode", "1 AS main_page_number")
     best = retrieval.top_templates(retrieval.score_pairs(retrieval.route_pairs(sig, stored))).collect()
     assert [(r.template_id, r.rank, r.score) for r in best] == [(7, 1, 1.0)]
-    masks = spark.createDataFrame([(1, 0.0, 0.0, 0.5, 0.3)], "template_page_id long, x_ratio double, y_ratio double, width_ratio double, height_ratio double")
-    pairs = sig.selectExpr("page_id", "page_number", "image_width", "image_height", "1L AS template_page_id", "7L AS template_id", "1 AS template_page_number", "1200 AS template_image_width", "800 AS template_image_height")
-    usable = signature.usable_regions(regions)
-    masked = retrieval.score_pairs(retrieval.masked_signatures(pairs, usable, usable, masks)).collect()
-    assert [(r.score, r.spatial_score) for r in masked] == [(1.0, 1.0)]
+    whole = signature.layout_signatures(pages, signature.usable_regions(regions), maskable=True)
+    hidden = "array(named_struct('x_ratio', 0D, 'y_ratio', 0D, 'width_ratio', 0.5D, 'height_ratio', 0.3D), named_struct('x_ratio', 0.7D, 'y_ratio', 0D, 'width_ratio', 0D, 'height_ratio', 1D))"
+    masked = stored.drop(*[c for c in stored.columns if "_" in c and c.split("_")[-1] in ("text", "table", "image")])
+    masked = masked.join(whole.drop("page_number", "image_width", "image_height", "page_aspect_ratio", "region_count").withColumnRenamed("page_id", "template_page_id"), "template_page_id")
+    seen = retrieval.apply_masks(retrieval.route_pairs(whole, masked.withColumn("template_masks", F.expr(hidden)))).collect()[0]
+    for side in ("", "t_"):
+        assert seen[f"{side}count_text"] == 0 and seen[f"{side}area_text"] == 0 and seen[f"{side}norm_text"] == 0 and seen[f"{side}regions_text"] == [] and sum(seen[f"{side}grid_units_text"]) == 0
+        assert seen[f"{side}count_table"] == 1 and seen[f"{side}area_table"] == one.area_table and seen[f"{side}grid_units_image"] == one.grid_units_image
 
 
 def test_multi_page_mean(spark):
