@@ -6,35 +6,56 @@ position; only tables with spans go through the fold that tracks covered slots.
 
 from __future__ import annotations
 
+import re
+from html.entities import html5
+
 from pyspark.sql import DataFrame
 
 CELL = "array<struct<row_no:int,col_no:int,text:string,row_span:int,col_span:int,hidden:boolean>>"
 
 
-# The named characters of HTML from code 160 to 255, in order, and the five of XML.
-LATIN_NAMES = (
-    "nbsp iexcl cent pound curren yen brvbar sect uml copy ordf laquo not shy reg macr deg plusmn sup2 sup3 acute micro para middot cedil sup1 ordm raquo"
-    " frac14 frac12 frac34 iquest Agrave Aacute Acirc Atilde Auml Aring AElig Ccedil Egrave Eacute Ecirc Euml Igrave Iacute Icirc Iuml ETH Ntilde Ograve"
-    " Oacute Ocirc Otilde Ouml times Oslash Ugrave Uacute Ucirc Uuml Yacute THORN szlig agrave aacute acirc atilde auml aring aelig ccedil egrave eacute"
-    " ecirc euml igrave iacute icirc iuml eth ntilde ograve oacute ocirc otilde ouml divide oslash ugrave uacute ucirc uuml yacute thorn yuml"
-).split()
-XML_NAMES = {"lt": 60, "gt": 62, "quot": 34, "amp": 38, "apos": 39}
-ENTITY = "&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|&[A-Za-z][A-Za-z0-9]{1,7};|&|[^&]+"
+ENTITY = "&#[xX][0-9A-Fa-f]+;|&#[0-9]+;|&[A-Za-z][A-Za-z0-9]{1,31};|&|[^&]+"
+UNKNOWN = "\ufffd"
+
+
+def _quoted(text: str) -> str:
+    """A text as an SQL literal of its code units."""
+    return "'" + "".join(f"\\u{int.from_bytes(u, 'big'):04x}" for u in re.findall(b"(?s)..", text.encode("utf-16-be"))) + "'"
+
+
+def _named() -> str:
+    """Characters of the named references that end in a semicolon, by the table of Python's library."""
+    return "map(" + ", ".join(f"'&{name}', {_quoted(text)}" for name, text in sorted(html5.items()) if name.endswith(";")) + ")"
+
+
+def _numbered(code: str) -> str:
+    """SQL for the character of a numeric reference: nothing, surrogates and numbers beyond the last code give U+FFFD, the old Windows codes
+    their characters, other control codes and non-characters nothing."""
+    old = {}
+    for c in range(128, 160):
+        try:
+            old[c] = bytes([c]).decode("cp1252")
+        except UnicodeDecodeError:
+            old[c] = chr(c)
+    windows = "map(" + ", ".join(f"{c}L, {_quoted(t)}" for c, t in old.items()) + ")"
+    return (
+        f"element_at(transform(array(coalesce({code}, 1114112L)), n -> CASE WHEN n = 0 OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN {_quoted(UNKNOWN)}"
+        f" WHEN n BETWEEN 128 AND 159 THEN element_at({windows}, n)"
+        " WHEN n < 9 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN ''"
+        " ELSE decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') END), 1)"
+    )
 
 
 def _inner_text(expr: str) -> str:
     """Text of a cell: tags as blanks, character references read once, blanks squeezed."""
     plain = f"regexp_replace({expr}, '<[^>]*>', ' ')"
-    codes = {**{name: 160 + i for i, name in enumerate(LATIN_NAMES)}, **XML_NAMES}
-    names = "map(" + ", ".join(f"'&{name};', {code}" for name, code in codes.items()) + ")"
-
-    def char(code: str) -> str:
-        return f"decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32')"
-
+    # Longer numbers than these are beyond the last code anyway.
+    digits = "ltrim('0', substr(p, {0}, length(p) - {1}))"
+    hexed = f"CASE WHEN length({digits.format(4, 4)}) <= 6 THEN cast(conv(substr(p, 4, length(p) - 4), 16, 10) AS bigint) END"
+    plain_number = f"CASE WHEN length({digits.format(3, 3)}) <= 7 THEN cast(substr(p, 3, length(p) - 3) AS bigint) END"
     piece = (
-        f"CASE WHEN rlike(p, '^&#[xX].') THEN {char('cast(conv(substr(p, 4, length(p) - 4), 16, 10) AS bigint)')}"
-        f" WHEN rlike(p, '^&#.') THEN {char('cast(substr(p, 3, length(p) - 3) AS bigint)')}"
-        f" WHEN rlike(p, '^&.') AND try_element_at({names}, p) IS NOT NULL THEN {char(f'cast(try_element_at({names}, p) AS bigint)')} ELSE p END"
+        f"CASE WHEN rlike(p, '^&#[xX].') THEN {_numbered(hexed)} WHEN rlike(p, '^&#.') THEN {_numbered(plain_number)}"
+        f" WHEN rlike(p, '^&.') THEN coalesce(try_element_at({_named()}, p), p) ELSE p END"
     )
     readable = f"array_join(transform(regexp_extract_all(t, '{ENTITY}', 0), p -> {piece}), '')"
     squeezed = "trim(regexp_replace({0}, '[\\\\s\\\\u00A0]+', ' '))"

@@ -287,3 +287,15 @@ def test_layout_items_beside_polygons(spark):
     ]
     assert rows(responses.rejected_items(df, "page_id", "body"), "page_id", "reason") == [(3, "nested_too_deep"), (5, "malformed_body")]
     assert responses.detection_items(df.where("false"), "page_id", "body").count() == 0
+
+
+def test_character_references_of_html(spark):
+    """Every numeric reference in and out of range, named ones of the whole table, against the library's own reading."""
+    import html as library
+
+    codes = [0, 1, 8, 9, 10, 11, 13, 31, 65, 127, 128, 129, 150, 159, 160, 0xD7FF, 0xD800, 0xDFFF, 0xFDD0, 0xFFFD, 0xFFFE, 0x1F600, 0x10FFFF, 0x110000, 99999999999999999999]
+    names = ["hellip", "mdash", "euro", "nbsp", "eacute", "amp", "lt", "CounterClockwiseContourIntegral", "NotEqualTilde", "nosuchname"]
+    texts = [f"a&#{c};b" for c in codes] + [f"a&#x{c:x};b" for c in codes] + [f"a&{n};b" for n in names] + ["a & b &; &#; &#x; c", "&amp;lt;", "&#0000065;"]
+    df = spark.createDataFrame([(i, f"<table><tr><td>{t}</td></tr></table>") for i, t in enumerate(texts)], "k int, html string")
+    got = {r.k: r.text for r in html.table_cells(df, "k", "html").collect()}
+    assert [got[i] for i in range(len(texts))] == [" ".join(library.unescape(t).split()) for t in texts]
