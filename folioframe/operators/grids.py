@@ -1,6 +1,7 @@
 """Tables as readers see them: grids, header depth, header keys, row kinds, summaries and records.
 
-Cells carry (table_id, row_no, col_no, text, row_span, col_span, hidden). Everything is keyed by table and
+Cells carry (table_id, row_no, col_no, text, row_span, col_span, hidden), and ocr_text and ground_truth where there are any: a user's correction is
+what a cell says, an empty text gives way to the recognised one (`as_read`). Everything is keyed by table and
 row or table and column, so a long table spreads over many tasks.
 """
 
@@ -28,12 +29,26 @@ def table_shapes(cells: DataFrame) -> DataFrame:
     )
 
 
-def grid_rows(cells: DataFrame) -> DataFrame:
-    """One array of texts per table row that holds a visible cell, padded to the table's width."""
-    packed = cells.filter("NOT hidden").groupBy("table_id", "row_no").agg(
+def as_read(cells: DataFrame) -> DataFrame:
+    """Cells with the text that counts: ground truth, even an empty one, before the text, before the recognised text."""
+    choices = [F.col("ground_truth")] if "ground_truth" in cells.columns else []
+    choices.append(F.when(F.col("text") != "", F.col("text")))
+    choices += [F.col("ocr_text")] if "ocr_text" in cells.columns else []
+    return cells.withColumn("text", F.coalesce(*choices, F.lit(""))).drop("ground_truth", "ocr_text")
+
+
+def grid_rows(cells: DataFrame, blank_rows: bool = True) -> DataFrame:
+    """One array of texts per table row, padded to the table's width; rows without a visible cell are blank, or left out if not wanted."""
+    packed = as_read(cells).filter("NOT hidden").groupBy("table_id", "row_no").agg(
         F.map_from_entries(F.collect_list(F.struct("col_no", "text"))).alias("by_col")
     )
-    return packed.join(table_shapes(cells), "table_id").selectExpr(
+    shapes = table_shapes(cells)
+    if blank_rows:
+        every = shapes.withColumn("row_no", F.explode(F.sequence(F.lit(0), F.col("row_count") - 1)))
+        joined = every.join(packed, ["table_id", "row_no"], "left")
+    else:
+        joined = packed.join(shapes, "table_id")
+    return joined.selectExpr(
         "table_id", "row_no", "row_count", "col_count",
         "transform(sequence(0, col_count - 1), c -> coalesce(by_col[c], '')) AS texts",
     )
@@ -48,7 +63,7 @@ def cells_from_rows(rows: DataFrame) -> DataFrame:
 
 def header_depth(cells: DataFrame, base: int = 1) -> DataFrame:
     """Header rows: the base count, grown while a spanned row has two child texts below and none outside."""
-    visible = cells.filter("NOT hidden")
+    visible = as_read(cells).filter("NOT hidden")
     parents = visible.filter(f"col_span > 1 AND row_no >= {base - 1}").selectExpr(
         "table_id", "row_no", "col_no AS first_col", "col_no + col_span AS end_col"
     )
@@ -71,7 +86,7 @@ def header_depth(cells: DataFrame, base: int = 1) -> DataFrame:
 
 def header_keys(cells: DataFrame, depth: DataFrame) -> DataFrame:
     """One key per column: distinct header texts from top to bottom, spans spread, blanks numbered."""
-    heads = cells.filter("NOT hidden").join(depth, "table_id").filter("row_no < header_rows").selectExpr(
+    heads = as_read(cells).filter("NOT hidden").join(depth, "table_id").filter("row_no < header_rows").selectExpr(
         "table_id", "row_no", "col_no", "regexp_replace(trim(text), '\\\\s+', ' ') AS text", "row_span", "col_span", "header_rows", "col_count"
     ).filter("text <> ''")
     spread = heads.selectExpr(
@@ -93,14 +108,16 @@ def header_keys(cells: DataFrame, depth: DataFrame) -> DataFrame:
 
 
 def row_stats(cells: DataFrame) -> DataFrame:
-    """Populated cells, their outer columns and span scores of every row with a visible cell."""
+    """Populated cells, their outer columns and span scores of every row; a row without a visible cell has none."""
     filled = meaningful(F.col("text"))
-    return cells.filter("NOT hidden").groupBy("table_id", "row_no").agg(
+    seen = as_read(cells).filter("NOT hidden").groupBy("table_id", "row_no").agg(
         F.count_if(filled).alias("populated"), F.min(F.when(filled, F.col("col_no"))).alias("first_col"),
         F.max(F.when(filled, F.col("col_no"))).alias("last_col"),
         F.max(F.expr("row_span > 1 OR col_span > 1")).alias("spanned"),
         F.sum(F.expr("row_span * col_span - 1")).alias("span_score"),
     )
+    every = table_shapes(cells).selectExpr("table_id", "explode(sequence(0, row_count - 1)) AS row_no")
+    return every.join(seen, ["table_id", "row_no"], "left").na.fill(0, ["populated", "span_score"]).na.fill(False, ["spanned"])
 
 
 def upper_median(counts: DataFrame) -> DataFrame:
@@ -162,7 +179,7 @@ def summary_pairs(cells: DataFrame, stats: DataFrame, depth: DataFrame) -> DataF
     runs = running_total(marked, ["table_id", "sparse_limit"], ["row_no"], ROWS_PER_BUCKET, "dense", "run")
     placed = starts.join(runs.select("table_id", "sparse_limit", F.col("row_no").alias("start_row"), "run"), ["table_id", "sparse_limit", "start_row"])
     members = placed.join(runs, ["table_id", "sparse_limit", "run"]).filter("row_no >= start_row AND populated <= sparse_limit")
-    filled = cells.filter("NOT hidden").filter(meaningful(F.col("text"))).withColumn(
+    filled = as_read(cells).filter("NOT hidden").filter(meaningful(F.col("text"))).withColumn(
         "nth", F.row_number().over(W.partitionBy("table_id", "row_no").orderBy("col_no"))
     ).select("table_id", "row_no", "col_no", F.trim("text").alias("text"), "nth")
     label = filled.selectExpr("table_id", "row_no", "col_no AS label_col", "text AS key", "nth AS label_nth")

@@ -48,16 +48,30 @@ grid AS (SELECT s.table_id, rc, cc, r.r AS row_no, k.c AS col_no, coalesce(v.tex
   LEFT JOIN {source} v ON v.table_id = s.table_id AND v.row_no = r.r AND v.col_no = k.c AND NOT v.hidden)"""
 
 
-@query("tbl02_grid_rows", oracle(f"WITH {_grid('cells')}" + """
-SELECT table_id, row_no, string_agg(text, '¦' ORDER BY col_no) AS texts FROM grid SEMI JOIN (SELECT table_id, row_no FROM cells WHERE NOT hidden) USING (table_id, row_no) GROUP BY ALL""", "cells"))
+# Corrections, empty ones among them, and cells whose text only the recogniser has.
+sql("corrected", """
+SELECT * REPLACE (CASE WHEN table_id % 5 = 1 AND row_no > 0 AND col_no = 0 THEN '' ELSE text END AS text), CASE WHEN row_no <= 1 THEN NULL WHEN table_id % 5 = 1 THEN 'ocr ' || row_no ELSE 'other' END AS ocr_text,
+  CASE WHEN row_no > 1 AND table_id % 4 = 0 AND col_no = 1 THEN 'fixed ' || row_no WHEN row_no > 1 AND table_id % 4 = 2 AND col_no = 0 THEN '' END AS ground_truth FROM wide""", "wide")
+sql("as_read", "SELECT * REPLACE (coalesce(ground_truth, nullif(text, ''), ocr_text, '') AS text) FROM corrected", "corrected")
+
+
+def corrected(spark: SparkSession, sf: str) -> DataFrame:
+    return wide(spark, sf).selectExpr(
+        "table_id", "row_no", "col_no", "CASE WHEN table_id % 5 = 1 AND row_no > 0 AND col_no = 0 THEN '' ELSE text END AS text", "row_span", "col_span", "hidden",
+        "CASE WHEN row_no <= 1 THEN NULL WHEN table_id % 5 = 1 THEN concat('ocr ', row_no) ELSE 'other' END AS ocr_text",
+        "CASE WHEN row_no > 1 AND table_id % 4 = 0 AND col_no = 1 THEN concat('fixed ', row_no) WHEN row_no > 1 AND table_id % 4 = 2 AND col_no = 0 THEN '' END AS ground_truth",
+    )
+
+
+@query("tbl02_grid_rows", oracle(f"WITH {_grid('as_read')} SELECT table_id, row_no, string_agg(text, '¦' ORDER BY col_no) AS texts FROM grid GROUP BY ALL", "as_read"))
 def grid_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return grids.grid_rows(cells(spark, sf)).select("table_id", "row_no", F.array_join("texts", "¦").alias("texts"))
+    """Every row of every table, blank ones included, as corrected by the user."""
+    return grids.grid_rows(corrected(spark, sf)).select("table_id", "row_no", F.array_join("texts", "¦").alias("texts"))
 
 
-@query("tbl02_cells_from_rows", oracle(f"WITH {_grid('cells')}" + """
-SELECT table_id, row_no, col_no, text FROM grid SEMI JOIN (SELECT table_id, row_no FROM cells WHERE NOT hidden) USING (table_id, row_no)""", "cells"))
+@query("tbl02_cells_from_rows", oracle(f"WITH {_grid('as_read')} SELECT table_id, row_no, col_no, text FROM grid", "as_read"))
 def cells_from_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return grids.cells_from_rows(grids.grid_rows(cells(spark, sf))).select("table_id", "row_no", "col_no", "text")
+    return grids.cells_from_rows(grids.grid_rows(corrected(spark, sf))).select("table_id", "row_no", "col_no", "text")
 
 
 def _markdown(source: str, blank: str = "text") -> str:
@@ -86,7 +100,7 @@ def parsed_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Tables written as Markdown, JSON rows or JSON objects and read back."""
     source = cells(spark, sf)
     marked = export.markdown_tables(source.filter("table_id % 3 = 0"))
-    rows = grids.grid_rows(source.filter("table_id % 3 <> 0")).groupBy("table_id").agg(
+    rows = grids.grid_rows(source.filter("table_id % 3 <> 0"), blank_rows=False).groupBy("table_id").agg(
         F.expr("transform(array_sort(collect_list(struct(row_no, texts))), r -> r.texts)").alias("rows")
     )
     as_json = rows.selectExpr(
@@ -143,9 +157,9 @@ def header_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 KINDS = HEADER + f""", {_grid('wide')},
 st AS (SELECT g.table_id, g.row_no, any_value(rc) AS rc, any_value(cc) AS cc, any_value(h) AS h, count(*) FILTER (regexp_matches(text, '[A-Za-z0-9ก-๙]')) AS n,
-   min(col_no) FILTER (regexp_matches(text, '[A-Za-z0-9ก-๙]')) AS f, max(col_no) FILTER (regexp_matches(text, '[A-Za-z0-9ก-๙]')) AS l FROM grid g JOIN depth USING (table_id)
-   SEMI JOIN (SELECT table_id, row_no FROM wide WHERE NOT hidden) USING (table_id, row_no) GROUP BY ALL),
-sp AS (SELECT table_id, row_no, bool_or(row_span > 1 OR col_span > 1) AS sp, sum(row_span * col_span - 1) AS score FROM wide WHERE NOT hidden GROUP BY ALL),
+   min(col_no) FILTER (regexp_matches(text, '[A-Za-z0-9ก-๙]')) AS f, max(col_no) FILTER (regexp_matches(text, '[A-Za-z0-9ก-๙]')) AS l FROM grid g JOIN depth USING (table_id) GROUP BY ALL),
+sp AS (SELECT st.table_id, st.row_no, coalesce(bool_or(row_span > 1 OR col_span > 1), false) AS sp, coalesce(sum(row_span * col_span - 1), 0) AS score
+   FROM st LEFT JOIN wide w ON w.table_id = st.table_id AND w.row_no = st.row_no AND NOT w.hidden GROUP BY ALL),
 ty AS (SELECT table_id, list_sort(list(n))[CAST(floor(count(*) / 2.0) AS BIGINT) + 1] AS t FROM st WHERE row_no >= h AND n > 0 GROUP BY table_id),
 kinds AS (SELECT st.table_id, st.row_no, CASE WHEN st.row_no < h THEN 'header' WHEN n = 0 THEN 'empty' WHEN
     CAST(st.row_no >= greatest(h, floor(rc * 0.65)) OR st.row_no >= rc - 3 AS INT) + CAST((coalesce(t, 0) >= 3 AND n <= greatest(1, floor(t * 0.6))) OR (coalesce(t, 0) > 0 AND abs(n - t) >= greatest(2, ceil(t * 0.4))) AS INT)
@@ -189,6 +203,15 @@ def key_value_records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# The records of corrected tables: the same twin over cells as they are read.
+@query("tbl19_corrected_records", oracle(f"""WITH {SUMMARY}
+SELECT g.table_id, g.row_no, string_agg(k.header_key || '=' || g.text, ';' ORDER BY g.col_no) AS record FROM grid g JOIN keys k ON k.table_id = g.table_id AND k.col_no = g.col_no
+JOIN kinds d ON d.table_id = g.table_id AND d.row_no = g.row_no AND d.kind = 'data' ANTI JOIN (SELECT DISTINCT table_id, row_no FROM summ) s ON s.table_id = g.table_id AND s.row_no = g.row_no GROUP BY ALL""".replace("FROM wide", "FROM as_read").replace("JOIN wide", "JOIN as_read"), "as_read"))
+def corrected_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of tables that users have corrected."""
+    return grids.key_value_records(cut_lineage(corrected(spark, sf))).selectExpr("table_id", "row_no", "array_join(transform(entries, e -> concat(e.key, '=', e.value)), ';') AS record")
+
+
 @query("tbl20_export_cells", oracle("""
 SELECT table_id, row_no, col_no, text, row_span, col_span, text AS ocr_text, CASE WHEN table_id % 2 = 0 THEN upper(text) ELSE text END AS ground_truth FROM cells WHERE NOT hidden""", "cells"))
 def export_cells(spark: SparkSession, sf: str) -> DataFrame:

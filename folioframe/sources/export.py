@@ -10,7 +10,7 @@ from folioframe.operators.grids import grid_rows
 
 def markdown_tables(cells: DataFrame, number_blank_headers: bool = False) -> DataFrame:
     """One Markdown text per table. The server variant trims cells, the client variant numbers blank headers."""
-    rows = grid_rows(cells)
+    rows = grid_rows(cells, blank_rows=False)
     clean = "replace(t, '|', '/')" if number_blank_headers else "replace(trim(t), '|', '/')"
     texts = "texts"
     if number_blank_headers:
