@@ -17,7 +17,7 @@ from folioframe.functions.geometry import (
 )
 from folioframe.operators.ordering import previous_values, row_places, running_total
 from folioframe.operators.spatial import PIXEL_TILE, RATIO_TILE, pair_overlaps, touching_ids
-from folioframe.operators.suppress import LAYOUT_NESTED, greedy_keep
+from folioframe.operators.suppress import FLEXIBLE_BLOCK, FLEXIBLE_TEXT, LAYOUT_NESTED, greedy_keep
 from folioframe.session import cut_lineage
 
 PAGE_ITEM = ["page_id", "item_id"]
@@ -91,6 +91,14 @@ def drop_nested(items: DataFrame) -> DataFrame:
     return greedy_keep(items, ["page_id", "label"], "item_id", PIXEL, PIXEL_TILE, LAYOUT_NESTED)
 
 
+def drop_flexible_nested(areas: DataFrame, row_id: str = "region_id") -> DataFrame:
+    """Regions of flexible fields in page shares that lie in no larger one of their kind; tables and images fall by the overlap of either side, empty ones always."""
+    real = areas.filter("width_ratio * height_ratio > 0")
+    block = F.col("label").isin("table", "image")
+    texts = greedy_keep(real.filter(~block), ["page_id", "label"], row_id, RATIO, RATIO_TILE, FLEXIBLE_TEXT)
+    return texts.unionByName(greedy_keep(real.filter(block), ["page_id", "label"], row_id, RATIO, RATIO_TILE, FLEXIBLE_BLOCK))
+
+
 def expand_items(items: DataFrame, pages: DataFrame) -> DataFrame:
     """Padded boxes: tables by 2 px, text by 8 px but pulled back from neighbours, images unchanged."""
     sizes = pages.select("page_id", "image_width", "image_height")

@@ -247,6 +247,21 @@ def nested_regions(spark: SparkSession, sf: str) -> DataFrame:
     return regions.drop_nested(items(spark, sf)).select("page_id", "label", "item_id")
 
 
+# Regions drawn wider and less various in place, so that many lie in others.
+_FLEXIBLE = ("page_id", "region_id", "label", "floor(x_ratio * 4) / 4 AS x_ratio", "floor(y_ratio * 3) / 3 AS y_ratio",
+             "CASE WHEN region_id = 7 THEN 0 ELSE width_ratio * 1.5 END AS width_ratio", "height_ratio * 2 AS height_ratio")
+sql("flexible", "SELECT page_id, CAST(region_id AS INTEGER) AS item_id, label, floor(x_ratio * 4) / 4 AS x, floor(y_ratio * 3) / 3 AS y, width_ratio * 1.5::DOUBLE AS width, height_ratio * 2 AS height FROM regions WHERE region_id <> 7", "regions")
+HELD = f"{common_px('a', 'b')} / greatest(b.width * b.height, 1e-9::DOUBLE)"
+FLEXIBLE_NESTED = f"CASE WHEN b.label = 'text' THEN {HELD} >= 0.88 ELSE {HELD} >= 0.72 OR {common_px('a', 'b')} / greatest(a.width * a.height, 1e-9::DOUBLE) >= 0.72 END"
+
+
+@query("win09_flexible_regions", oracle(_greedy_sql("width * height DESC", FLEXIBLE_NESTED).replace("FROM items", "FROM flexible"), "flexible"))
+def flexible_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Areas of flexible fields without those that lie in a larger one of their kind."""
+    areas = derive.regions(spark, sf).selectExpr(*[e.replace("1.5", "1.5D") for e in _FLEXIBLE])
+    return regions.drop_flexible_nested(areas).selectExpr("page_id", "label", "cast(region_id AS int) AS item_id")
+
+
 @query("win10_duplicate_boxes", oracle(_greedy_sql("width * height ASC, y, x", DUPLICATE), "items"))
 def duplicate_boxes(spark: SparkSession, sf: str) -> DataFrame:
     kept = suppress.greedy_keep(
