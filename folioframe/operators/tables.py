@@ -52,8 +52,8 @@ def with_rows(boxes: DataFrame, factor: float = 0.75, floor: float = 8.0) -> Dat
 
 
 def raw_geometry_table(boxes: DataFrame) -> DataFrame:
-    """Rows by position, columns by order inside the row."""
-    order = W.partitionBy("group_id", "row_no").orderBy("x", "box_id")
+    """Rows by position, columns by order inside the row: by left edge, then by centre from top to bottom."""
+    order = W.partitionBy("group_id", "row_no").orderBy("x", "centre_y", "box_id")
     return with_rows(boxes).withColumn("col_no", (F.row_number().over(order) - 1).cast("int"))
 
 

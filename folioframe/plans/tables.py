@@ -93,7 +93,7 @@ def row_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("tbl04_raw_geometry", oracle(_walk("c, x, box_id", ROWS_VALUE, "any") + """
-SELECT group_id, cluster - 1 AS row_no, CAST(row_number() OVER (PARTITION BY group_id, cluster ORDER BY x, box_id) - 1 AS INTEGER) AS col_no, text
+SELECT group_id, cluster - 1 AS row_no, CAST(row_number() OVER (PARTITION BY group_id, cluster ORDER BY x, y + height / 2, box_id) - 1 AS INTEGER) AS col_no, text
 FROM placed""", "boxes", "mids"))
 def raw_geometry(spark: SparkSession, sf: str) -> DataFrame:
     return tables.raw_geometry_table(boxes(spark, sf)).select("group_id", "row_no", "col_no", "text")

@@ -299,3 +299,9 @@ def test_character_references_of_html(spark):
     df = spark.createDataFrame([(i, f"<table><tr><td>{t}</td></tr></table>") for i, t in enumerate(texts)], "k int, html string")
     got = {r.k: r.text for r in html.table_cells(df, "k", "html").collect()}
     assert [got[i] for i in range(len(texts))] == [" ".join(library.unescape(t).split()) for t in texts]
+
+
+def test_texts_with_one_left_edge_go_by_height(spark):
+    data = [(1, 1, "low", 10.0, 16.0), (1, 2, "high", 10.0, 10.0), (1, 3, "right", 90.0, 12.0)]
+    boxes = spark.createDataFrame(data, "group_id int, box_id int, text string, x double, y double").selectExpr("*", "40D AS width", "15D AS height", "0.9D AS confidence")
+    assert rows(tables.raw_geometry_table(boxes), "row_no", "col_no", "text") == [(0, 0, "high"), (0, 1, "low"), (0, 2, "right")]
