@@ -3,7 +3,8 @@
 A document is the set of its distinct 5-word shingles. Documents with equal sets are one node. The tokens of a node are hashed into `GROUPS` groups; the group
 counts are its point. For two points the summed coordinate minima bound the overlap from above, and for two leaves of points the minima of
 their upper corners do, so a leaf pair or a pair of points below the needed overlap is dropped without looking at the sets. Pairs that
-stay are verified on the sets themselves.
+stay meet a finer bound, marks in about eight to sixteen bits a token, delivered once per cell of a grid of node blocks, and what is left is verified on the
+sets themselves.
 
 In many dimensions an R-tree over all points prunes little before its leaves: any two texts of a length are about as far apart as any other
 two, and a search visits all leaves. So points meet only where they can be linked at all: two sets with similarity s or more share one of the first
@@ -12,7 +13,8 @@ table is counted over all documents and decides nothing but the order. Points th
 
 Large groups of near copies would make all pairs of a bucket survive. Therefore every node is first verified against the first node of its buckets (one
 pair per node, then those still apart), and only buckets that still hold several components go to the leaves, where pairs
-of one component are not looked at again.
+of one component are not looked at again. A passage shared by a few documents makes many buckets of the same members; one bucket of each member set is kept,
+since the members alone decide which pairs meet.
 
 Defined results: a null or blank text has no shingles, an empty set, and links with nothing; fewer than five words are one shingle; repeated rows and equal
 texts are one node; a row with a null key gets a null component and links with nothing; an empty table gives an empty table; other columns are not read.
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import WordHashes, cut_lineage, slices, split_words
+from folioframe.llm.common import SPACE_LIST, cut_lineage, slices
 from folioframe.llm.graph import components
 from folioframe.llm.substring import run_hashes
 
@@ -34,14 +36,73 @@ SHINGLE, GROUPS, LEAF = 5, 128, 32
 TABLE_BITS, SLICE = 20, 4096
 #: Rows up to which the wanted texts or pairs are broadcast (24 bytes each); beyond it they are shuffled.
 BROADCAST_ROWS = 400_000
+#: A grid cell of the finer bound holds about this many bytes of marks per side, and about this many pairs.
+BLOCK_BYTES, CELL_PAIRS = 8 << 20, 500_000
+
+#: Bytes hashed at a time; a chunk ends at a blank.
+CHUNK = 2 << 20
+_STEP = 0x9E3779B97F4A7C15
+_BLANK = np.isin(np.arange(256), [ord(c) for c in SPACE_LIST])
+_VALUE = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], dtype=np.uint64)
+_powers: list[np.ndarray] = []
+
+
+def _steps(length: int) -> list[np.ndarray]:
+    """Powers of the step and of its inverse modulo 2^64, kept per worker."""
+    if not _powers or len(_powers[0]) < length:
+        _powers.clear()
+        for base in (_STEP, pow(_STEP, -1, 1 << 64)):
+            row = np.full(max(length, CHUNK + 4096), base, dtype=np.uint64)
+            row[0] = 1
+            _powers.append(np.multiply.accumulate(row))
+    return _powers
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, 64-bit hash) of every word: differences of one running polynomial, moved back to the word's first byte and mixed."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    blank, at, firsts, values = _BLANK[data], 0, [], []
+    while at < len(data):
+        stop = min(len(data), at + CHUNK)
+        if stop < len(data):
+            rest = blank[stop:]
+            ahead = int(rest.argmax())
+            stop = stop + ahead if rest[ahead] else len(data)
+        power, back = _steps(stop - at)
+        edges = np.flatnonzero(np.diff(blank[at:stop], prepend=True, append=True))
+        first, end = edges[::2], edges[1::2]
+        with np.errstate(over="ignore"):
+            run = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_VALUE[data[at:stop]] * power[:stop - at], dtype=np.uint64)])
+            h = (run[end] - run[first]) * back[first]
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+        firsts.append(first + at)
+        values.append(h)
+        at = stop
+    if not firsts:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+    return np.concatenate(firsts), np.concatenate(values)
+
+
+def shingle_sets(column: pa.Array) -> list[np.ndarray]:
+    """Sorted distinct hashes of the shingles of every text of a slice; all texts are hashed in one go."""
+    raw = [(r or b"").lower() for r in column.cast(pa.binary()).to_pylist()]
+    firsts, values = word_hashes(b"\n".join(raw))
+    cuts = np.searchsorted(firsts, np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])]))
+    runs, out = run_hashes(values, SHINGLE), []
+    for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if high - low < SHINGLE:
+            out.append(np.array([xxhash.xxh3_64_intdigest(values[low:high].tobytes(), seed=1)] if high > low else [], dtype=np.uint64))
+            continue
+        s = np.sort(runs[low:high - SHINGLE + 1])
+        out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+    return out
 
 
-def shingles(body: str, memory: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the shingles."""
-    tokens = split_words(body, lower=True)
-    if len(tokens) < SHINGLE:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(tokens), seed=1)] if tokens else [], dtype=np.uint64)
-    return np.unique(run_hashes(memory.array(tokens), SHINGLE))
+def _name(s: np.ndarray) -> int | None:
+    """Node of a set; none for an empty one."""
+    return _signed(xxhash.xxh3_64_intdigest(s.tobytes())) if len(s) else None
 
 
 def pack_point(counts: np.ndarray) -> bytes:
@@ -75,17 +136,18 @@ def points(texts: DataFrame) -> DataFrame:
     schema = "key long, mark long, n long, node long, point binary, slice int, counts binary"
 
     def run(batches):
-        memory, table, local = WordHashes(), np.zeros(1 << TABLE_BITS, dtype=np.uint32), set()
+        table, local = np.zeros(1 << TABLE_BITS, dtype=np.uint32), set()
         for batch in batches:
             for part in slices(batch, "body"):
-                rows = []
-                for body in part.column(1).to_pylist():
-                    s = shingles(body, memory)
-                    node = _signed(xxhash.xxh3_64_intdigest(s.tobytes())) if len(s) else None
+                rows, fresh = [], []
+                for s in shingle_sets(part.column(1)):
+                    node = _name(s)
                     rows.append((len(s), node, pack_point(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)) if len(s) else None))
                     if node is not None and node not in local:  # copies count once per task
                         local.add(node)
-                        np.add.at(table, _slots(s), 1)
+                        fresh.append(_slots(s))
+                if fresh:
+                    table += np.bincount(np.concatenate(fresh), minlength=len(table)).astype(np.uint32)
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
@@ -121,18 +183,17 @@ def buckets(texts: DataFrame, levels: np.ndarray, share: int) -> DataFrame:
     order = texts.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
-        memory, local = WordHashes(), set()
+        local = set()
         for batch in batches:
             for part in slices(batch, "body"):
                 tokens, nodes = [], []
-                for body in part.column(1).to_pylist():
-                    s = shingles(body, memory)
-                    node = _signed(xxhash.xxh3_64_intdigest(s.tobytes())) if len(s) else None
+                for s in shingle_sets(part.column(1)):
+                    node = _name(s)
                     if node is None or node in local:
                         continue
                     local.add(node)
                     length = len(s) - -(-share * len(s) // 100) + 1
-                    first = s[np.lexsort((s, order.value[_slots(s)]))[:length]]
+                    first = s[np.argsort(order.value[_slots(s)], kind="stable")[:length]]
                     tokens.append(first.view(np.int64))
                     nodes.append(np.full(length, node, dtype=np.int64))
                 if tokens:
@@ -166,6 +227,71 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
     return sized.select("a", "b", "an", "bn", "ap", "bp").mapInArrow(run, "a long, b long")
 
 
+def pack_marks(s: np.ndarray) -> bytes:
+    """One bit per group that holds a token, in a power of two of groups, eight to sixteen per token and 1024 at least."""
+    groups = max(1024, 1 << (8 * len(s) - 1).bit_length())
+    bits = np.zeros(groups, dtype=bool)
+    bits[(s % np.uint64(groups)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def bounded_by_marks(a: np.ndarray, b: np.ndarray, node: np.ndarray, n: np.ndarray, marks: list[bytes], share: int) -> np.ndarray:
+    """Which pairs (a[i], b[i]) the marks still allow.
+
+    Common tokens lie in groups marked on both sides; a group holds one of them more only where both sets have a further token there, so the overlap is at most the
+    common marks plus the smaller number of tokens without a mark of their own. The longer marks are folded to the length of the shorter ones.
+    """
+    order = np.argsort(node)
+    i, j = order[np.searchsorted(node, a, sorter=order)], order[np.searchsorted(node, b, sorter=order)]
+    size = np.array([len(m) for m in marks], dtype=np.int64)
+    width, keep = np.minimum(size[i], size[j]), np.zeros(len(a), dtype=bool)
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        used = np.unique(np.concatenate([i[at], j[at]]))
+        rows = np.stack([np.bitwise_or.reduce(np.frombuffer(marks[u], dtype=np.uint64).reshape(-1, w // 8), axis=0) for u in used.tolist()])
+        spare = n[used] - np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+        step = max(1, (4 << 20) // w)
+        for k in (at[x:x + step] for x in range(0, len(at), step)):
+            p, q = np.searchsorted(used, i[k]), np.searchsorted(used, j[k])
+            bound = np.bitwise_count(rows[p] & rows[q]).sum(axis=1, dtype=np.int64) + np.minimum(spare[p], spare[q])
+            keep[k] = (100 + share) * bound >= share * (n[i[k]] + n[j[k]])
+    return keep
+
+
+def _marked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, share: int) -> DataFrame:
+    """Pairs (a, b) that the marks still allow.
+
+    The nodes of the pairs are dealt to blocks by a hash, the pairs to the cells (block of a, block of b). Marks of a node are sent once to every cell that holds a
+    pair of it. The number of blocks grows with the bytes of marks and with the pairs, so that a cell stays small.
+    """
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    used = cut_lineage(nodes.select("node", "n", "key", "mark").join(used, "node", "left_semi"))
+
+    def mark(batches):
+        for batch in batches:
+            for part in slices(batch, "body"):
+                made = [pack_marks(s) for s in shingle_sets(part.column(2))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], names=["node", "n", "marks"])
+
+    held = texts.join(_small(used), ["key", "mark"]).select("node", "n", "body").mapInArrow(mark, "node long, n long, marks binary")
+    held = cut_lineage(held)
+    volume = held.agg(F.sum(F.length("marks"))).first()[0] or 0
+    blocks = max(1, -(-volume // BLOCK_BYTES), int(np.ceil((pairs.count() / CELL_PAIRS) ** 0.5)))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    cells = pairs.select("a", "b", block("a").alias("row"), block("b").alias("col"))
+    wanted = cells.select("row", "col", F.col("a").alias("node")).union(cells.select("row", "col", F.col("b").alias("node"))).distinct()
+    sent = wanted.join(held, "node").select("row", "col", "node", "n", "marks")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
+        if len(a) == 0:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        keep = bounded_by_marks(a, b, right.column("node").to_numpy(), right.column("n").to_numpy(), right.column("marks").to_pylist(), share)
+        return pa.table({"a": a[keep], "b": b[keep]})
+
+    return cells.groupBy("row", "col").cogroup(sent.groupBy("row", "col")).applyInArrow(run, "a long, b long")
+
+
 def _small(df: DataFrame) -> DataFrame:
     """`df` with a broadcast hint where its row count allows it."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -173,7 +299,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) that are linked, decided on the sets. Texts of other nodes are dropped at the scan."""
-    pairs = cut_lineage(_bounded(pairs, nodes, share))
+    pairs = cut_lineage(_marked(cut_lineage(_bounded(pairs, nodes, share)), nodes, texts, share))
     place = nodes.select("node", "key", "mark")
     left = cut_lineage(pairs.join(place.withColumnRenamed("node", "a"), "a"))
     right = cut_lineage(pairs.select("b").distinct().join(place.withColumnRenamed("node", "b"), "b"))
@@ -181,14 +307,13 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, share: int) ->
     body_b = texts.join(_small(right), ["key", "mark"]).select("b", F.col("body").alias("two"))
 
     def run(batches):
-        memory = WordHashes()
         known: dict = {}  # rows come sorted by b
         for part in (p for batch in batches for p in slices(batch, "one")):
             kept = []
-            for a, b, one, two in zip(*(part.column(i).to_pylist() for i in range(4))):
+            for i, (a, b, x) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(part.column(2)))):
                 if b not in known:
-                    known = {b: shingles(two, memory)}
-                x, y = shingles(one, memory), known[b]
+                    known = {b: shingle_sets(part.column(3).slice(i, 1))[0]}
+                y = known[b]
                 common = len(x) + len(y) - len(np.union1d(x, y))
                 if 100 * common >= share * (len(x) + len(y) - common):
                     kept.append((a, b))
@@ -287,7 +412,11 @@ def linked(docs: DataFrame, key: str, share: int) -> tuple[DataFrame, DataFrame]
     tied = cut_lineage(components(links))
     # Buckets that still hold several components: leaves and bounds.
     labelled = cut_lineage(_apart(shared, tied))
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    # One bucket of each member set, named by its size and two hashes.
+    mixed = labelled.groupBy("token").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+    ).where("lo <> hi").groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token")
     members = labelled.join(mixed, "token", "left_semi").join(nodes.select("node", "n", "point"), "node").select("token", "node", "n", "point", "component")
     last = leaf_pairs(members, share)
     tried = best.union(second).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
