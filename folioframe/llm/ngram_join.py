@@ -279,8 +279,8 @@ def _marked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, share: int) ->
     blocks = max(1, -(-volume // BLOCK_BYTES), int(np.ceil((pairs.count() / CELL_PAIRS) ** 0.5)))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     cells = pairs.select("a", "b", block("a").alias("row"), block("b").alias("col"))
-    wanted = cells.select("row", "col", F.col("a").alias("node")).union(cells.select("row", "col", F.col("b").alias("node"))).distinct()
-    sent = wanted.join(held, "node").select("row", "col", "node", "n", "marks")
+    ends = [cells.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col(c).alias("node")) for c in ("a", "b")]
+    sent = ends[0].union(ends[1]).distinct().join(held, "node").select("to_row", "to_col", "node", "n", "marks")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
@@ -289,7 +289,7 @@ def _marked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, share: int) ->
         keep = bounded_by_marks(a, b, right.column("node").to_numpy(), right.column("n").to_numpy(), right.column("marks").to_pylist(), share)
         return pa.table({"a": a[keep], "b": b[keep]})
 
-    return cells.groupBy("row", "col").cogroup(sent.groupBy("row", "col")).applyInArrow(run, "a long, b long")
+    return cells.groupBy("row", "col").cogroup(sent.groupBy("to_row", "to_col")).applyInArrow(run, "a long, b long")
 
 
 def _small(df: DataFrame) -> DataFrame:
