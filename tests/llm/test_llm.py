@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -368,6 +369,34 @@ def test_ngram_join_on_a_drifting_group(spark):
     assert pairs(members, 75).count() == 70 * 69 // 2
 
 
+def test_shingle_sets_of_a_slice():
+    """Sets do not depend on the slice or the chunk that a text is hashed in; words are the same as in the plain split."""
+    texts = ["", " ", None, "a b", "A b\x0bc\td e\rf g", "\n\n", "q" * (ngram_join.CHUNK + 9) + " and a tail of words", prose(3, 400), prose(3, 400).upper()]
+    together = ngram_join.shingle_sets(pa.array(texts))
+    for text, s in zip(texts, together):
+        w = [x.lower() for x in brute.words(text)]
+        assert len(s) == (len({tuple(w[i:i + 5]) for i in range(len(w) - 4)}) if len(w) >= 5 else min(1, len(w)))
+        assert np.array_equal(s, ngram_join.shingle_sets(pa.array([text]))[0])
+    assert np.array_equal(together[-1], together[-2])
+
+
+def test_marks_lose_no_link():
+    """The bound of the marks never drops a pair that the sets link, whatever the sizes, and drops most others."""
+    rng, sets = np.random.default_rng(4), []
+    for size in (1, 40, 127, 129, 700, 3000):
+        first = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for kept in (1.0, 0.9, 0.86, 0.8, 0.5, 0.0):
+            own = first[:int(size * kept)]
+            sets.append(np.unique(np.concatenate([own, rng.integers(0, 1 << 63, size - len(own), dtype=np.uint64)])))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    n = np.array([len(s) for s in sets])
+    for share in (75, 20):
+        keep = ngram_join.bounded_by_marks(a, b, np.arange(len(sets)), n, [ngram_join.pack_marks(s) for s in sets], share)
+        linked = np.array([(100 + share) * len(np.intersect1d(sets[i], sets[j])) >= share * (n[i] + n[j]) for i, j in zip(a, b)])
+        assert linked.sum() > len(sets) and not (linked & ~keep).any()
+        assert share == 20 or keep.sum() < 2 * linked.sum()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000, 1005), (1005, 1003), (300, 300)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
