@@ -24,7 +24,7 @@ def tied(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["win01_gap_clusters", "tbl05_boundaries"])
+@pytest.mark.parametrize("name", ["win01_gap_clusters", "tbl05_boundaries", "tbl06_repeated_alignment"])
 def test_ties_open_one_cluster(spark, tied, name):
     ok, note = compare(spark, tied, name)
     assert ok, note
