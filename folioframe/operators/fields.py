@@ -38,6 +38,8 @@ def search_words(fields: DataFrame, words: DataFrame) -> DataFrame:
 
 def word_groups(words: DataFrame) -> DataFrame:
     """Words of a field as lines, and each line as groups of words that stand close together."""
+    # Medians, lines and members each read the words, which mostly come from a join over tiles.
+    words = cut_lineage(words)
     mids = words.groupBy(*FIELD).agg(
         F.expr("greatest(0.012D, median(greatest(0.001D, height_ratio)) * 0.65D)").alias("tol")
     )
@@ -109,9 +111,7 @@ def validate_groups(groups: DataFrame, fields: DataFrame) -> DataFrame:
 
 def refine_fields(fields: DataFrame, words: DataFrame) -> DataFrame:
     """Every field with its refined region, or its own region and the reason for the fallback."""
-    # Only words near a field are left here, and grouping reads them several times.
-    near = cut_lineage(search_words(fields, words))
-    scored = validate_groups(word_groups(near), fields)
+    scored = validate_groups(word_groups(search_words(fields, words)), fields)
     order = W.partitionBy(*FIELD).orderBy(F.desc("passed"), F.desc("adaptive_confidence"), F.desc("rank_score"), "line", "nth")
     best = scored.withColumn("place", F.row_number().over(order)).filter("place = 1")
     renamed = best.select(

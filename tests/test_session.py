@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from folioframe.operators import fields as loc
 from folioframe.session import BROADCAST_ROWS, cut_lineage
 
 
@@ -25,3 +26,15 @@ def test_empty_and_small_staged_tables(spark):
     assert "BroadcastHashJoin" in _plan(spark.range(10_000_000).join(small, "id"))
     assert cut_lineage(spark.range(3).filter("id > 5")).isEmpty()
     assert cut_lineage(spark.range(3).filter("1 = 0")).isEmpty()
+
+
+def test_word_groups_search_the_words_once(spark):
+    """What a join over tiles found is staged before medians, lines and members each read it."""
+    names = "page_id long, {} int, x_ratio double, y_ratio double, width_ratio double, height_ratio double"
+    fields = spark.createDataFrame([(1, 1, 0.1, 0.1, 0.5, 0.1)], names.format("field_id"))
+    words = spark.createDataFrame(
+        [(1, 1, 0.1, 0.1, 0.1, 0.02, "a", 0.5), (1, 2, 0.22, 0.1, 0.1, 0.02, "b", 0.7)], names.format("word_id") + ", text string, confidence double"
+    )
+    groups = loc.word_groups(loc.search_words(fields, words))
+    assert "tile_x" not in _plan(groups)
+    assert [(r.text, r.word_count, r.ocr_confidence) for r in groups.collect()] == [("a b", 2, 0.6)]
