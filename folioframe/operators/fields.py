@@ -10,7 +10,7 @@ from folioframe.functions.geometry import RATIO, Box, expand_by_share, intersect
 from folioframe.functions.numeric import clamp_sql, rnd_sql
 from folioframe.functions.text import anchor_form, ratio_bound, sequence_ratio, similarity_form
 from folioframe.operators.clusters import axis_clusters
-from folioframe.operators.spatial import RATIO_TILE, pair_overlaps
+from folioframe.operators.spatial import RATIO_TILE, crowded_keys, pair_overlaps
 from folioframe.session import cut_lineage
 
 FIELD = ["page_id", "field_id"]
@@ -31,7 +31,7 @@ def search_words(fields: DataFrame, words: DataFrame) -> DataFrame:
     )
     pairs = pair_overlaps(
         windows, words, ["page_id"], RATIO, RATIO_TILE,
-        lambda f, w: intersects(Box.field(f, RATIO), Box.field(w, RATIO)),
+        lambda f, w: intersects(Box.field(f, RATIO), Box.field(w, RATIO)), crowded_keys(fields, words, ["page_id"]),
     )
     return pairs.select("page_id", F.col("l.field_id").alias("field_id"), *[F.col(f"r.{c}").alias(c) for c in words.columns if c != "page_id"])
 
