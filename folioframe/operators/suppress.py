@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions.geometry import Box, intersection
-from folioframe.operators.spatial import pair_overlaps, with_tiles
+from folioframe.operators.spatial import crowded_keys, pair_overlaps, tiles_of
 from folioframe.session import cut_lineage
 
 
@@ -68,7 +68,9 @@ def greedy_keep(
     ranked = unique.withColumn("place", F.struct((-area if rule.largest_first else area).alias("a"), *rule.ties, "first_id"))
     unique = cut_lineage(ranked)
 
-    tiles = with_tiles(unique, Box.of(names), size)
+    # The few boxes of most pages share one tile, which makes fewer of them sure but copies none.
+    many = crowded_keys(unique, None, on)
+    tiles = tiles_of(unique, on, names, size, many).drop("tiled")
     tops = tiles.groupBy(*on, "tile_x", "tile_y").agg(
         F.min(F.struct("place", *names)).alias("top"), F.count("*").alias("crowd")
     )
@@ -90,7 +92,7 @@ def greedy_keep(
 
     before = lambda l, r: (l["place"] < r["place"]) & rule.removes(Box.field(l, names), Box.field(r, names))
     edges = cut_lineage(
-        pair_overlaps(undecided, undecided, on, names, size, before).select(
+        pair_overlaps(undecided, undecided, on, names, size, before, many).select(
             *on, F.col("l.first_id").alias("winner"), F.col("r.first_id").alias("loser")
         )
     )
