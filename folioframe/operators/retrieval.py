@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from folioframe.functions.numeric import clamp, rnd
 from folioframe.functions.similarity import count_similarity, grid_similarity, ratio_similarity
-from folioframe.operators.joins import salted_join
+from folioframe.operators.joins import CATALOG_ROWS, salted_join
 from folioframe.operators.matching import spatial_similarity
+from folioframe.operators.ranking import rank_batches
 from folioframe.operators.signature import LABELS, without_masked
 
 # Weights of the five parts, and how many templates a page keeps.
@@ -114,6 +115,22 @@ def top_templates(scored: DataFrame, k: int | None = TOP_K, include_template: in
     return ranked.filter(keep)
 
 
+def ranked_templates(
+    queries: DataFrame, templates: DataFrame, k: int | None = TOP_K, include_template: int | None = None, newest: str | None = None
+) -> DataFrame:
+    """`top_templates` of all routed pairs. Pages meet a catalog counted to be small batch by batch and no pair becomes a row; a larger one is joined."""
+    if templates.limit(CATALOG_ROWS + 1).count() <= CATALOG_ROWS:
+        return rank_batches(queries, templates, list(WEIGHTS.values()), k, include_template, newest)
+    return top_templates(score_pairs(route_pairs(queries, templates)), k, include_template, newest)
+
+
+def scored_templates(queries: DataFrame, templates: DataFrame) -> DataFrame:
+    """`score_pairs` of all routed pairs, in the same two ways."""
+    if templates.limit(CATALOG_ROWS + 1).count() <= CATALOG_ROWS:
+        return rank_batches(queries, templates, list(WEIGHTS.values()), ranked=False)
+    return score_pairs(route_pairs(queries, templates))
+
+
 def document_retrieval(ranked: DataFrame, limit: int = 10) -> DataFrame:
     """Templates per document: mean score over the pages on which they were retrieved."""
     grouped = ranked.groupBy("doc_id", "template_id").agg(

@@ -135,16 +135,15 @@ def template_signatures(spark: SparkSession, sf: str, include: int | None = None
     return cut_lineage(stored)
 
 
-def scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = retrieval.route_pairs(page_signatures(spark, sf), template_signatures(spark, sf))
-    return retrieval.score_pairs(pairs)
+def ranked_templates(spark: SparkSession, sf: str, k: int = retrieval.TOP_K) -> DataFrame:
+    return retrieval.ranked_templates(page_signatures(spark, sf), template_signatures(spark, sf), k)
 
 
 @query("sc01_top01_template_retrieval", oracle(SCORED + """
 SELECT page_id, CAST(rank AS INTEGER) AS rank, template_id, template_page_id, score, aspect_score, label_count_score,
        area_distribution_score, grid_score, spatial_score FROM ranked WHERE rank <= 5""", *SCORE_NEEDS))
 def template_retrieval(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = retrieval.top_templates(scored_pairs(spark, sf))
+    ranked = ranked_templates(spark, sf)
     return ranked.select("page_id", "rank", "template_id", "template_page_id", "score", *retrieval.SCORES)
 
 
@@ -156,7 +155,7 @@ SELECT doc_id, template_id, matched_pages, best_score, score,
        CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template_id) AS INTEGER) AS rank
 FROM by_doc QUALIFY rank <= 10""", *SCORE_NEEDS))
 def document_retrieval(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.document_retrieval(retrieval.top_templates(scored_pairs(spark, sf), k=10))
+    return retrieval.document_retrieval(ranked_templates(spark, sf, k=10))
 
 
 # The included template is a draft; equal scores go to the higher version.
@@ -182,8 +181,7 @@ SELECT page_id, CAST(rank AS INTEGER) AS rank, template_id, template_page_id, sc
 def included_template(spark: SparkSession, sf: str) -> DataFrame:
     """Two templates a page, newest version first among equals, and the draft that the user works on wherever it comes."""
     stored = template_signatures(spark, sf, INCLUDED).withColumnRenamed("version_number", "template_version")
-    scored = retrieval.score_pairs(retrieval.route_pairs(page_signatures(spark, sf), stored))
-    ranked = retrieval.top_templates(scored, 2, INCLUDED, "template_version")
+    ranked = retrieval.ranked_templates(page_signatures(spark, sf), stored, 2, INCLUDED, "template_version")
     return ranked.select("page_id", "rank", "template_id", "template_page_id", "score")
 
 
@@ -221,7 +219,7 @@ def masked_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     """The retrieval where templates hide parts of the page from the comparison."""
     boxes = ", ".join("named_struct(" + ", ".join(f"'{n}', {v}D" for n, v in zip(RATIO, m)) + ")" for m in MASKS)
     stored = template_signatures(spark, sf, maskable=True).withColumn("template_masks", F.expr(f"CASE WHEN template_page_id % 40 = 0 THEN array({boxes}) END"))
-    ranked = retrieval.top_templates(retrieval.score_pairs(retrieval.route_pairs(page_signatures(spark, sf, maskable=True), stored)))
+    ranked = retrieval.ranked_templates(page_signatures(spark, sf, maskable=True), stored)
     return ranked.select("page_id", "rank", "template_id", "template_page_id", "score", *retrieval.SCORES)
 
 

@@ -19,8 +19,7 @@ def stream_detection(
     """
 
     def rank(batch: DataFrame, batch_id: int) -> None:
-        pairs = retrieval.route_pairs(signatures(batch), templates)
-        top = retrieval.top_templates(retrieval.score_pairs(pairs), k)
+        top = retrieval.ranked_templates(signatures(batch), templates, k)
         top.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     return (
