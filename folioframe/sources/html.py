@@ -23,9 +23,20 @@ def _quoted(text: str) -> str:
     return "'" + "".join(f"\\u{int.from_bytes(u, 'big'):04x}" for u in re.findall(b"(?s)..", text.encode("utf-16-be"))) + "'"
 
 
-def _named() -> str:
-    """Characters of the named references that end in a semicolon, by the table of Python's library."""
-    return "map(" + ", ".join(f"'&{name}', {_quoted(text)}" for name, text in sorted(html5.items()) if name.endswith(";")) + ")"
+def _named(name: str) -> str:
+    """SQL for the characters of a named reference that ends in a semicolon, by the table of Python's library; null for any other.
+
+    A lookup walks through a map's keys, so the names lie in small maps by their first and second letter.
+    """
+    shelves: dict[str, list[str]] = {}
+    for known, text in sorted(html5.items()):
+        if known.endswith(";"):
+            shelves.setdefault(known[:2], []).append(f"'&{known}', {_quoted(text)}")
+    letters: dict[str, list[str]] = {}
+    for head, entries in shelves.items():
+        letters.setdefault(head[0], []).append(f"'{head}', map({', '.join(entries)})")
+    held = "map(" + ", ".join(f"'{letter}', map({', '.join(inner)})" for letter, inner in letters.items()) + ")"
+    return f"try_element_at(try_element_at(try_element_at({held}, substr({name}, 2, 1)), substr({name}, 2, 2)), {name})"
 
 
 def _numbered(code: str) -> str:
@@ -55,7 +66,7 @@ def _inner_text(expr: str) -> str:
     plain_number = f"CASE WHEN length({digits.format(3, 3)}) <= 7 THEN cast(substr(p, 3, length(p) - 3) AS bigint) END"
     piece = (
         f"CASE WHEN rlike(p, '^&#[xX].') THEN {_numbered(hexed)} WHEN rlike(p, '^&#.') THEN {_numbered(plain_number)}"
-        f" WHEN rlike(p, '^&.') THEN coalesce(try_element_at({_named()}, p), p) ELSE p END"
+        f" WHEN rlike(p, '^&.') THEN coalesce({_named('p')}, p) ELSE p END"
     )
     readable = f"array_join(transform(regexp_extract_all(t, '{ENTITY}', 0), p -> {piece}), '')"
     squeezed = "trim(regexp_replace({0}, '[\\\\s\\\\u00A0]+', ' '))"
@@ -88,7 +99,7 @@ def table_cells(documents: DataFrame, key: str, html: str) -> DataFrame:
         f" '(?is)<tr\\\\b[^>]*>(.*?)</tr>', 1), r -> transform({cells}, c -> {one}))"
     )
     # The generator keeps later expressions from repeating the parse.
-    single = documents.selectExpr(key, f"posexplode(CASE WHEN size({bodies}) > 0 THEN {bodies} ELSE array({html}) END) AS (table_no, body)")
+    single = documents.selectExpr(key, f"posexplode(element_at(transform(array({bodies}), b -> CASE WHEN size(b) > 0 THEN b ELSE array({html}) END), 1)) AS (table_no, body)")
     flat = single.selectExpr(key, "table_no", f"explode(array({parsed})) AS html_rows")
     plain = (
         f"cast(flatten(transform(html_rows, (r, i) -> transform(r, (c, j) -> named_struct('row_no', i, 'col_no', j, 'text', c.text,"
