@@ -244,6 +244,8 @@ def assign_to_grid(boxes: DataFrame, grid: DataFrame) -> DataFrame:
     joined = boxes.join(grid, GROUP).withColumn(
         "row_no", F.expr(dominant_interval("y", "(y + height)", "row_bounds", "y_tol"))
     ).withColumn("hard_no", F.expr(dominant_interval("x", "(x + width)", "hard_bounds", "x_tol")))
+    # Counting and placing both read the boxes with their intervals, which cost more than anything else here.
+    joined = cut_lineage(joined)
     mid = "(get(col_bounds, i) + get(col_bounds, i + 1)) / 2"
     inside = (
         f"filter(sequence(0, size(col_bounds) - 2), i -> size(hard_bounds) < 2 OR {mid} BETWEEN"
@@ -252,7 +254,8 @@ def assign_to_grid(boxes: DataFrame, grid: DataFrame) -> DataFrame:
     joined = joined.withColumn("allowed", F.expr(inside)).withColumn(
         "allowed", F.expr("CASE WHEN size(allowed) = 0 THEN sequence(0, size(col_bounds) - 2) ELSE allowed END")
     )
-    peers = joined.groupBy("group_id", "row_no").agg(F.count("*").alias("peers"))
+    # Only the first row asks how many boxes it has.
+    peers = joined.filter("row_no = 0").groupBy("group_id").agg(F.count("*").alias("peers"))
     crossed = (
         "filter(sequence(1, greatest(1, size(col_bounds) - 2)), i -> i <= size(col_bounds) - 2 AND x < get(col_bounds, i) - x_tol"
         " AND x + width > get(col_bounds, i) + x_tol AND (array_contains(allowed, i - 1) OR array_contains(allowed, i)))"
@@ -266,7 +269,7 @@ def assign_to_grid(boxes: DataFrame, grid: DataFrame) -> DataFrame:
     best = (
         f"element_at(transform(array(transform(allowed, i -> {score})), s -> get(allowed, cast(array_position(s, array_max(s)) AS int) - 1)), 1)"
     )
-    return joined.join(peers, ["group_id", "row_no"]).withColumn("crossed", F.expr(crossed)).selectExpr(
+    return joined.join(peers, GROUP, "left").withColumn("crossed", F.expr(crossed)).selectExpr(
         *boxes.columns, "row_no",
         f"cast(CASE WHEN row_no = 0 AND peers <= 1 AND size(crossed) > 0 THEN greatest(0, array_min(crossed) - 1) ELSE {best} END AS int) AS col_no",
         "row_bounds", "col_bounds", "hard_bounds",

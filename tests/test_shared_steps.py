@@ -12,8 +12,8 @@ from folioframe.sources import html
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["tbl17_header_keys", "tbl18_row_kinds"])
-def test_cells_are_derived_once(spark, name):
+@pytest.mark.parametrize("name", ["tbl17_header_keys", "tbl18_row_kinds", "tbl09_grid_assignment", "agg12_grid_diagnostics", "tbl10_compact_columns"])
+def test_inputs_are_derived_once(spark, name):
     registry.load()
     assert "lineitem" not in "".join(registry.QUERIES[name](spark, SF).inputFiles())
 
