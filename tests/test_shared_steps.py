@@ -35,3 +35,21 @@ def test_named_references_lie_in_small_maps(spark):
     got = {r.p: r.t for r in asked.select("p", F.expr(found).alias("t")).collect()}
     assert {n: got[f"&{n}"] for n in names} == {n: html5[n] for n in names}
     assert [got[f"&{n}"] for n in ("nosuch;", "x;", "zz", "1;")] == [None] * 4
+
+
+def test_records_come_from_cells_packed_once(spark):
+    line = lambda row, texts: [(1, row, c, t, 1, 1, False) for c, t in enumerate(texts) if t is not None]
+    data = [(1, 0, 0, "item", 1, 1, False), (1, 0, 1, "amount", 1, 2, False), (1, 0, 2, "", 1, 1, True), (1, 0, 3, "note", 1, 1, False)]
+    data += line(1, ["", "net", "gross", ""])
+    for row in range(2, 8):
+        data += line(row, [f"a{row}", f"b{row}", f"c{row}", f"d{row}"])
+    # After a missing row a summary, then a row without a text; the second table has gaps, hidden cells and no summary.
+    data += line(9, ["sum", None, None, "9"]) + line(10, ["tax", "", "", "1"]) + line(11, [".", "-", "", " "])
+    data += [(2, 0, 0, "k", 1, 1, False), (2, 0, 1, "v", 1, 1, False), (2, 3, 1, "x", 1, 1, False), (2, 4, 0, "y", 1, 1, False), (2, 4, 1, "z", 1, 1, True), (2, 5, 0, "gone", 1, 1, True)]
+    cells = spark.createDataFrame(data, "table_id int, row_no int, col_no int, text string, row_span int, col_span int, hidden boolean")
+    records = grids.key_value_records(cells)
+    got = {(r.table_id, r.row_no): [tuple(e) for e in r.entries] for r in records.collect()}
+    heads = ("item", "amount net", "amount gross", "note")
+    want = {(1, row): list(zip(heads, (f"a{row}", f"b{row}", f"c{row}", f"d{row}"))) for row in range(2, 8)}
+    assert got == {**want, (2, 3): [("k", ""), ("v", "x")], (2, 4): [("k", "y"), ("v", "")]}
+    assert records._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 12
