@@ -20,6 +20,8 @@ CONFIDENCE_KEYS = ("rec_score", "confidence", "score", "prob")
 
 #: Levels of nesting that a body may have; one with more is rejected as a whole.
 LEVELS = 40
+#: Levels opened at a time, so that a flat body is done after the first few; divides LEVELS.
+LEVEL_BLOCK = 4
 NODE = "struct<path: array<int>, raw: string, v: variant, o: map<string, variant>, a: array<variant>>"
 ITEM = "struct<kind: string, score: double, box: struct<left: double, top: double, right: double, bottom: double>, reason: string>"
 NUMERIC = "^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"
@@ -50,12 +52,24 @@ def _node(path: str, raw: str, v: str) -> str:
     )
 
 
+def _value(n: str, key: str, kind: str) -> str:
+    """SQL for the value of a key of an object, null where it has none: a path that a variant lacks ends in an exception inside, so the map is asked."""
+    return f"try_variant_get(element_at({n}.o, '{key}'), '$', '{kind}')"
+
+
 def _children(n: str) -> str:
-    """SQL for the objects, and arrays with objects inside, right below a node, in order."""
-    held = _let("m", f"from_json({n}.raw, 'map<string,string>')", "transform(map_keys(m), (k, i) -> {})".format(_node(f"concat({n}.path, array(i))", "element_at(m, k)", f"element_at({n}.o, k)")))
-    listed = _let("r", f"from_json({n}.raw, 'array<string>')", f"transform({n}.a, (e, i) -> {_node(f'concat({n}.path, array(i))', 'get(r, i)', 'e')})")
-    every = f"CASE WHEN {n}.o IS NOT NULL THEN {held} WHEN {n}.a IS NOT NULL THEN {listed} ELSE CAST(array() AS array<{NODE}>) END"
-    return f"filter({every}, c -> (c.o IS NOT NULL OR c.a IS NOT NULL) AND contains(c.raw, '{{'))"
+    """SQL for the objects, and arrays with objects inside, right below a node, in order.
+
+    Only values with a brace in their text become nodes, and an object with no brace but its own is not read again.
+    """
+    braced = "filter(transform({0}, (t, i) -> named_struct('i', i, 't', t)), c -> contains(c.t, '{{'))"
+    node = f"concat({n}.path, array(c.i))"
+    held = _let("m", f"from_json({n}.raw, 'map<string,string>')", f"transform({braced.format('map_values(m)')}, c -> {_node(node, 'c.t', f'element_at({n}.o, get(map_keys(m), c.i))')})")
+    listed = f"transform({braced.format(f"from_json({n}.raw, 'array<string>')")}, c -> {_node(node, 'c.t', f'get({n}.a, c.i)')})"
+    alone = f"locate('{{', {n}.raw, locate('{{', {n}.raw) + 1) = 0"
+    nothing = f"CAST(array() AS array<{NODE}>)"
+    every = f"CASE WHEN {n}.o IS NOT NULL AND {alone} THEN {nothing} WHEN {n}.o IS NOT NULL THEN {held} WHEN {n}.a IS NOT NULL THEN {listed} ELSE {nothing} END"
+    return f"filter({every}, c -> c.o IS NOT NULL OR c.a IS NOT NULL)"
 
 
 def _before(x: str, y: str) -> str:
@@ -72,7 +86,8 @@ def opened(responses: DataFrame, key: str, body: str) -> DataFrame:
     state = f"struct<front: array<{NODE}>, seen: array<{NODE}>>"
     step = f"CASE WHEN size(s.front) = 0 THEN s ELSE named_struct('front', flatten(transform(s.front, n -> {_children('n')})), 'seen', concat(s.seen, filter(s.front, n -> n.o IS NOT NULL))) END"
     walked = source.withColumn("root", root).withColumn(
-        "w", F.expr(f"aggregate(sequence(1, {LEVELS}), CAST(named_struct('front', root, 'seen', array()) AS {state}), (s, i) -> {step})"))
+        "w", F.expr(f"aggregate(sequence(1, {LEVELS // LEVEL_BLOCK}), CAST(named_struct('front', root, 'seen', array()) AS {state}),"
+                    f" (t, b) -> CASE WHEN size(t.front) = 0 THEN t ELSE aggregate(sequence(1, {LEVEL_BLOCK}), t, (s, i) -> {step}) END)"))
     blank = ~F.coalesce("raw", F.lit("")).rlike(r"[^\x20\t\n\r]")
     broken = F.when(F.col("v").isNull() & ~blank, "malformed_body").when(F.size("w.front") > 0, "nested_too_deep")
     objects = F.expr(f"array_sort(w.seen, (x, y) -> {_before('x', 'y')})")
@@ -89,22 +104,22 @@ def _corners(value: str) -> str:
     return _let("q", f"try_variant_get({value}, '$', 'array<variant>')", f"CASE WHEN q IS NOT NULL THEN {read} END")
 
 
-def _number(v: str, key: str) -> str:
+def _number(n: str, key: str) -> str:
     """SQL for a value that is a number, not a text of one."""
-    return f"CASE WHEN schema_of_variant(try_variant_get({v}, '$.{key}', 'variant')) RLIKE '{NUMERIC}' THEN try_variant_get({v}, '$.{key}', 'double') END"
+    return f"CASE WHEN schema_of_variant(element_at({n}.o, '{key}')) RLIKE '{NUMERIC}' THEN {_value(n, key, 'double')} END"
 
 
 def _loose_item(n: str) -> str:
     """SQL for the item that an object is; null where nothing in it means a box."""
     lists = ", ".join(f"CASE WHEN map_contains_key({n}.o, '{k}') THEN {_let('u', f"element_at({n}.o, '{k}')", _corners('u'))} END" for k in BOX_KEYS)
-    x, y, w, h = (f"try_variant_get({n}.v, '$.{k}', 'double')" for k in EDGE_KEYS)
+    x, y, w, h = (_value(n, k, "double") for k in EDGE_KEYS)
     edges = f"CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL AND {w} IS NOT NULL AND {h} IS NOT NULL THEN named_struct('left', {x}, 'top', {y}, 'right', {x} + {w}, 'bottom', {y} + {h}) END"
     has = lambda k: f"map_contains_key({n}.o, '{k}')"
-    meant = [f"({has(k)} AND try_variant_get({n}.v, '$.{k}', 'map<string,variant>') IS NULL)" for k in BOX_KEYS if k != "dt_polys"] + ["(" + " AND ".join(map(has, EDGE_KEYS)) + ")"]
+    meant = [f"({has(k)} AND {_value(n, k, 'map<string,variant>')} IS NULL)" for k in BOX_KEYS if k != "dt_polys"] + ["(" + " AND ".join(map(has, EDGE_KEYS)) + ")"]
     empty = ", ".join(f"'{e}'" for e in EMPTY_VALUES)
     labels = ", ".join(
-        _let("t", f"try_variant_get({n}.v, '$.{k}', 'string')", f"CASE WHEN t <> '' AND (t NOT IN ({empty}) OR schema_of_variant(element_at({n}.o, '{k}')) = 'STRING') THEN t END") for k in LABEL_KEYS)
-    scores = ", ".join(_number(f"{n}.v", k) for k in SCORE_KEYS)
+        _let("t", _value(n, k, "string"), f"CASE WHEN t <> '' AND (t NOT IN ({empty}) OR schema_of_variant(element_at({n}.o, '{k}')) = 'STRING') THEN t END") for k in LABEL_KEYS)
+    scores = ", ".join(_number(n, k) for k in SCORE_KEYS)
     item = f"named_struct('kind', coalesce({labels}, 'text'), 'score', coalesce({scores}, 0.0D), 'box', b, 'reason', CASE WHEN b IS NULL THEN 'no_usable_box' END)"
     return _let("b", f"coalesce({lists}, {edges})", f"CASE WHEN b IS NOT NULL OR {' OR '.join(meant)} THEN {item} END")
 
@@ -113,8 +128,8 @@ def _polygon_items(n: str) -> str:
     """SQL for the polygons of an object, paired with its scores by place; those of an object with `res` are those of `res`, an object of its own."""
     item = "named_struct('kind', 'text', 'score', coalesce(try_variant_get(get(s, i), '$', 'double'), 0.0D), 'box', b, 'reason', CASE WHEN b IS NULL THEN 'no_usable_box' END)"
     one = _let("b", _corners("p"), item)
-    every = _let("s", f"coalesce(try_variant_get({n}.v, '$.dt_scores', 'array<variant>'), CAST(array() AS array<variant>))", f"transform(try_variant_get({n}.v, '$.dt_polys', 'array<variant>'), (p, i) -> {one})")
-    return f"CASE WHEN try_variant_get({n}.v, '$.res', 'map<string,variant>') IS NULL THEN {every} END"
+    every = _let("s", f"coalesce({_value(n, 'dt_scores', 'array<variant>')}, CAST(array() AS array<variant>))", f"transform({_value(n, 'dt_polys', 'array<variant>')}, (p, i) -> {one})")
+    return f"CASE WHEN map_contains_key({n}.o, 'dt_polys') AND {_value(n, 'res', 'map<string,variant>')} IS NULL THEN {every} END"
 
 
 def _spread(opened_bodies: DataFrame, key: str, items: str) -> DataFrame:
@@ -157,7 +172,7 @@ def readings(responses: DataFrame, key: str, body: str) -> DataFrame:
     blanks = r"^[\\s\\x1c-\\x1f\\x85\\p{Z}]+|[\\s\\x1c-\\x1f\\x85\\p{Z}]+$"
     text = lambda k: f"CASE WHEN schema_of_variant(element_at(n.o, '{k}')) = 'STRING' THEN regexp_replace(try_variant_get(n.v, '$.{k}', 'string'), '{blanks}', '') END"
     texts = f"flatten(transform(objects, n -> array({', '.join(map(text, TEXT_KEYS))})))"
-    scores = f"flatten(transform(objects, n -> array({', '.join(_number('n.v', k) for k in CONFIDENCE_KEYS)})))"
+    scores = f"flatten(transform(objects, n -> array({', '.join(_number('n', k) for k in CONFIDENCE_KEYS)})))"
     found = opened(responses, key, body).select(F.col(key), "broken", F.expr(f"filter({texts}, t -> t <> '')").alias("texts"), F.expr(f"filter({scores}, c -> c IS NOT NULL)").alias("scores"))
     mean = F.expr("CASE WHEN size(scores) > 0 THEN aggregate(scores, 0.0D, (s, c) -> s + c) / size(scores) ELSE 0.0D END")
     return found.select(key, F.coalesce(F.array_join(F.array_distinct("texts"), " "), F.lit("")).alias("text"), mean.alias("confidence"), F.col("broken").alias("reason"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioframe.operators import grids
 from folioframe.plans import registry
-from folioframe.sources import html
+from folioframe.sources import html, responses
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +53,17 @@ def test_records_come_from_cells_packed_once(spark):
     want = {(1, row): list(zip(heads, (f"a{row}", f"b{row}", f"c{row}", f"d{row}"))) for row in range(2, 8)}
     assert got == {**want, (2, 3): [("k", ""), ("v", "x")], (2, 4): [("k", "y"), ("v", "")]}
     assert records._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 12
+
+
+def test_responses_are_opened_in_blocks_and_keys_looked_up(spark):
+    item = '{{"label": "{0}", "bbox": [1, 2, 3, 4], "score": 0.5}}'.format
+    nested = lambda depth: '{"in": ' * (depth - 1) + item(f"d{depth}") + "}" * (depth - 1)
+    depths = [1, 2, responses.LEVEL_BLOCK, responses.LEVEL_BLOCK + 1, 2 * responses.LEVEL_BLOCK + 1, responses.LEVELS, responses.LEVELS + 1]
+    bodies = [(d, nested(d)) for d in depths]
+    bodies += [(100, f'[[{item("a{b")}], 7, "{{", {{"x": "{{}}", "deep": [{item("}{")}]}}]'), (101, f'  {{"k": "{{", "o": {item("o")}}}')]
+    df = spark.createDataFrame(bodies, "page_id int, body string")
+    got = sorted((r.page_id, r.nth, r.kind) for r in responses.detection_items(df, "page_id", "body").collect())
+    assert got == [(d, 0, f"d{d}") for d in depths[:-1]] + [(100, 0, "a{b"), (100, 1, "}{"), (101, 0, "o")]
+    assert [(r.page_id, r.reason) for r in responses.rejected_items(df, "page_id", "body").collect()] == [(responses.LEVELS + 1, "nested_too_deep")]
+    # A path that a variant lacks costs an exception, so keys that may be missing are looked up in the map.
+    assert "'$.label'" not in responses.LOOSE and "'$.dt_polys'" not in responses.POLYGONS
