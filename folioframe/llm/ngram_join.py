@@ -33,11 +33,16 @@ from folioframe.llm.graph import components
 from folioframe.llm.substring import run_hashes
 
 SHINGLE, GROUPS, LEAF = 5, 128, 32
+#: Places of a token among its set's tokens are told in this many steps, in the last bits of the token.
+PLACE_BITS = 8
+PLACES = 1 << PLACE_BITS
 TABLE_BITS, SLICE = 20, 4096
 #: Rows up to which the wanted texts or pairs are broadcast (24 bytes each); beyond it they are shuffled.
 BROADCAST_ROWS = 400_000
 #: A grid cell of the finer bound holds about this many bytes of marks per side, and about this many pairs.
 BLOCK_BYTES, CELL_PAIRS = 8 << 20, 500_000
+#: Pairs that a task of the leaves gathers to drop repeats among them (16 bytes each).
+HELD_PAIRS = 2_000_000
 
 #: Bytes hashed at a time; a chunk ends at a blank.
 CHUNK = 2 << 20
@@ -179,7 +184,11 @@ def crowding(seen: DataFrame) -> np.ndarray:
 
 
 def buckets(texts: DataFrame, levels: np.ndarray, share: int) -> DataFrame:
-    """(token, node, hub) of all nodes that share a prefix token with another; hub is the first node of the token."""
+    """(token, node, place, hub) of all nodes that share a prefix token with another; hub is the first node of the token.
+
+    `place` is the share of the node's tokens that come before this one in the common order, in parts of PLACES, rounded down. It takes the last bits of the token's
+    hash, so that it costs no room in the shuffle; tokens that differ in these bits only share a bucket.
+    """
     order = texts.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
@@ -194,17 +203,20 @@ def buckets(texts: DataFrame, levels: np.ndarray, share: int) -> DataFrame:
                     local.add(node)
                     length = len(s) - -(-share * len(s) // 100) + 1
                     first = s[np.argsort(order.value[_slots(s)], kind="stable")[:length]]
-                    tokens.append(first.view(np.int64))
-                    nodes.append(np.full(length, node, dtype=np.int64))
+                    place = (np.arange(len(first)) * PLACES // len(s)).astype(np.uint64)
+                    tokens.append(((first & ~np.uint64(PLACES - 1)) | place).view(np.int64))
+                    nodes.append(np.full(len(first), node, dtype=np.int64))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(nodes))], names=["token", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(nodes))], names=["placed", "node"])
 
-    rows = texts.mapInArrow(run, "token long, node long")
-    at = Window.partitionBy("token").orderBy("node")
+    token = F.shiftright("placed", PLACE_BITS)
+    rows = texts.mapInArrow(run, "placed long, node long").repartition(token)
+    rows = rows.select(token.alias("token"), "node", F.col("placed").bitwiseAND(PLACES - 1).cast("short").alias("place"))
+    at = Window.partitionBy("token").orderBy("node", "place")
     rows = rows.withColumn("before", F.lag("node").over(at)).withColumn("after", F.lead("node").over(at)).withColumn("hub", F.first("node").over(at))
     new = F.col("before").isNull() | (F.col("before") != F.col("node"))
     shared = F.col("before").isNotNull() | (F.col("after").isNotNull() & (F.col("after") != F.col("node")))
-    return rows.where(new & shared).select("token", "node", "hub")
+    return rows.where(new & shared).select("token", "node", "place", "hub")
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
@@ -297,9 +309,12 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b) that are linked, decided on the sets. Texts of other nodes are dropped at the scan."""
-    pairs = cut_lineage(_marked(cut_lineage(_bounded(pairs, nodes, share)), nodes, texts, share))
+def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, share: int, bounded: bool = False) -> DataFrame:
+    """The pairs (a, b) that are linked, decided on the sets. Texts of other nodes are dropped at the scan.
+
+    `bounded` says that sizes and summed minima have been compared for these pairs already.
+    """
+    pairs = cut_lineage(_marked(cut_lineage(pairs if bounded else _bounded(pairs, nodes, share)), nodes, texts, share))
     place = nodes.select("node", "key", "mark")
     left = cut_lineage(pairs.join(place.withColumnRenamed("node", "a"), "a"))
     right = cut_lineage(pairs.select("b").distinct().join(place.withColumnRenamed("node", "b"), "b"))
@@ -324,41 +339,62 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, share: int) ->
 
 
 def leaf_pairs(members: DataFrame, share: int) -> DataFrame:
-    """(a, b) of different components that may be linked, from `members` (token, node, n, point, component).
+    """(a, b) of different components that may be linked, from `members` (token, node, n, point, component and, if known, place).
 
     A leaf holds up to LEAF members of a bucket, next to each other in size; its corner is the largest count per group. Leaf pairs are cut by
-    size and by the corners' bound before any two points are compared.
+    size and by the corners' bound before any two points are compared. In the bucket of the first token that two sets have in common their overlap is
+    at most what either set has from there on, so a pair whose places are too far back here is left to an earlier bucket, or is in none.
     """
+    if "place" not in members.columns:
+        members = members.withColumn("place", F.lit(0).cast("short"))
     at = Window.partitionBy("token").orderBy("n", "node")
-    leaves = members.withColumn("leaf", F.floor((F.row_number().over(at) - 1) / LEAF)).groupBy("token", "leaf").agg(
-        F.collect_list(F.struct("node", "n", "component", "point")).alias("held"), F.min("n").alias("low"), F.max("n").alias("high"),
+    ranked = members.withColumn("leaf", F.floor((F.row_number().over(at) - 1) / LEAF)).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token")))
+    leaves = ranked.groupBy("token", "leaf").agg(
+        F.collect_list(F.struct("node", "n", "component", "place", "point")).alias("held"), F.min("n").alias("low"), F.max("n").alias("high"), F.first("c").alias("c"),
     )
     leaves = cut_lineage(leaves)
-    other = leaves.select("token", F.col("leaf").alias("leaf2"), F.col("held").alias("held2"), F.col("low").alias("low2"))
-    across = leaves.join(other, "token").where((F.col("leaf") < F.col("leaf2")) & (100 * F.col("high") >= share * F.col("low2")))
+    several = leaves.where(F.col("c") > LEAF)  # most buckets are one leaf and need no join
+    other = several.select("token", F.col("leaf").alias("leaf2"), F.col("held").alias("held2"), F.col("low").alias("low2"))
+    across = several.join(other, "token").where((F.col("leaf") < F.col("leaf2")) & (100 * F.col("high") >= share * F.col("low2")))
     inner = leaves.where(F.size("held") > 1).select("held", F.lit(None).cast(leaves.schema["held"].dataType).alias("held2"))
 
     def arrays(held):
         return (np.array([h["node"] for h in held], dtype=np.int64), np.array([h["n"] for h in held], dtype=np.int64),
-                np.array([h["component"] for h in held], dtype=np.int64), unpack_points([h["point"] for h in held]))
+                np.array([h["component"] for h in held], dtype=np.int64), np.array([PLACES - h["place"] for h in held], dtype=np.int64),
+                unpack_points([h["point"] for h in held]))
+
+    def told(found):
+        both = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     def run(batches):
+        found, held = [], 0
         for batch in batches:
-            found = []
             for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n1, s1, c1, p1 = arrays(one)
-                n2, s2, c2, p2 = arrays(two) if two is not None else (n1, s1, c1, p1)
+                n1, s1, c1, r1, p1 = arrays(one)
+                n2, s2, c2, r2, p2 = arrays(two) if two is not None else (n1, s1, c1, r1, p1)
+                sizes = s1[:, None] + s2[None, :]
+                behind = (100 + share) * np.minimum((s1 * r1)[:, None], s2 * r2) >= PLACES * share * sizes
+                behind &= (100 * np.minimum(s1[:, None], s2) >= share * np.maximum(s1[:, None], s2)) & (c1[:, None] != c2)
+                if not behind.any():
+                    continue
                 corner = int(np.minimum(p1.max(axis=0), p2.max(axis=0)).sum())
                 if (100 + share) * corner < share * int(s1.min() + s2.min()):
                     continue
-                bound = np.minimum(p1[:, None, :], p2[None, :, :]).sum(axis=2)
-                sizes = s1[:, None] + s2[None, :]
-                ok = ((100 + share) * bound >= share * sizes) & (100 * np.minimum(s1[:, None], s2) >= share * np.maximum(s1[:, None], s2)) & (c1[:, None] != c2)
-                i, j = np.nonzero(ok)
+                i, j = np.nonzero(behind)
+                ok = (100 + share) * np.minimum(p1[i], p2[j]).sum(axis=1) >= share * sizes[i, j]
+                i, j = i[ok], j[ok]
                 a, b = np.maximum(n1[i], n2[j]), np.minimum(n1[i], n2[j])
                 found.append(np.stack([a, b], axis=1))
-            both = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+                held += len(a)
+                if held > HELD_PAIRS:  # a pair of many buckets is told once
+                    found = [np.unique(np.concatenate(found), axis=0)]
+                    held = len(found[0])
+                    if held > HELD_PAIRS // 2:
+                        yield told(found)
+                        found, held = [], 0
+        if found:
+            yield told(found)
 
     return across.select("held", "held2").union(inner).mapInArrow(run, "a long, b long").distinct()
 
@@ -412,15 +448,17 @@ def linked(docs: DataFrame, key: str, share: int) -> tuple[DataFrame, DataFrame]
     tied = cut_lineage(components(links))
     # Buckets that still hold several components: leaves and bounds.
     labelled = cut_lineage(_apart(shared, tied))
-    # One bucket of each member set, named by its size and two hashes.
+    # The smaller set of a linked pair has its first common token no further back than (100 - share) / (100 + share): buckets without such a member go.
+    # One bucket of each member set, named by its size and two hashes: the one whose token comes first in the common order, so in every member.
     mixed = labelled.groupBy("token").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
-    ).where("lo <> hi").groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token")
-    members = labelled.join(mixed, "token", "left_semi").join(nodes.select("node", "n", "point"), "node").select("token", "node", "n", "point", "component")
+        F.sum("place").alias("places"), F.min("place").alias("least"),
+    ).where((F.col("lo") != F.col("hi")) & ((PLACES - F.col("least")) * (100 + share) >= 2 * share * PLACES)).groupBy("c", "x", "y").agg(F.min_by("token", F.struct("places", "token")).alias("token")).select("token")
+    members = labelled.join(mixed, "token", "left_semi").join(nodes.select("node", "n", "point"), "node").select("token", "node", "n", "point", "component", "place")
     last = leaf_pairs(members, share)
     tried = best.union(second).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links = links.union(verify(last.join(tried, ["a", "b"], "left_anti"), nodes, texts, share))
+    links = links.union(verify(last.join(tried, ["a", "b"], "left_anti"), nodes, texts, share, bounded=True))
     tied = components(links)
 
     named = nodes.select("node", "key").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))

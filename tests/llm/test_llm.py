@@ -369,6 +369,15 @@ def test_ngram_join_on_a_drifting_group(spark):
     assert pairs(members, 75).count() == 70 * 69 // 2
 
 
+def test_leaf_pairs_far_back_in_both_sets_are_left_out(spark):
+    """Two sets of a size whose first common token has a seventh of either before it cannot reach 75 percent; nearer to the start they can."""
+    point = bytearray(ngram_join.pack_point(np.full(ngram_join.GROUPS, 2)))
+    far = ngram_join.PLACES * 25 // 175 + 1
+    rows = [(t, i, 2 * ngram_join.GROUPS, point, i, far if t == 1 else far - 1) for t in (1, 2) for i in range(100 * t, 100 * t + 70)]
+    got = ngram_join.leaf_pairs(spark.createDataFrame(rows, "token long, node long, n long, point binary, component long, place short"), 75).collect()
+    assert len(got) == 70 * 69 // 2 and all(r["b"] >= 200 for r in got)
+
+
 def test_shingle_sets_of_a_slice():
     """Sets do not depend on the slice or the chunk that a text is hashed in; words are the same as in the plain split."""
     texts = ["", " ", None, "a b", "A b\x0bc\td e\rf g", "\n\n", "q" * (ngram_join.CHUNK + 9) + " and a tail of words", prose(3, 400), prose(3, 400).upper()]
