@@ -1,12 +1,15 @@
 """Steps that several queries share: inputs derived once, and lookups and joins that stay small."""
 
+import random
 from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioframe.operators import grids
-from folioframe.plans import registry
+from folioframe.operators import cascade, clusters, grids, repair, tables
+from folioframe.plans import cascade as plan_cascade
+from folioframe.plans import pairing, registry
+from folioframe.session import cut_lineage
 from folioframe.sources import html, responses
 
 SF = "/root/testdata/sf0.001"
@@ -18,6 +21,30 @@ def test_inputs_are_derived_once(spark, name):
     assert "lineitem" not in "".join(registry.QUERIES[name](spark, SF).inputFiles())
 
 
+@pytest.mark.parametrize("name", ["tbl14_collapse_repair"])
+def test_stages_go_on_from_one_staged_input(spark, monkeypatch, name):
+    registry.load()
+    scans = []
+
+    def staged(df):
+        scans.append(any("lineitem" in f for f in df.inputFiles()))
+        return cut_lineage(df)
+
+    for module in (repair, tables, cascade, pairing, plan_cascade):
+        monkeypatch.setattr(module, "cut_lineage", staged, raising=False)
+    registry.QUERIES[name](spark, SF)
+    assert sum(scans) == 1
+
+
+def test_starts_name_the_clusters_of_the_mean_rule(spark):
+    pick = random.Random(4)
+    data = [(g, pick.randint(0, 90) / 2, 3.0) for g in range(12) for _ in range(25)]
+    df = spark.createDataFrame(data, "g int, v double, tol double")
+    starts = {r.g: r.starts for r in clusters.cluster_starts(df, ["g"], "v", "tol").collect()}
+    for r in clusters.axis_clusters(df, ["g"], "v", "tol", "mean").collect():
+        assert r.cluster == sum(s <= r.v for s in starts[r.g]) and r.n == sum(d[:2] == (r.g, r.v) for d in data)
+
+
 def test_header_keys_leave_body_rows_out_of_the_join(spark):
     data = [(t, r, c, f"{r}{c}", 1, 1, False) for t, depth in ((1, 1), (2, 3)) for r in range(6) for c in range(2)]
     cells = spark.createDataFrame(data, "table_id int, row_no int, col_no int, text string, row_span int, col_span int, hidden boolean")
