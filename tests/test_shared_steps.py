@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folioframe.operators import cascade, clusters, grids, repair, tables
 from folioframe.plans import cascade as plan_cascade
-from folioframe.plans import pairing, registry
+from folioframe.plans import export, pairing, registry
 from folioframe.session import cut_lineage
 from folioframe.sources import html, responses
 
@@ -21,7 +21,7 @@ def test_inputs_are_derived_once(spark, name):
     assert "lineitem" not in "".join(registry.QUERIES[name](spark, SF).inputFiles())
 
 
-@pytest.mark.parametrize("name", ["tbl14_collapse_repair"])
+@pytest.mark.parametrize("name", ["tbl14_collapse_repair", "win16_summary_pairs"])
 def test_stages_go_on_from_one_staged_input(spark, monkeypatch, name):
     registry.load()
     scans = []
@@ -30,7 +30,7 @@ def test_stages_go_on_from_one_staged_input(spark, monkeypatch, name):
         scans.append(any("lineitem" in f for f in df.inputFiles()))
         return cut_lineage(df)
 
-    for module in (repair, tables, cascade, pairing, plan_cascade):
+    for module in (repair, tables, cascade, grids, pairing, plan_cascade, export):
         monkeypatch.setattr(module, "cut_lineage", staged, raising=False)
     registry.QUERIES[name](spark, SF)
     assert sum(scans) == 1
@@ -82,6 +82,18 @@ def test_records_come_from_cells_packed_once(spark):
     assert records._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 12
 
 
+def test_records_deal_their_rows_few_times(spark, monkeypatch):
+    registry.load()
+    dealt = []
+
+    def count(df):
+        dealt.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+
+    monkeypatch.setattr(grids, "cut_lineage", lambda df: (count(df), cut_lineage(df))[1])
+    count(registry.QUERIES["tbl19_corrected_records"](spark, SF))
+    assert sum(dealt) <= 15
+
+
 def test_responses_are_opened_in_blocks_and_keys_looked_up(spark):
     item = '{{"label": "{0}", "bbox": [1, 2, 3, 4], "score": 0.5}}'.format
     nested = lambda depth: '{"in": ' * (depth - 1) + item(f"d{depth}") + "}" * (depth - 1)
