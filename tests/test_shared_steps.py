@@ -21,7 +21,7 @@ def test_inputs_are_derived_once(spark, name):
     assert "lineitem" not in "".join(registry.QUERIES[name](spark, SF).inputFiles())
 
 
-@pytest.mark.parametrize("name", ["tbl14_collapse_repair", "win16_summary_pairs"])
+@pytest.mark.parametrize("name", ["tbl14_collapse_repair", "win16_summary_pairs", "tbl21_method_cascade"])
 def test_stages_go_on_from_one_staged_input(spark, monkeypatch, name):
     registry.load()
     scans = []
