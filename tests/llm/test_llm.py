@@ -140,6 +140,28 @@ def test_language_model_learns_from_every_distinct_text_whole(spark):
             assert set((starts[:, None] + np.arange(1, lm.T + 1)).ravel()) == set(range(1, places))
 
 
+def test_language_model_learns_from_every_row_of_a_repeated_text(spark):
+    """303 rows of one text and two single ones: all rows are dealt, evenly over shards and rounds, and all of them are trained on."""
+    rows = [(i, prose(3, 20)) for i in range(303)] + [(400, prose(5, 30)), (401, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    ranks = bpe.read_ranks(RANKS)
+    given = spark.sparkContext.broadcast(ranks)
+    counts = lm.count_words(df, given, public_tokenizers.PATTERN)
+    classes = spark.sparkContext.broadcast(lm.fit(df, counts, ranks, public_tokenizers.PATTERN).class_of)
+    held = lm.class_streams(df, given, public_tokenizers.PATTERN, classes, 3, 2, spread=True).collect()
+    shares = defaultdict(list)
+    for r in held:
+        shares[bytes(r["stream"])].append(r["times"])
+    assert sorted(map(sorted, shares.values())) == [[1], [1], [50, 50, 50, 51, 51, 51]]
+    assert len({(r["shard"], r["round"]) for r in held if r["times"] > 1}) == 6
+    once = lm.class_streams(df, given, public_tokenizers.PATTERN, classes, 1, 1)
+    flat = np.zeros(3 * len(lm._flat(lm._init(np.random.default_rng(7)))), dtype=np.float32)
+    whole = lm._one_round(once, 0, 1, 1, flat)
+    stream = b"".join(bytes(r["stream"]) * r["times"] for r in sorted(once.collect(), key=lambda r: (r["mark"], bytes(r["stream"]))))
+    want, _ = lm.train(np.frombuffer(bytes([lm.END]) + stream, dtype=np.uint8), flat, False, 0.0, 1.0, 1, np.random.default_rng([7, 0, 0]))
+    assert np.allclose(whole, want, atol=1e-4)
+
+
 def test_language_model_beats_frequencies_on_held_out_text(spark):
     s = queries.op2(spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert s[0] > s[1]
